@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loglantern import fixed_values as V
 from loglantern.functions import json_text as J
+from loglantern.functions.binding import computed_once
 from loglantern.functions.net import normalize_ip
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -22,6 +23,7 @@ _ALL_NAMES = (
     *V.TS_NAMES, *V.SERVICE_NAMES, *V.LEVEL_NAMES, *V.MESSAGE_NAMES, *V.LATENCY_NAMES, *V.STACKTRACE_NAMES,
 )
 JSON_COLUMN = "_json"
+IS_JSON_COLUMN = "_is_json"
 
 
 def iso_text(ts: Column) -> Column:
@@ -35,7 +37,9 @@ def instant(text: Column) -> Column:
 
 def with_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the shared typed parse of the raw line, once for parsing and review."""
-    return df.withColumn(JSON_COLUMN, J.parse_object(F.col(raw), _ALL_NAMES))
+    parsed = df.withColumn(JSON_COLUMN, J.parse_object(F.col(raw), _ALL_NAMES))
+    line = F.coalesce(F.col(raw), F.lit(""))
+    return parsed.withColumn(IS_JSON_COLUMN, J.is_json(line, F.col(JSON_COLUMN)))
 
 
 def with_log_fields(df: DataFrame, raw: str = "raw", ingest_ts: Column | None = None) -> DataFrame:
@@ -46,44 +50,49 @@ def with_log_fields(df: DataFrame, raw: str = "raw", ingest_ts: Column | None =
     """
     line, j = F.coalesce(F.col(raw), F.lit("")), F.col(JSON_COLUMN)
     now = iso_text(F.current_timestamp() if ingest_ts is None else ingest_ts)
-    found = df.select(
-        "*",
-        J.first_field(line, j, V.TS_NAMES).alias("_ts"),
-        J.first_field(line, j, V.SERVICE_NAMES).alias("_service"),
-        J.first_field(line, j, V.LEVEL_NAMES).alias("_level"),
-        J.first_field(line, j, V.MESSAGE_NAMES).alias("_message"),
-        J.first_field(line, j, V.LATENCY_NAMES).alias("_latency"),
-        J.first_field(line, j, V.STACKTRACE_NAMES).alias("_stacktrace"),
-    )
-    required = [F.col(c) for c in ("_ts", "_service", "_level", "_message")]
-    complete = J.is_object(j)
-    for field in required:
-        complete = complete & field.isNotNull() & ~J.is_container(line, field)
-    complete = complete & ~J.is_container(line, F.col("_stacktrace")) & _latency_is_typed(line, F.col("_latency"))
-    tiered = found.withColumn(
-        "parse_tier", F.when(complete, 1).when(J.is_json(line, j), 2).otherwise(3)
+    names = {
+        "_ts": V.TS_NAMES,
+        "_service": V.SERVICE_NAMES,
+        "_level": V.LEVEL_NAMES,
+        "_message": V.MESSAGE_NAMES,
+        "_stacktrace": V.STACKTRACE_NAMES,
+        "_latency": V.LATENCY_NAMES,
+    }
+    found = df.withColumns({c: J.first_field(line, j, n) for c, n in names.items()})
+    texts = ("_ts", "_service", "_level", "_message", "_stacktrace")
+    checked = found.withColumns({f"{c}_nested": J.is_container(line, F.col(c)) for c in texts})
+
+    complete = J.is_object(j) & _latency_is_typed(line, F.col("_latency"))
+    for c in texts:
+        complete = complete & ~F.col(f"{c}_nested")
+        if c != "_stacktrace":
+            complete = complete & F.col(c).isNotNull()
+    tiered = checked.withColumn(
+        "parse_tier", F.when(complete, 1).when(F.col(IS_JSON_COLUMN), 2).otherwise(3)
     )
 
-    lenient = F.col("parse_tier") > 1
+    tier = F.col("parse_tier")
 
-    def text(name: str) -> Column:
-        return F.when(F.col("parse_tier") < 3, J.scalar_text(line, F.col(name)))
+    def text(c: str) -> Column:
+        value = F.when(F.col(f"{c}_nested"), F.lit("")).otherwise(F.col(c)["value"])
+        return F.when(tier < 3, value)
 
     level = F.coalesce(text("_level"), F.lit(V.DEFAULT_LEVEL))
     latency = F.col("_latency")["value"]
-    columns = {
-        "ts": F.coalesce(text("_ts"), now),
-        "service": F.coalesce(text("_service"), F.lit(V.DEFAULT_SERVICE)),
-        "level": F.when(lenient, F.upper(level)).otherwise(level),
-        "message": F.coalesce(text("_message"), line),
-        "latency_ms": F.when(
-            (F.col("parse_tier") < 3) & ~((F.col("parse_tier") == 1) & (F.trim(latency) == "")),
-            J.int_value(latency),
-        ),
-        "stacktrace": text("_stacktrace"),
-    }
-    parsed = tiered.withColumns(columns).withColumn("event_ts", instant(F.col("ts")))
-    return parsed.drop("_ts", "_service", "_level", "_message", "_latency", "_stacktrace")
+    blank_latency = (tier == 1) & (F.trim(latency) == "")
+    parsed = computed_once(
+        tiered.withColumn("_ts_text", F.coalesce(text("_ts"), now)),
+        {
+            "ts": F.col("_ts_text"),
+            "event_ts": instant(F.col("_ts_text")),
+            "service": F.coalesce(text("_service"), F.lit(V.DEFAULT_SERVICE)),
+            "level": F.when(tier > 1, F.upper(level)).otherwise(level),
+            "message": F.coalesce(text("_message"), line),
+            "latency_ms": F.when((tier < 3) & ~F.coalesce(blank_latency, F.lit(False)), J.int_value(latency)),
+            "stacktrace": text("_stacktrace"),
+        },
+    )
+    return parsed.drop(*names, *[f"{c}_nested" for c in texts], "_ts_text")
 
 
 def _latency_is_typed(line: Column, field: Column) -> Column:

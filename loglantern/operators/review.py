@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern import fixed_values as V
-from loglantern.functions import json_text as J
-from loglantern.functions import replies as R
-from loglantern.functions.log_fields import JSON_COLUMN, with_json
+from loglantern.functions import json_text as J, replies as R
+from loglantern.functions.binding import computed_once
+from loglantern.functions.log_fields import IS_JSON_COLUMN, JSON_COLUMN, with_json
 from loglantern.functions.text import if_blank, texts
 
 Reviewer = Callable[[Sequence[str]], Sequence[str]]
@@ -69,13 +69,13 @@ def _any_word(text: Column, words: Sequence[str]) -> Column:
     return found
 
 
-def heuristic_review(raw: Column, parsed: Column, note: Column, use_parsed: bool = False) -> Column:
-    """Rule-based review of one raw line.
+def with_heuristic(df: DataFrame, raw: str, note: Column, use_parsed: bool = False) -> DataFrame:
+    """Add ``_heuristic``, the rule-based review of one raw line.
 
     Reads only the canonical field names, so a line using aliases is judged as
     blank; ``use_parsed`` judges the parsed columns instead.
     """
-    line = F.coalesce(raw, F.lit(""))
+    line, parsed = F.coalesce(F.col(raw), F.lit("")), F.col(JSON_COLUMN)
 
     def field(name: str) -> Column:
         return F.coalesce(J.scalar_text(line, J.first_field(line, parsed, [name])), F.lit(""))
@@ -86,27 +86,35 @@ def heuristic_review(raw: Column, parsed: Column, note: Column, use_parsed: bool
     else:
         level, service, message = field("level"), field("service"), field("message")
         latency = F.coalesce(J.int_value(parsed["latencyMs"]), F.lit(0))
-    message = F.lower(message)
-
+    read = df.withColumns(
+        {"_h_level": F.upper(level), "_h_service": F.lower(service), "_h_message": F.lower(message), "_h_latency": latency}
+    )
+    message = F.col("_h_message")
+    is_json = F.col(IS_JSON_COLUMN)
     category = (
-        F.when((F.lower(service) == V.AUTH_SERVICE) | _any_word(message, V.AUTH_WORDS), "security")
-        .when((latency >= V.SLOW_LATENCY_MS) | _any_word(message, V.LATENCY_WORDS), "latency")
+        F.when(~is_json, F.when(_any_word(F.lower(line), V.TEXT_WORDS), "other").otherwise("normal"))
+        .when((F.col("_h_service") == V.AUTH_SERVICE) | _any_word(message, V.AUTH_WORDS), "security")
+        .when((F.col("_h_latency") >= V.SLOW_LATENCY_MS) | _any_word(message, V.LATENCY_WORDS), "latency")
         .when(_any_word(message, V.RESOURCE_WORDS), "resource")
-        .when((F.upper(level) == "ERROR") | _any_word(message, V.ERROR_WORDS), "error_spike")
+        .when((F.col("_h_level") == "ERROR") | _any_word(message, V.ERROR_WORDS), "error_spike")
         .otherwise("normal")
     )
-    is_json = J.is_json(line, parsed)
-    text_hit = _any_word(F.lower(line), V.TEXT_WORDS)
-    decided = F.when(is_json, category).otherwise(F.when(text_hit, "other").otherwise("normal"))
-    score = F.when(~is_json, F.when(text_hit, V.TEXT_ANOMALY_SCORE).otherwise(V.TEXT_NORMAL_SCORE))
+    judged = read.withColumn("_h_category", category)
+    category = F.col("_h_category")
+    score = F.when(
+        ~is_json, F.when(category == "normal", V.TEXT_NORMAL_SCORE).otherwise(V.TEXT_ANOMALY_SCORE)
+    )
     for name, value in V.CATEGORY_SCORES.items():
         score = score.when(category == name, value)
-    return F.struct(
-        (decided != "normal").alias("is_anomaly"),
+    review = F.struct(
+        (category != "normal").alias("is_anomaly"),
         score.alias("score"),
-        decided.alias("category"),
+        category.alias("category"),
         F.when(is_json, note).otherwise(F.concat(note, F.lit(V.NOTE_TEXT_SUFFIX))).alias("explanation"),
     )
+    return judged.withColumn("_heuristic", review).drop(
+        "_h_level", "_h_service", "_h_message", "_h_latency", "_h_category"
+    )
 
 
 def review_logs(df: DataFrame, raw: str = "raw", use_parsed: bool = False) -> DataFrame:
@@ -115,19 +123,20 @@ def review_logs(df: DataFrame, raw: str = "raw", use_parsed: bool = False) -> Da
         df = with_json(df, raw)
     has_replies = "reply" in df.columns
     df = _with_reply(df)
-    if not has_replies:
-        # No reviewer at all: the reply parser would only widen the plan.
-        note = F.lit(V.NOTE_NO_REVIEWER)
-        return df.withColumn("review", heuristic_review(F.col(raw), F.col(JSON_COLUMN), note, use_parsed)).drop(
-            "reply", "reply_failed"
+    note = F.lit(V.NOTE_NO_REVIEWER)
+    if has_replies:
+        note = (
+            F.when(F.col("reply_failed"), V.NOTE_FAILED_CALL)
+            .when(F.col("reply").isNull(), V.NOTE_NO_REVIEWER)
+            .otherwise(V.NOTE_BAD_REPLY)
         )
-    note = (
-        F.when(F.col("reply_failed"), V.NOTE_FAILED_CALL)
-        .when(F.col("reply").isNull(), V.NOTE_NO_REVIEWER)
-        .otherwise(V.NOTE_BAD_REPLY)
-    )
-    heuristic = heuristic_review(F.col(raw), F.col(JSON_COLUMN), note, use_parsed)
-    return df.withColumn("review", F.coalesce(R.log_reply(F.col("reply")), heuristic))
+    judged = with_heuristic(df, raw, note, use_parsed)
+    review = F.col("_heuristic")
+    if has_replies:
+        judged = judged.withColumn("_reply", R.log_reply(F.col("reply")))
+        review = F.coalesce(F.col("_reply"), review)
+    reviewed = computed_once(judged, {"review": review})
+    return reviewed.drop("_heuristic", "_reply", *([] if has_replies else ["reply", "reply_failed"]))
 
 
 def to_alerts(reviewed: DataFrame, threshold: float = V.ALERT_THRESHOLD) -> DataFrame:
