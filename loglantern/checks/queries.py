@@ -80,7 +80,7 @@ def summaries_of(spark: SparkSession, d: str) -> DataFrame:
 
 def incidents_of(spark: SparkSession, d: str) -> DataFrame:
     return jobs.build_incidents(
-        cut_lineage(summaries_of(spark, d)), alerts_of(spark, d), view(spark, d, "draft_replies"), step_sec=ANALYSIS_SLIDE
+        summaries_of(spark, d), alerts_of(spark, d), view(spark, d, "draft_replies"), step_sec=ANALYSIS_SLIDE
     )
 
 

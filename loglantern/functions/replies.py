@@ -7,10 +7,13 @@ ignored, as a streaming JSON reader does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from loglantern import fixed_values as V
 from loglantern.functions import json_text as J
+from loglantern.functions.binding import let
 
 
 def json_object_in(text: Column) -> Column:
@@ -29,13 +32,24 @@ def envelope_content(raw: Column) -> Column:
     return F.when(J.is_object(envelope), F.coalesce(content, F.lit("")))
 
 
+def _read(reply: Column, names: list[str], fields: Callable[["_Reply"], list[Column]]) -> Column:
+    """Struct of ``fields`` from the object in ``reply``; the text is cut out and parsed once."""
+
+    def from_parsed(p: Column) -> Column:
+        return F.when(J.is_object(p["json"]), F.struct(*fields(_Reply(p["body"], p["json"]))))
+
+    return let(
+        json_object_in(reply),
+        lambda body: let(F.struct(body.alias("body"), J.parse_object(body, names).alias("json")), from_parsed),
+    )
+
+
 class _Reply:
-    """Field readers over one reply text."""
+    """Field readers over one parsed reply."""
 
-    def __init__(self, reply: Column, names: list[str]):
-        self.body = json_object_in(reply)
-        self.parsed = J.parse_object(self.body, names)
-        self.valid = J.is_object(self.parsed)
+    def __init__(self, body: Column, parsed: Column):
+        self.body = body
+        self.parsed = parsed
 
     def text(self, name: str, default: str) -> Column:
         return F.coalesce(J.scalar_text(self.body, J.first_field(self.body, self.parsed, [name])), F.lit(default)).alias(name)
@@ -52,43 +66,52 @@ class _Reply:
             (F.trim(value) == "true") | F.coalesce(value.try_cast("double") != 0, F.lit(False)), F.lit(False)
         ).alias(name)
 
-    def struct(self, *fields: Column) -> Column:
-        return F.when(self.valid, F.struct(*fields))
-
 
 def log_reply(reply: Column) -> Column:
-    r = _Reply(reply, ["is_anomaly", "score", "category", "explanation"])
-    return r.struct(
-        r.flag("is_anomaly"),
-        r.number("score"),
-        r.text("category", V.LOG_REPLY_CATEGORY),
-        r.text("explanation", V.LOG_REPLY_EXPLANATION),
+    return _read(
+        reply,
+        ["is_anomaly", "score", "category", "explanation"],
+        lambda r: [
+            r.flag("is_anomaly"),
+            r.number("score"),
+            r.text("category", V.LOG_REPLY_CATEGORY),
+            r.text("explanation", V.LOG_REPLY_EXPLANATION),
+        ],
     )
 
 
 def window_reply(reply: Column) -> Column:
-    r = _Reply(reply, ["is_anomaly", "severity", "category", "summary", "top_signals", "recommended_actions"])
-    return r.struct(
-        r.flag("is_anomaly"),
-        r.text("severity", "low"),
-        r.text("category", "other"),
-        r.text("summary", ""),
-        r.texts("top_signals"),
-        r.texts("recommended_actions"),
+    return _read(
+        reply,
+        ["is_anomaly", "severity", "category", "summary", "top_signals", "recommended_actions"],
+        lambda r: [
+            r.flag("is_anomaly"),
+            r.text("severity", "low"),
+            r.text("category", "other"),
+            r.text("summary", ""),
+            r.texts("top_signals"),
+            r.texts("recommended_actions"),
+        ],
     )
 
 
 def agent_reply(reply: Column) -> Column:
-    r = _Reply(reply, ["answer", "steps", "commands", "cautions"])
-    return r.struct(r.text("answer", ""), r.texts("steps"), r.texts("commands"), r.texts("cautions"))
+    return _read(
+        reply,
+        ["answer", "steps", "commands", "cautions"],
+        lambda r: [r.text("answer", ""), r.texts("steps"), r.texts("commands"), r.texts("cautions")],
+    )
 
 
 def draft_reply(reply: Column) -> Column:
-    r = _Reply(reply, ["title", "impact", "timeline", "evidence", "recommended_actions"])
-    return r.struct(
-        r.text("title", V.DRAFT_REPLY_TITLE),
-        r.text("impact", ""),
-        r.texts("timeline"),
-        r.texts("evidence"),
-        r.texts("recommended_actions"),
+    return _read(
+        reply,
+        ["title", "impact", "timeline", "evidence", "recommended_actions"],
+        lambda r: [
+            r.text("title", V.DRAFT_REPLY_TITLE),
+            r.text("impact", ""),
+            r.texts("timeline"),
+            r.texts("evidence"),
+            r.texts("recommended_actions"),
+        ],
     )

@@ -118,15 +118,16 @@ def question_contexts(questions: DataFrame, logs: DataFrame, alerts: DataFrame,
     other mode at the selected log and the newest alerts of its service.
     """
     asked = questions.where(~blank(F.col("question")))
-    last = _newest_list(summaries, 1, SUMMARY_ORDER, True)
     asked = asked.withColumns(
         {
-            "_summary": F.coalesce(F.try_element_at(F.transform(last, summary_text), F.lit(1)), F.lit("null")),
+            "_last": _newest_list(summaries, 1, SUMMARY_ORDER, True),
             "_alerts": _newest_list(alerts, 5, ALERT_ORDER, True),
             "_logs": _newest_list(logs, 10, ALERT_ORDER, False),
             "_service": F.col("log.service"),
         }
     )
+    last = F.try_element_at("_last", F.lit(1))
+    asked = asked.withColumn("_summary", F.when(last.isNull(), "null").otherwise(summary_text(last))).drop("_last")
     fields = [c for c in alerts.columns if c not in ("ord", "event_ts")]
     related = newest_per_key(alerts, ["service"], fields, 5, "_related").withColumnRenamed("service", "_service")
     asked = asked.join(related, "_service", "left")

@@ -67,7 +67,7 @@ def new_anomalies(summaries: DataFrame, store: DataFrame | None = None) -> DataF
 def incident_contexts(anomalies: DataFrame, alerts: DataFrame, step_sec: int) -> DataFrame:
     """Add the newest alerts at the window end and ``context``, the JSON a drafter reads."""
     seen = as_of_last(
-        alerts, anomalies, V.REPORT_ALERTS, ALERT_FIELDS, "alerts",
+        alerts, cut_lineage(anomalies), V.REPORT_ALERTS, ALERT_FIELDS, "alerts",
         step_sec=step_sec, at="window_end", order=ALERT_ORDER,
     )
     context = F.to_json(

@@ -54,8 +54,8 @@ def last_ips(logs: DataFrame, step_sec: int, keep: int = V.LAST_IPS) -> DataFram
     )
 
 
-def metric_panes(logs: DataFrame, step_sec: int) -> DataFrame:
-    """One mergeable row per pane and service with everything a metric needs."""
+def metric_panes(logs: DataFrame, step_sec: int, *more: Column) -> DataFrame:
+    """One mergeable row per pane and service with everything a metric needs, plus ``more`` aggregates."""
     rows = logs.where(F.col("event_ts").isNotNull()).select(
         pane_start(F.col("event_ts"), step_sec).alias("pane_start"),
         "service",
@@ -74,6 +74,7 @@ def metric_panes(logs: DataFrame, step_sec: int) -> DataFrame:
         F.max("latency_ms").alias("latency_max"),
         F.max(F.struct("ord", "ts")).alias("last"),
         F.max(F.when(F.col("endpoint").isNotNull(), F.struct("ord", "endpoint"))).alias("last_endpoint"),
+        *more,
     )
     return stats.join(last_ips(logs, step_sec), list(PANE_KEY), "left")
 

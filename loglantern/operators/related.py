@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loglantern.operators.panes import latest_per_key
+from loglantern.session import cut_lineage
 
 
 def _bucket(ts: Column, gap_ms: int) -> Column:
@@ -112,7 +113,8 @@ def as_of_last(
     in two levels, inside blocks of ``coarse_ticks`` slots in parallel and
     between blocks over ``n`` rows per block. No task sees more than the slots
     of one block or the heads of all blocks, both bounded by the time span and
-    not by the number of events. ``order[0]`` is the event time.
+    not by the number of events. ``order[0]`` is the event time. The ticks are
+    read three times: pass a stored or checkpointed table.
     """
     # Without a scope key everything shares one; blocks still spread the work.
     scope = list(keys) or ["_scope"]
@@ -136,7 +138,9 @@ def as_of_last(
         .withColumn("_block", block(F.col("_slot")))
         .select(*dict.fromkeys([*in_slot, *order]), "_row")
     )
-    tails = latest_per_key(slots, in_slot, newest_first, n).drop("_rank")
+    # At most n rows per slot from here on. Both levels start from them, so they
+    # are written once rather than having the events read twice.
+    tails = cut_lineage(latest_per_key(slots, in_slot, newest_first, n).drop("_rank"))
 
     # Per slot and per block: the last n events up to its end.
     slot_state = latest_per_key(with_last(tails, in_block), in_slot, newest_first, 1)

@@ -185,7 +185,7 @@ def review_windows(df: DataFrame) -> DataFrame:
             )
         )
     )
-    return df.withColumn("review", review)
+    return computed_once(df, {"review": review})
 
 
 def failed_window_review(df: DataFrame, failed: Column) -> DataFrame:
@@ -210,8 +210,7 @@ def draft_incidents(df: DataFrame) -> DataFrame:
             texts(actions).alias("recommended_actions"),
         )
 
-    return df.withColumn(
-        "draft",
+    choice = (
         F.when(
             F.col("reply_failed"),
             draft(V.DRAFT_FAILED_CALL_IMPACT, (), texts(V.DRAFT_FAILED_CALL_EVIDENCE), V.DRAFT_FAILED_CALL_ACTIONS),
@@ -235,8 +234,9 @@ def draft_incidents(df: DataFrame) -> DataFrame:
                     V.DRAFT_BAD_REPLY_ACTIONS,
                 ),
             )
-        ),
+        )
     )
+    return computed_once(df, {"draft": choice})
 
 
 def answer_questions(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from loglantern.functions.text import clamp
 from loglantern.operators.metrics import error_ratio
 from loglantern.operators.ranking import ALERT_ORDER, INCIDENT_ORDER, METRIC_ORDER, SPAN_ORDER, SUMMARY_ORDER
 from loglantern.operators.related import as_of_last
+from loglantern.session import cut_lineage
 
 _ROOT = "incident"
 
@@ -42,17 +43,28 @@ def graph_inputs(
             iso_text(F.col("window_end")).alias("incident_id"), F.col("window_end").alias("tick")
         ).distinct()
 
-    def add(df: DataFrame, events: DataFrame, n: int, fields: list[str], name: str, order: tuple[str, ...]) -> DataFrame:
-        return as_of_last(events, df, n, fields, name, step_sec=step_sec, order=order)
-
-    seen = add(
-        requests, summaries, 1,
-        ["services_top", "is_anomaly", "severity", "category", "top_signals"], "_summary", SUMMARY_ORDER,
-    ).withColumn("_summary", F.try_element_at("_summary", F.lit(1)))
-    seen = add(seen, alerts, V.GRAPH_ALERTS, ["service", "category", "score"], "_alerts", ALERT_ORDER)
-    seen = add(seen, spans, V.GRAPH_SPANS, ["service", "name", "duration_ms"], "_spans", SPAN_ORDER)
-    seen = add(seen, metrics, V.GRAPH_METRICS, ["service", "error_count", "total_count"], "_metrics", METRIC_ORDER)
-    return add(seen, reports, V.GRAPH_REPORTS, ["title"], "_reports", INCIDENT_ORDER)
+    # Five lookups share the requests: read them once, and join on the tick.
+    requests = cut_lineage(requests.select("incident_id", "tick"))
+    ticks = requests.select("tick").distinct()
+
+    def seen(events: DataFrame, n: int, fields: list[str], name: str, order: tuple[str, ...]) -> DataFrame:
+        return as_of_last(events, ticks, n, fields, name, step_sec=step_sec, order=order)
+
+    in_force = ["services_top", "is_anomaly", "severity", "category", "top_signals"]
+    lookups = [
+        seen(summaries, 1, in_force, "_summary", SUMMARY_ORDER).withColumn(
+            "_summary", F.try_element_at("_summary", F.lit(1))
+        ),
+        seen(alerts, V.GRAPH_ALERTS, ["service", "category", "score"], "_alerts", ALERT_ORDER),
+        seen(spans, V.GRAPH_SPANS, ["service", "name", "duration_ms"], "_spans", SPAN_ORDER),
+        seen(metrics, V.GRAPH_METRICS, ["service", "error_count", "total_count"], "_metrics", METRIC_ORDER),
+        seen(reports, V.GRAPH_REPORTS, ["title"], "_reports", INCIDENT_ORDER),
+    ]
+    inputs = requests
+    for lookup in lookups:
+        inputs = inputs.join(lookup, "tick")
+    # Headers, nodes and edges are three reads of the same short lists.
+    return cut_lineage(inputs)
 
 
 def slowest(spans: Column, n: int = V.GRAPH_SHOWN) -> Column:

@@ -1,7 +1,8 @@
 """The jobs a user calls, each a composition of operators.
 
-All take and return DataFrames and stay lazy, except ``build_incidents``, which
-checkpoints its reports (see :mod:`loglantern.session`).
+All take and return DataFrames and stay lazy, except ``build_incidents`` and
+``root_cause``, which checkpoint what they read several times (see
+:mod:`loglantern.session`).
 """
 
 from __future__ import annotations

@@ -55,3 +55,17 @@ SPAN = _struct(
 
 NODE = _struct(("incident_id", _S), ("id", _S), ("label", _S), ("type", _S), ("weight", _D))
 EDGE = _struct(("incident_id", _S), ("from", _S), ("to", _S), ("label", _S))
+
+# Mergeable pre-aggregates of a stream: one row per micro-batch, pane and service.
+PANE = _struct(
+    ("pane_start", _TS), ("service", _S), ("total", _L), ("errors", _L), ("warns", _L), ("latency_sum", _L),
+    ("latency_count", _L), ("latency_max", _I), ("last", _struct(("ord", _L), ("ts", _S))),
+    ("last_endpoint", _struct(("ord", _L), ("endpoint", _S))),
+    ("ips", T.ArrayType(_struct(("ord", _L), ("ip", _S)))), ("first_ord", _L),
+)
+
+# The last logs of each pane.
+TAIL = _struct(
+    ("pane_start", _TS), ("ord", _L), ("ts", _S), ("service", _S), ("level", _S), ("message", _S),
+    ("latency_ms", _I), ("stacktrace", _S),
+)
