@@ -29,7 +29,8 @@ def similar_to_text(store: DataFrame, text: str, k: int = V.SIMILAR_LIMIT) -> Da
     spark = store.sparkSession
     query = spark.range(1).select(embed(F.lit(text)).alias("v")).scalar()
     return (
-        store.withColumn("score", F.round(cosine(F.col("embedding"), query), RANK_DECIMALS))
+        store.withColumn("_query", query)
+        .withColumn("score", F.round(cosine(F.col("embedding"), F.col("_query")), RANK_DECIMALS))
         .select("id", "ts", "title", "summary", "severity", "category", "score")
         .orderBy(F.col("score").desc(), "id")
         .limit(k)

@@ -182,15 +182,17 @@ def new_summaries(summaries: DataFrame, delay_sec: int = 60) -> DataFrame:
 class _Throttle(StatefulProcessor):
     """Remembers the last notification of one scope."""
 
-    def __init__(self, gap_ms: int, names: list[str]):
+    def __init__(self, gap_ms: int, columns: list[str], kept: list[str]):
         self.gap_ms = gap_ms
-        self.names = names
+        self.columns = columns
+        self.kept = kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("at_ms", T.LongType()), T.StructField("key", T.StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
+        # Computed columns reach the processor without their names.
+        frames = [f.set_axis(self.columns, axis=1) for f in rows if len(f)]
         if not frames:
             return
         batch = pd.concat(frames).sort_values(["_ms", "_tie"], kind="stable")
@@ -203,7 +205,7 @@ class _Throttle(StatefulProcessor):
             if send:
                 at, last_key = int(ms), k
         self.last.update((at, last_key))
-        yield batch[sent][self.names]
+        yield batch[sent][self.kept]
 
     def close(self) -> None:
         pass
@@ -230,7 +232,7 @@ def throttle_stream(
         }
     )
     return rows.groupBy(scope).transformWithStateInPandas(
-        statefulProcessor=_Throttle(gap_ms, summaries.columns),
+        statefulProcessor=_Throttle(gap_ms, rows.columns, summaries.columns),
         outputStructType=summaries.schema,
         outputMode="Append",
         timeMode="None",
