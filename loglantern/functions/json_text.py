@@ -82,7 +82,7 @@ def is_container(raw: Column, field: Column) -> Column:
     """
     return F.coalesce(
         F.when(
-            field["value"].rlike(r"^[\[{]"),
+            field["value"].startswith("[") | field["value"].startswith("{"),
             F.coalesce(_kind(raw, field["name"]).rlike("^(ARRAY|OBJECT)"), F.lit(False)),
         ),
         F.lit(False),

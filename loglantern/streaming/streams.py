@@ -156,18 +156,30 @@ def start_summaries(
 
 
 def near_alert_stream(logs: DataFrame, alerts: DataFrame, gap_sec: int = 60, delay_sec: int = 10) -> DataFrame:
-    """Streaming form of the interval semi join; both sides forget rows behind the watermark."""
-    left = logs.withWatermark("event_ts", f"{delay_sec} seconds")
-    right = alerts.select(F.col("service").alias("_service"), F.col("event_ts").alias("_at")).withWatermark(
-        "_at", f"{delay_sec} seconds"
+    """Streaming form of the interval semi join; both sides forget rows behind the watermark.
+
+    The service alone would be a hot state key. Alerts are entered under the
+    buckets they can reach, so a log looks at the alerts around its own time.
+    """
+    gap_ms = gap_sec * 1000
+
+    def bucket(ts: str) -> Column:
+        return F.floor(F.unix_millis(ts) / gap_ms).cast("bigint")
+
+    left = logs.withWatermark("event_ts", f"{delay_sec} seconds").withColumn("_bucket", bucket("event_ts"))
+    right = (
+        alerts.select(F.col("service").alias("_service"), F.col("event_ts").alias("_at"))
+        .withWatermark("_at", f"{delay_sec} seconds")
+        .withColumn("_reach", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bucket("_at") + d)))
     )
     gap = F.expr(f"INTERVAL {gap_sec} SECONDS")
     close = (
         (F.col("service") == F.col("_service"))
+        & (F.col("_bucket") == F.col("_reach"))
         & (F.col("_at") > F.col("event_ts") - gap)
         & (F.col("_at") < F.col("event_ts") + gap)
     )
-    return left.join(right, close, "left_semi")
+    return left.join(right, close, "left_semi").drop("_bucket")
 
 
 def new_summaries(summaries: DataFrame, delay_sec: int = 60) -> DataFrame:
