@@ -91,22 +91,3 @@ def view_over(events: DataFrame, name: str) -> DataFrame:
         view_over(events, need).createOrReplaceTempView(f"loglantern_{need}")
         text = text.replace(f"FROM {need}", f"FROM loglantern_{need}")
     return spark.sql(text)
-
-
-def ctes(*names: str) -> str:
-    """The same views as DuckDB common table expressions, dependencies first."""
-    ordered: list[str] = []
-
-    def add(name: str) -> None:
-        for need in _NEEDS[name]:
-            add(need)
-        if name not in ordered:
-            ordered.append(name)
-
-    for name in names:
-        add(name)
-    parts = []
-    for name in ordered:
-        text = _VIEWS[name].replace("{TSTEXT}", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')").replace("{STR}", "VARCHAR")
-        parts.append(f"{name} AS ({text}\n)")
-    return ",\n".join(parts)

@@ -115,15 +115,15 @@ SELECT make_timestamp(ws * 1000000) AS window_start, make_timestamp((ws + window
   arg_max(ts, ord) AS ts, service, count(*) AS total_count,
   count(*) FILTER (WHERE upper(level) = 'ERROR') AS error_count, count(*) FILTER (WHERE upper(level) = 'WARN') AS warn_count,
   coalesce(CAST(sum(latency_ms) AS DOUBLE) / nullif(count(latency_ms), 0), 0) AS avg_latency_ms,
-  greatest(coalesce(max(latency_ms), 0), 0) AS max_latency_ms,
+  CAST(greatest(coalesce(max(latency_ms), 0), 0) AS BIGINT) AS max_latency_ms,
   arg_max(endpoint, ord) FILTER (WHERE endpoint IS NOT NULL) AS endpoint_hint,
   coalesce((list(ip ORDER BY ord) FILTER (WHERE ip IS NOT NULL))[-5:], []) AS last_ips
-FROM {windowed(f"(SELECT * FROM hinted, (VALUES ({HOUR}), ({6 * HOUR})) sizes(window_sec))", "window_sec", HOUR)}
+FROM {windowed(f"(SELECT * FROM hinted, (VALUES ({HOUR}::BIGINT), ({6 * HOUR}::BIGINT)) sizes(window_sec))", "window_sec", HOUR)}
 GROUP BY ws, window_sec, service""")
 part("window_logs", ("logs",), f"SELECT * FROM {windowed('logs', str(3 * HOUR), HOUR)}")
 part("aggregates", ("window_logs",), f"""
 SELECT make_timestamp(t.ws * 1000000) AS window_start, make_timestamp((t.ws + {3 * HOUR}) * 1000000) AS window_end,
-  {3 * HOUR} AS window_sec, total_logs, error_count, warn_count, services_top
+  {3 * HOUR}::BIGINT AS window_sec, total_logs, error_count, warn_count, services_top
 FROM (SELECT ws, count(*) AS total_logs, count(*) FILTER (WHERE upper(level) = 'ERROR') AS error_count,
         count(*) FILTER (WHERE upper(level) = 'WARN') AS warn_count FROM window_logs GROUP BY ws) t
 JOIN (SELECT ws, list(concat(service, '(', n, ')') ORDER BY rk) AS services_top
@@ -158,7 +158,7 @@ SUMMARY_STRUCT = (
 SQL: dict[str, str] = {}
 
 SQL["parse_logs"] = with_(("parsed",), f"""
-SELECT ord, parse_tier, ts, service, level, message, latency_ms, CAST(NULL AS VARCHAR) AS stacktrace, {iso('event_ts')} AS event_ts FROM parsed""")
+SELECT ord, parse_tier::BIGINT AS parse_tier, ts, service, level, message, latency_ms, CAST(NULL AS VARCHAR) AS stacktrace, {iso('event_ts')} AS event_ts FROM parsed""")
 SQL["message_hints"] = with_(("hinted",), "SELECT ord, ip, endpoint FROM hinted")
 SQL["normalized_addresses"] = """
 SELECT event_id, CASE user_id % 5 WHEN 0 THEN concat(' 203.0.113.', user_id % 300) WHEN 1 THEN concat('010.0.', user_id % 256, '.07')

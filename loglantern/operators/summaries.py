@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglantern import fixed_values as V
 from loglantern import schemas
 from loglantern.functions.log_fields import iso_text
-from loglantern.operators.panes import LOG_FIELDS, assign_windows, count_panes, latest_per_key, pane_step, pane_tails
+from loglantern.operators.panes import assign_windows, count_panes, latest_per_key, pane_step, pane_tails
 from loglantern.operators.review import review_windows
 
 WINDOW = ("window_start", "window_end", "window_sec")

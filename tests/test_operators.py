@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglantern import schemas
-from loglantern.operators import dashboard, feed, incidents, metrics, related, rootcause, similarity, summaries
+from loglantern.operators import dashboard, feed, incidents, metrics, related, similarity, summaries
 from loglantern.operators.throttle import throttle_notifications
 from loglantern.plans import jobs
 from loglantern.sources import kafka, tables
