@@ -303,7 +303,7 @@ part("merged", ("drafted",), f"""
 SELECT *, list_concat(list_concat(top_signals, d_evidence), list_transform(seen[1:3], lambda a: concat(a.service, ': ', a.message))) AS all_evidence,
   list_concat(recommended_actions, d_actions) AS all_actions FROM drafted""")
 part("reports", ("merged",), f"""
-SELECT sha256(concat({iso('window_end')}, chr(31), category, chr(31), severity, chr(31), summary)) AS id, window_end AS event_ts, {iso('window_end')} AS ts,
+SELECT sha256(CAST(to_json([{iso('window_end')}, category, severity, summary]) AS VARCHAR)) AS id, window_end AS event_ts, {iso('window_end')} AS ts,
   CASE WHEN trim(d_title) = '' THEN concat(replace(category, '_', ' '), ' incident') ELSE d_title END AS title, severity, category, summary,
   CASE WHEN trim(d_impact) = '' THEN concat('Incident affects ', array_to_string(services_top, ', '), '.') ELSE d_impact END AS impact,
   CASE WHEN len(d_timeline) > 0 THEN d_timeline ELSE ['Window anomaly detected', concat('Category=', category, ', severity=', severity)] END AS timeline,

@@ -28,9 +28,9 @@ ALERT_FIELDS = ("ts", "service", "category", "score", "level", "message", "expla
 def incident_id(at: Column, category: Column, severity: Column, summary: Column) -> Column:
     """Stable id of a report: a retried batch writes the same rows again.
 
-    The parts are joined by a control character that no text field carries.
+    The parts are hashed as a JSON list, so no text can run into its neighbour.
     """
-    return F.sha2(F.concat_ws("\x1f", iso_text(at), category, severity, summary), 256)
+    return F.sha2(F.to_json(F.array(iso_text(at), category, severity, summary)), 256)
 
 
 def summary_struct() -> Column:
