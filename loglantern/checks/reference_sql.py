@@ -419,7 +419,7 @@ SQL["search_all_logs"] = with_(("logs",), """
 SELECT ord, ts, service, level, message FROM logs WHERE service = 'db' AND contains(lower(concat_ws(' ', ts, service, level, message, '')), 'heap usage=4')""")
 
 
-def kotlin_record(name: str, fields: list[tuple[str, str]]) -> str:
+def record_line(name: str, fields: list[tuple[str, str]]) -> str:
     inner = ", ', ', ".join(f"'{label}=', coalesce(CAST({value} AS VARCHAR), 'null')" for label, value in fields)
     return f"concat('{name}(', {inner}, ')')"
 
@@ -428,9 +428,9 @@ def listed(c: str) -> str:
     return f"concat('[', array_to_string({c}, ', '), ']')"
 
 
-LOG_LINE = kotlin_record("LogEvent", [(a, b) for a, b in (("ts", "ts"), ("service", "service"), ("level", "level"), ("message", "message"), ("latencyMs", "latency_ms"), ("stacktrace", "stacktrace"))])
-ALERT_LINE = kotlin_record("AlertEvent", [(c, c) for c in ("ts", "service", "category", "score", "level", "message", "explanation", "status")])
-SUMMARY_LINE = kotlin_record("SummaryEvent", [
+LOG_LINE = record_line("LogEvent", [(a, b) for a, b in (("ts", "ts"), ("service", "service"), ("level", "level"), ("message", "message"), ("latencyMs", "latency_ms"), ("stacktrace", "stacktrace"))])
+ALERT_LINE = record_line("AlertEvent", [(c, c) for c in ("ts", "service", "category", "score", "level", "message", "explanation", "status")])
+SUMMARY_LINE = record_line("SummaryEvent", [
     ("ts", iso("window_end")), ("windowSec", "window_sec"), ("totalLogs", "total_logs"), ("errorCount", "error_count"), ("warnCount", "warn_count"),
     ("servicesTop", listed("services_top")), ("isAnomaly", "is_anomaly"), ("severity", "severity"), ("category", "category"), ("summary", "summary"),
     ("topSignals", listed("top_signals")), ("recommendedActions", listed("recommended_actions"))])

@@ -127,7 +127,8 @@ def start_summaries(
 
     Top services and samples need a ranking, which a stream refuses; the closed
     windows of a micro-batch are few and complete. ``then`` runs on the written
-    summaries, for instance to build incidents.
+    summaries, for instance to build incidents; give those the alert batches
+    that can still be among the newest, since every batch it names is scanned.
     """
     spark = counts.sparkSession
 
