@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import jaccard, vectors
+from loglantern.llm import jaccard, licenses, packing, secret_scan, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Licence notices in the documents."""
+    return licenses.scan_licenses(table(spark, d, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets in the documents."""
+    return secret_scan.scan_secrets(table(spark, d, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op7_near_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate vectors of equal label, cosine 0.93 or more."""
@@ -32,3 +51,9 @@ def op7_near_vectors(spark: SparkSession, d: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share four fifths of their 5-word shingles."""
     return jaccard.jaccard_classes(table(spark, d, "documents"))
+
+
+@query
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' token ids in windows of 2048."""
+    return packing.pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
