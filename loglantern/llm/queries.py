@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import jaccard, licenses, packing, secret_scan, vectors
+from loglantern.llm import jaccard, language, licenses, packing, passages, secret_scan, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,12 +35,24 @@ def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, d, "documents"))
 
 
+@query
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of each document, learned from the labelled ones that are not held out."""
+    return language.identify(table(spark, d, "documents"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     """Secrets in the documents."""
     return secret_scan.scan_secrets(table(spark, d, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op6_shared_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document has too."""
+    return passages.shared_passages(table(spark, d, "documents"))
+
+
 @query
 def op7_near_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate vectors of equal label, cosine 0.93 or more."""
