@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loglantern.llm import jaccard, language, licenses, packing, passages, secret_scan, vectors
+from loglantern.llm import jaccard, language, licenses, lines, mixing, packing, passages, rules, secret_scan, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,18 @@ def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, d, "documents"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without lines that an earlier line equals or nearly equals."""
+    return lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Base measures and verdict of each document."""
+    return rules.judge(table(spark, d, "documents"))
+
+
 @query
 def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
     """Language of each document, learned from the labelled ones that are not held out."""
@@ -69,3 +81,17 @@ def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     """The documents' token ids in windows of 2048."""
     return packing.pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+#: Shares of tokens wanted in a training mix.
+TARGETS = {
+    "source": {"src0": 0.25, "other": 0.75},
+    "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
+    "topic": {"brief": 0.01, "short": 0.1, "medium": 0.36, "long": 0.53},
+}
+
+
+@query
+def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with their probability in the mix, and whether they are drawn."""
+    return mixing.mix(table(spark, d, "documents"), TARGETS)
