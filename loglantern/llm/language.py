@@ -215,3 +215,18 @@ def identify(docs: DataFrame, model: Model | None = None, **bounds: int) -> Data
     return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
         _predicted(shared), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
     )
+
+
+def recognised(docs: DataFrame, model: Model | None = None, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, with all their columns."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    )
+    model = fit(rows, **bounds) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.predict(t.as_py())[2] for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -163,7 +163,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     if it is dropped itself. Lines without a word stay and count for nothing.
     n_lines and n_kept count lines with a word. Null texts stay null with no
     lines; rows without doc_id come last; rows of one doc_id should repeat its
-    text and then keep the same lines. Other columns are carried along.
+    text and then keep the same lines. Other columns are carried along, but for old ones
+    named n_lines or n_kept.
     """
     firsts, near = kept_lines(docs, min_words)
     stay = (
@@ -179,8 +180,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     rows = rows.withColumn("__at", F.array_sort(F.concat(blank, F.coalesce("__stay", F.array().cast("array<int>")))))
     rows = rows.withColumn("__n", F.size(F.filter("__worded", lambda w: w)).cast("long")).withColumn("__blank", F.size("__lines") - F.col("__n"))
     text = F.array_join(F.transform("__at", lambda i: F.get("__lines", i)), "\n")
-    return rows.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in names),
+    found = F.struct(
+        text.alias("text"),
         F.greatest(F.coalesce("__n", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
         F.greatest(F.coalesce(F.size("__at") - F.col("__blank"), F.lit(0)), F.lit(0)).cast("long").alias("n_kept"),
     )
+    # A generator: later filters on the counts do not repeat the work above.
+    rows = rows.select(*(c for c in names if c not in ("text", "n_lines", "n_kept")), F.inline(F.array(found)))
+    return rows.select(*(c for c in names if c not in ("n_lines", "n_kept")), "n_lines", "n_kept")

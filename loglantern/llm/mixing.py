@@ -93,6 +93,31 @@ def count_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS + "+"), lambda w: w != "")).cast("long")
 
 
+DIMENSIONS = ("source", "lang", "topic")
+
+
+def _weighted(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column | None, budget: float | None, seed: int) -> DataFrame:
+    """``docs`` with __n (tokens), the levels __source, __lang and __topic, __weight and __sampled."""
+    if topic is None:
+        topic = F.col("topic").cast("string") if "topic" in docs.columns else length_class(F.col("__n"))
+    named = {d: [x for x in targets.get(d, {}) if x != OTHER] for d in DIMENSIONS}
+    values = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic}
+    rows = docs.withColumn("__n", count_words(F.col("text").cast("string")))
+    for d in DIMENSIONS:
+        level = F.when(values[d].isin(named[d]), values[d]).otherwise(F.lit(OTHER)) if named[d] else F.lit(OTHER)
+        rows = rows.withColumn(f"__{d}", level)
+    levels = [f"__{d}" for d in DIMENSIONS]
+    sums = rows.groupBy(*levels).agg(F.sum("__n").alias("n")).orderBy(*levels).collect()
+    cells = [tuple(r[c] for c in levels) for r in sums]
+    fit = rake(cells, np.array([r.n for r in sums], float), [targets.get(d) or {OTHER: 1.0} for d in DIMENSIONS], budget)
+    weights = rows.sparkSession.createDataFrame(
+        [(*c, float(w)) for c, w in zip(cells, fit.weight)], ", ".join(f"{c} string" for c in levels) + ", __weight double"
+    )
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    # One row a cell: their number is bounded by the named levels.
+    return rows.join(F.broadcast(weights), levels).withColumn("__sampled", chance < F.col("__weight"))
+
+
 def mix(
     docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column | None = None, budget: float | None = None, seed: int = 11
 ) -> DataFrame:
@@ -103,31 +128,19 @@ def mix(
     The cells are as many as the named levels allow, whatever the size of the
     table, and are fitted on the driver. Without ``topic``, a column of that
     name is taken, else the length class. ``sampled`` compares the probability
-    with a hash of doc_id: the same rows at every run. Null texts have no token
-    and the weight of their cell. Repeated rows are decided alike; empty tables
-    give empty results; further columns are ignored.
+    with a hash of doc_id: the same rows at every run, rows of one doc_id alike.
+    Null texts have no token and the weight of their cell. Empty tables give
+    empty results; further columns are ignored.
     """
-    n_tokens = count_words(F.col("text").cast("string"))
-    if topic is None:
-        topic = F.col("topic").cast("string") if "topic" in docs.columns else length_class(F.col("n_tokens"))
-    named = {d: [x for x in targets.get(d, {}) if x != OTHER] for d in ("source", "lang", "topic")}
-    level = lambda c, d: F.when(c.isin(named[d]), c).otherwise(F.lit(OTHER)) if named[d] else F.lit(OTHER)
-    extra = ["topic"] if "topic" in docs.columns else []
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *extra)
-        .withColumn("topic", topic)
-        .select("doc_id", "n_tokens", *(level(F.col(d), d).alias(d) for d in named))
-    )
-    sums = rows.groupBy(*named).agg(F.sum("n_tokens").alias("n")).orderBy(*named).collect()
-    cells = [tuple(r[d] for d in named) for r in sums]
-    fit = rake(cells, np.array([r.n for r in sums], float), [targets.get(d, {}) or {OTHER: 1.0} for d in named], budget)
-    weights = rows.sparkSession.createDataFrame(
-        [(*c, float(w)) for c, w in zip(cells, fit.weight)], "source string, lang string, topic string, weight double"
-    )
-    chance = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    # One row a cell: their number is bounded by the named levels.
-    return (
-        rows.join(F.broadcast(weights), list(named))
-        .withColumn("probability", F.least("weight", F.lit(1.0)))
-        .select("doc_id", "n_tokens", *named, "weight", "probability", (chance < F.col("probability")).alias("sampled"))
+    rows = _weighted(docs, targets, topic, budget, seed)
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("__n").alias("n_tokens"), *(F.col(f"__{d}").alias(d) for d in DIMENSIONS),
+        F.col("__weight").alias("weight"), F.least("__weight", F.lit(1.0)).alias("probability"), F.col("__sampled").alias("sampled"),
     )
+
+
+def drawn(
+    docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column | None = None, budget: float | None = None, seed: int = 11
+) -> DataFrame:
+    """The sampled rows of ``docs``, with all their columns."""
+    return _weighted(docs, targets, topic, budget, seed).where("__sampled").select(*docs.columns)
