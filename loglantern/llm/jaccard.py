@@ -7,10 +7,11 @@ shingles that many documents share is lengthened by e and may then set aside
 its e most frequent prefix shingles: such a pair has to share l = 1 + min(e)
 prefix shingles, so at least one of them is not set aside by both.
 
-Groups are never expanded into all pairs. First every prefix shingle links its
-documents of like size to the smallest of them; only pairs that are then still
-in different components are tried afterwards. Components, not pairs, are the
-result, so nothing is lost.
+Groups are never expanded into all pairs. First every prefix shingle tries its
+documents of like size against one pivot, the document that has most of its
+prefix in common with others; more rounds try other pivots where a shingle's
+documents are still in different components. Only pairs that are apart after
+that are all tried. Components, not pairs, are the result, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loglantern.llm.tables import components, stored
 from loglantern.llm.words import byte_texts, shingle_set
 
+#: Shingles of documents that a task remembers between pairs.
+KNOWN = 3_000_000
+
 
 def least_overlap(n: int, percent: int) -> int:
     """Shingles a document of ``n`` shares with any partner at least."""
@@ -35,8 +39,8 @@ def plain_prefix(n: int, percent: int) -> int:
 
 
 def longest_extension(n: int, percent: int) -> int:
-    """How far a prefix may be lengthened: a sixteenth of the set, 2 at least."""
-    return max(0, min(least_overlap(n, percent) - 1, 2 + n // 16))
+    """How far a prefix may be lengthened: a sixteenth of the set and 12."""
+    return max(0, min(least_overlap(n, percent) - 1, 12 + n // 16))
 
 
 def extension(pos: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -100,8 +104,20 @@ def _prefixes(k: int, percent: int):
     return run
 
 
+def _whole(k: int):
+    """(doc, token): all shingles of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
+                s = shingle_set(text, k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s)], names=["doc", "token"])
+
+    return run
+
+
 def _adapted(percent: int):
-    """(token, doc, n, e, strong) of each document's chosen prefix."""
+    """(token, doc, n, e, strong, alone) of each document's chosen prefix; alone is its share of shingles that no other has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +130,10 @@ def _adapted(percent: int):
             for i in range(len(docs)):
                 lo, hi = ends[i], ends[i + 1]
                 e, inside, aside = extension(pos[lo:hi], df[lo:hi], int(sizes[i]), percent)
-                parts.append((token[lo:hi][inside], np.full(len(inside), docs[i]), np.full(len(inside), sizes[i]), np.full(len(inside), e), ~aside))
+                parts.append((token[lo:hi][inside], np.full(len(inside), docs[i]), np.full(len(inside), sizes[i]), np.full(len(inside), e), ~aside, np.full(len(inside), 1 - (pos[lo:hi] < plain_prefix(int(sizes[i]), percent)).sum() / plain_prefix(int(sizes[i]), percent))))
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*parts)], names=["token", "doc", "n", "e", "strong"]
+                    [pa.array(np.concatenate(c)) for c in zip(*parts)], names=["token", "doc", "n", "e", "strong", "alone"]
                 )
 
     return run
@@ -127,11 +143,23 @@ def _verified(k: int, percent: int):
     """Keep the pairs that link: enough shared prefix shingles first, then the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        room = [KNOWN]
+
+        def shingles(doc: int, text: np.ndarray) -> np.ndarray:
+            if doc not in known:
+                if room[0] < 0:
+                    known.clear()
+                    room[0] = KNOWN
+                known[doc] = shingle_set(text, k)
+                room[0] -= len(known[doc])
+            return known[doc]
+
         for batch in batches:
             a, b, need = (batch.column(c).to_numpy() for c in ("a", "b", "l"))
             keep = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b")))):
-                x, y = shingle_set(x, k), shingle_set(y, k)
+                x, y = shingles(a[i], x), shingles(b[i], y)
                 l = int(need[i])
                 head = np.intersect1d(
                     x[: plain_prefix(len(x), percent) + l - 1], y[: plain_prefix(len(y), percent) + l - 1], assume_unique=True
@@ -155,7 +183,28 @@ def _fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def _pivot_pairs(postings: DataFrame, order: Column, percent: int, apart: bool) -> DataFrame:
+    """Pairs (a, b, l) of each shingle's first document by ``order`` with the others of like size; a < b."""
+    sized = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).withColumn("order", order)
+    facts = ["order", "doc", "n", "e", "strong"] + ["comp"] * apart
+    pivots = sized.groupBy("token", "band").agg(F.min(F.struct(*facts)).alias("p"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    met = sized.join(pivots.drop("docs"), ["token", "band"]).where("doc <> p.doc AND (strong OR p.strong)").where(_fits("n", "p.n", percent))
+    if apart:
+        met = met.where("comp <> p.comp")
+    return met.groupBy(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).agg(F.min(F.least("e", "p.e") + 1).alias("l"))
+
+
+def _still_apart(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """``postings`` with the component of each document, for shingles that several components have."""
+    placed = (
+        postings.drop("comp").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+        .withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    )
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return stored(placed.join(mixed, "token"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text, ...).
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their
@@ -164,7 +213,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ``component_id`` is the smallest doc_id reachable by links. Rows that repeat
     a doc_id should repeat its text; each is placed by its own text. A row
     without doc_id links with nothing and has no component. An empty table gives
-    an empty result; further columns are ignored.
+    an empty result; further columns are ignored. ``rounds`` of further pivots
+    shape the work, not the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = stored(texts.mapInArrow(_signatures(k), "doc_id long, n long, a long, b long"))
@@ -180,44 +230,48 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     postings = stored(
         tokens.join(shared, "token")
         .groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("hits"))
-        .mapInArrow(_adapted(percent), "token long, doc long, n long, e long, strong boolean")
+        .mapInArrow(_adapted(percent), "token long, doc long, n long, e long, strong boolean, alone double")
     )
 
-    # Each shingle links its documents of like size to the smallest one.
-    sized = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))))
-    pivots = (
-        sized.groupBy("token", "band").agg(F.min(F.struct("doc", "n", "e", "strong")).alias("p"), F.max("doc").alias("last"))
-        .where("p.doc < last")
-    )
-    pairs = stored(
-        sized.join(pivots.drop("last"), ["token", "band"])
-        .where("doc <> p.doc AND (strong OR p.strong)").where(_fits("n", "p.n", percent))
-        .groupBy(F.col("p.doc").alias("a"), F.col("doc").alias("b")).agg(F.min(F.least("e", "p.e") + 1).alias("l"))
-    )
-    links = _links(texts, pairs, k, percent)
+    tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False))
+    links = _links(texts, tried, k, percent)
     found = components(links)
+    placed = _still_apart(postings, found)
+    few = stored(texts.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    for turn in range(rounds):
+        pairs = stored(_pivot_pairs(placed, F.xxhash64("doc", F.lit(turn)), percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        more = _links(few, pairs, k, percent)
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        if not more.isEmpty():
+            found = components(links)
+            placed = _still_apart(placed, found)
 
     # What is still apart: pairs of components that meet in a shingle, then their documents.
-    placed = (
-        postings.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-        .withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    # Shingles that none of the documents left shares with another cannot be in common: room is what can.
+    placed = placed.join(placed.groupBy("token").agg(F.max("strong").alias("any")).where("any").select("token"), "token")
+    left = few.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lonely = (
+        left.mapInArrow(_whole(k), "doc long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("doc"))
+        .where("docs = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lonely"))
     )
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    placed = stored(placed.join(mixed, "token"))
-    parts = placed.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("strong").alias("s"))
-    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n0", "n1", "s")]) for x in "ab")
+    placed = stored(placed.join(lonely, "doc", "left").withColumn("room", F.col("n") - F.coalesce("lonely", F.lit(0))))
+    enough = "%d * least(room_a, room_b) >= %d * (n{0}_a + n{0}_b)" % (100 + percent, percent)
+    parts = placed.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("room").alias("room"), F.max("strong").alias("s"))
+    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n0", "n1", "room", "s")]) for x in "ab")
     meet = one.join(two, "token").where(
-        f"comp_a < comp_b AND (s_a OR s_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a"
+        f"comp_a < comp_b AND (s_a OR s_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a AND " + enough.format(0)
     ).select("token", "comp_a", "comp_b")
-    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "doc", "n", "e", "strong")]) for x in "ab")
+    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "doc", "n", "e", "strong", "room")]) for x in "ab")
     rest = stored(
         meet.join(one, ["token", "comp_a"]).join(two, ["token", "comp_b"])
-        .where("strong_a OR strong_b").where(_fits("n_a", "n_b", percent))
+        .where("strong_a OR strong_b").where(_fits("n_a", "n_b", percent)).where(enough.format(""))
         .groupBy(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         .agg(F.min(F.least("e_a", "e_b") + 1).alias("l"))
-        .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
     )
-    found = components(links.union(_links(texts, rest, k, percent)))
+    found = components(links.union(_links(few, rest, k, percent)))
 
     of_class = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
