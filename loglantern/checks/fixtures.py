@@ -17,12 +17,12 @@ SELECT event_id AS ord, ts AS event_ts, {TSTEXT} AS ts,
   CASE user_id % 5 WHEN 0 THEN 'api' WHEN 1 THEN 'auth' WHEN 2 THEN 'db' WHEN 3 THEN 'worker' ELSE 'web' END AS service,
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'warn' ELSE 'INFO' END AS level,
   CASE event_id % 6
-    WHEN 0 THEN concat('GET /checkout/', user_id % 10, ' 500 NullPointerException')
-    WHEN 1 THEN concat('Failed login attempt user=admin ip=203.0.113.', user_id % 255)
-    WHEN 2 THEN concat('Query slow: SELECT * FROM orders WHERE id=', user_id)
-    WHEN 3 THEN concat('GC overhead high / heap usage=', event_id % 100, '%')
-    WHEN 4 THEN 'GET /health 200'
-    ELSE concat('Test log #', event_id) END AS message,
+    WHEN 0 THEN concat('POST /cart/', user_id % 10, ' 500 IllegalStateException: no stock')
+    WHEN 1 THEN concat('gateway: failed login, account locked ip=198.51.100.', user_id % 255)
+    WHEN 2 THEN concat('slow query on table stock, key ', user_id)
+    WHEN 3 THEN concat('JVM heap at ', event_id % 100, ' percent after gc')
+    WHEN 4 THEN 'GET /status/ready 204'
+    ELSE concat('tick ', event_id) END AS message,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(value * 20) AS INT) END AS latency_ms,
   CAST(NULL AS {STR}) AS stacktrace
 FROM events"""

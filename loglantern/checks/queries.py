@@ -499,13 +499,13 @@ def distinct_services(spark, d):
 
 @query
 def search_recent_logs(spark, d):
-    found = jobs.search_logs(logs_of(spark, d), alerts_of(spark, d), query=" QUERY ", level="INFO", anomaly_only=True)
+    found = jobs.search_logs(logs_of(spark, d), alerts_of(spark, d), query=" QUERY ", level="INFO", anomaly_only=True, recent=600)
     return flat(found.select("ord", "ts", "service", "level", "message"))
 
 
 @query
 def search_all_logs(spark, d):
-    found = jobs.search_logs(logs_of(spark, d), query="heap usage=4", service="db", recent=None)
+    found = jobs.search_logs(logs_of(spark, d), query="heap at 4", service="db", recent=None)
     return flat(found.select("ord", "ts", "service", "level", "message"))
 
 

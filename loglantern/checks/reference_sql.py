@@ -139,7 +139,7 @@ SELECT a.*, coalesce(CAST(b->>'is_anomaly' AS BOOLEAN), false) AS is_anomaly,
   CASE WHEN reply IS NULL THEN 'normal' WHEN b IS NULL THEN 'other' ELSE coalesce(b->>'category', 'other') END AS category,
   CASE WHEN reply IS NULL THEN {q(V.WINDOW_NO_REVIEWER_SUMMARY)} WHEN b IS NULL THEN {q(V.WINDOW_BAD_REPLY_SUMMARY)}
     ELSE coalesce(b->>'summary', '') END AS summary,
-  CASE WHEN reply IS NULL THEN []::VARCHAR[] WHEN b IS NULL THEN [left(reply, 200)] ELSE ({text_list("b->'top_signals'")})[1:5] END AS top_signals,
+  CASE WHEN reply IS NULL THEN []::VARCHAR[] WHEN b IS NULL THEN [reply] ELSE ({text_list("b->'top_signals'")}) END AS top_signals,
   CASE WHEN reply IS NULL THEN [{q(V.WINDOW_NO_REVIEWER_ACTIONS[0])}] WHEN b IS NULL THEN []::VARCHAR[]
     ELSE ({text_list("b->'recommended_actions'")})[1:6] END AS recommended_actions
 FROM aggregates a LEFT JOIN window_bodies USING (window_start)""")
@@ -186,7 +186,7 @@ SQL["alerts"] = with_(("alerts",), f"SELECT * REPLACE ({iso('event_ts')} AS even
 SQL["alert_category_counts"] = with_(("alerts",), "SELECT service, category, count(*) AS n FROM alerts GROUP BY ALL")
 SQL["agent_answers"] = with_(("window_bodies",), f"""
 SELECT {iso('window_start')} AS window_start, coalesce(r, {q(V.ANSWER_NO_REVIEWER)}) AS answer,
-  CASE WHEN r IS NULL THEN {q(V.ANSWER_NO_REVIEWER)} WHEN b IS NULL THEN left(r, 900) ELSE b->>'summary' END AS agent_answer,
+  CASE WHEN r IS NULL THEN {q(V.ANSWER_NO_REVIEWER)} WHEN b IS NULL THEN r ELSE b->>'summary' END AS agent_answer,
   {joined(f'''CASE WHEN b IS NULL THEN []::VARCHAR[] ELSE {text_list("b->'top_signals'")} END''')} AS steps, '' AS commands,
   CASE WHEN r IS NULL THEN {q(V.ANSWER_NO_REVIEWER_CAUTION)} WHEN b IS NULL THEN {q(V.ANSWER_NOT_JSON_CAUTION)} ELSE '' END AS cautions
 FROM (SELECT window_start, b, replace(replace(reply, '"summary"', '"answer"'), '"top_signals"', '"steps"') AS r FROM window_bodies) x""")
@@ -296,7 +296,7 @@ part("drafted", ("anomalies", "drafts"), f"""
 SELECT a.*, CASE WHEN b IS NULL THEN {q(V.DRAFT_TITLE)} ELSE coalesce(b->>'title', {q(V.DRAFT_REPLY_TITLE)}) END AS d_title,
   CASE WHEN reply IS NULL THEN {q(V.DRAFT_NO_REVIEWER_IMPACT)} WHEN b IS NULL THEN {q(V.DRAFT_BAD_REPLY_IMPACT)} ELSE coalesce(b->>'impact', '') END AS d_impact,
   CASE WHEN reply IS NULL THEN [{q(V.DRAFT_NO_REVIEWER_TIMELINE[0])}] WHEN b IS NULL THEN []::VARCHAR[] ELSE {text_list("b->'timeline'")} END AS d_timeline,
-  CASE WHEN reply IS NULL THEN [{q(V.DRAFT_NO_REVIEWER_EVIDENCE[0])}] WHEN b IS NULL THEN [left(reply, 200)] ELSE {text_list("b->'evidence'")} END AS d_evidence,
+  CASE WHEN reply IS NULL THEN [{q(V.DRAFT_NO_REVIEWER_EVIDENCE[0])}] WHEN b IS NULL THEN [reply] ELSE {text_list("b->'evidence'")} END AS d_evidence,
   CASE WHEN reply IS NULL THEN [{q(V.DRAFT_NO_REVIEWER_ACTIONS[0])}] WHEN b IS NULL THEN [{q(V.DRAFT_BAD_REPLY_ACTIONS[0])}] ELSE {text_list("b->'recommended_actions'")} END AS d_actions
 FROM anomalies a LEFT JOIN drafts USING (window_start)""")
 part("merged", ("drafted",), f"""
@@ -304,10 +304,10 @@ SELECT *, list_concat(list_concat(top_signals, d_evidence), list_transform(seen[
   list_concat(recommended_actions, d_actions) AS all_actions FROM drafted""")
 part("reports", ("merged",), f"""
 SELECT sha256(CAST(to_json([{iso('window_end')}, category, severity, summary]) AS VARCHAR)) AS id, window_end AS event_ts, {iso('window_end')} AS ts,
-  CASE WHEN trim(d_title) = '' THEN concat(replace(category, '_', ' '), ' incident') ELSE d_title END AS title, severity, category, summary,
-  CASE WHEN trim(d_impact) = '' THEN concat('Incident affects ', array_to_string(services_top, ', '), '.') ELSE d_impact END AS impact,
-  CASE WHEN len(d_timeline) > 0 THEN d_timeline ELSE ['Window anomaly detected', concat('Category=', category, ', severity=', severity)] END AS timeline,
-  ({distinct_in_order('all_evidence')})[1:8] AS evidence, ({distinct_in_order('all_actions')})[1:8] AS recommended_actions,
+  CASE WHEN regexp_matches(d_title, '^[\\s\\p{{Z}}]*$') THEN concat(replace(category, '_', ' '), ' incident') ELSE d_title END AS title, severity, category, summary,
+  CASE WHEN regexp_matches(d_impact, '^[\\s\\p{{Z}}]*$') THEN concat('Incident affects ', array_to_string(services_top, ', '), '.') ELSE d_impact END AS impact,
+  CASE WHEN len(d_timeline) > 0 THEN d_timeline ELSE [{q(V.DEFAULT_TIMELINE_FIRST)}, concat('Category=', category, ', severity=', severity)] END AS timeline,
+  {distinct_in_order('all_evidence')} AS evidence, {distinct_in_order('all_actions')} AS recommended_actions,
   array_to_string(list_concat([summary], top_signals), ' ') AS query_text FROM merged""")
 part("report_texts", ("reports",), """
 SELECT id, event_ts, concat_ws(' ', title, summary, impact, category, severity, array_to_string(timeline, ' '), array_to_string(evidence, ' '),
@@ -378,7 +378,7 @@ SELECT tick, seen FROM {as_of('requests', 'metrics', 20,
 part("g_reports", ("requests", "reports"), f"""
 SELECT tick, seen FROM {as_of('requests', 'reports', 5, "{'label': e.title}", 'event_ts id', 'tick')} x""")
 part("g_nodes", ("g_summary", "g_alerts", "g_spans", "g_metrics", "g_reports"), """
-SELECT tick, 'n0' AS id, 'No anomaly summary available' AS label, 'state' AS type, 0.2 AS weight, '' AS edge FROM g_summary WHERE s IS NULL
+SELECT tick, 'n0' AS id, """ + q(V.GRAPH_EMPTY_LABEL) + """ AS label, 'state' AS type, 0.2 AS weight, '' AS edge FROM g_summary WHERE s IS NULL
 UNION ALL SELECT tick, 'incident', concat(s.category, ' (', s.severity, ')'), 'incident', 1.0, '' FROM g_summary WHERE s IS NOT NULL
 UNION ALL SELECT tick, concat('svc-', i), l, 'service', 0.95 - i * 0.08, 'affected' FROM (
   SELECT tick, unnest(s.services_top) AS l, generate_subscripts(s.services_top, 1) - 1 AS i FROM g_summary WHERE s IS NOT NULL) a
@@ -416,7 +416,7 @@ SELECT ord, ts, service, level, message FROM (SELECT * FROM logs ORDER BY event_
 WHERE level = 'INFO' AND contains(lower(concat_ws(' ', ts, service, level, message, '')), 'query')
   AND EXISTS (SELECT 1 FROM alerts a WHERE a.service = l.service AND abs(epoch_ms(a.event_ts) - epoch_ms(l.event_ts)) < 60000)""")
 SQL["search_all_logs"] = with_(("logs",), """
-SELECT ord, ts, service, level, message FROM logs WHERE service = 'db' AND contains(lower(concat_ws(' ', ts, service, level, message, '')), 'heap usage=4')""")
+SELECT ord, ts, service, level, message FROM logs WHERE service = 'db' AND contains(lower(concat_ws(' ', ts, service, level, message, '')), 'heap at 4')""")
 
 
 def record_line(name: str, fields: list[tuple[str, str]]) -> str:
@@ -440,7 +440,7 @@ part("last_logs", ("logs",), f"SELECT list({LOG_LINE} ORDER BY event_ts, ord) AS
 part("service_alerts", ("alerts",), f"""
 SELECT service, list(line ORDER BY rk) AS l FROM (SELECT service, {ALERT_LINE} AS line, row_number() OVER (PARTITION BY service ORDER BY event_ts DESC, ord DESC) AS rk FROM alerts) a
 WHERE rk <= 3 GROUP BY service""")
-HEAD = q("You are an SRE assistant.\nAnswer briefly and practically.\nQuestion: ").replace("\n", "' || chr(10) || '")
+HEAD = q("\n".join(V.ASK_HEADER) + "\nQuestion: ").replace("\n", "' || chr(10) || '")
 SQL["question_prompts"] = with_(("logs", "last_summary", "last_alerts", "last_logs", "service_alerts"), f"""
 SELECT ord, mode, concat({HEAD}, 'What about ', message, '?', chr(10), CASE WHEN mode = 'overview'
   THEN concat('Latest summary: ', (SELECT t FROM last_summary), chr(10), 'Recent alerts: ', (SELECT {listed('l')} FROM last_alerts), chr(10),

@@ -49,9 +49,9 @@ ALERT_THRESHOLD = 0.6
 NEW_STATUS = "NEW"
 
 # Explanations of the rule-based review.
-NOTE_NO_REVIEWER = "DO_MODEL_ACCESS_KEY not set; heuristic detection used for demo."
-NOTE_BAD_REPLY = "Fallback heuristic (parse failed)."
-NOTE_FAILED_CALL = "Fallback heuristic (Gradient call exception)."
+NOTE_NO_REVIEWER = "No reviewer configured; rule-based review used."
+NOTE_BAD_REPLY = "Rule-based review used (reply not readable)."
+NOTE_FAILED_CALL = "Rule-based review used (reviewer call failed)."
 NOTE_TEXT_SUFFIX = " (json-parse-fallback)"
 
 # Defaults of a log reply.
@@ -59,23 +59,23 @@ LOG_REPLY_CATEGORY = "other"
 LOG_REPLY_EXPLANATION = "No explanation"
 
 # Window reviews used when there is no usable reply.
-WINDOW_NO_REVIEWER_SUMMARY = "AI key not set. Window analysis fallback in effect."
-WINDOW_NO_REVIEWER_ACTIONS = ("Set DO_MODEL_ACCESS_KEY to enable Gradient Serverless analysis.",)
+WINDOW_NO_REVIEWER_SUMMARY = "No reviewer configured; the window was not judged."
+WINDOW_NO_REVIEWER_ACTIONS = ("Configure a reviewer to have windows judged.",)
 WINDOW_BAD_REPLY_SUMMARY = "Model response didn't include valid JSON; using fallback."
-WINDOW_FAILED_CALL_SUMMARY = "Gradient window analysis exception; using fallback."
+WINDOW_FAILED_CALL_SUMMARY = "Reviewer call failed; the window was not judged."
 
 # Window review used when the analysis itself failed.
-WINDOW_FAILED_JOB_SUMMARY = "AI window analysis failed (timeout/transient). Showing fallback summary."
-WINDOW_FAILED_JOB_SIGNALS = ("Gradient request timeout or transient error",)
+WINDOW_FAILED_JOB_SUMMARY = "Window analysis failed; counts only."
+WINDOW_FAILED_JOB_SIGNALS = ("Reviewer did not answer in time or failed",)
 WINDOW_FAILED_JOB_ACTIONS = (
     "Try again",
     "Reduce sample size / increase timeout",
-    "Check Gradient rate limits",
+    "Check the reviewer's rate limits",
 )
 
 # Answers used when there is no usable reply.
-ANSWER_NO_REVIEWER = "AI key is not configured. Please set DO_MODEL_ACCESS_KEY."
-ANSWER_NO_REVIEWER_CAUTION = "Using fallback because no model access key is set."
+ANSWER_NO_REVIEWER = "No reviewer configured."
+ANSWER_NO_REVIEWER_CAUTION = "Nobody was asked: no reviewer is configured."
 ANSWER_BLANK = "No answer."
 ANSWER_FAILED_CALL = "AI request failed."
 ANSWER_FAILED_CALL_CAUTION = "Exception during model call."
@@ -85,10 +85,10 @@ ANSWER_NOT_JSON_CAUTION = "Model output was not strict JSON."
 # Incident drafts used when there is no usable reply.
 DRAFT_TITLE = "Incident report fallback"
 DRAFT_REPLY_TITLE = "Incident report"
-DRAFT_NO_REVIEWER_IMPACT = "AI key is not configured."
+DRAFT_NO_REVIEWER_IMPACT = "No reviewer configured."
 DRAFT_NO_REVIEWER_TIMELINE = ("Window anomaly detected",)
-DRAFT_NO_REVIEWER_EVIDENCE = ("No DO_MODEL_ACCESS_KEY configured",)
-DRAFT_NO_REVIEWER_ACTIONS = ("Set DO_MODEL_ACCESS_KEY",)
+DRAFT_NO_REVIEWER_EVIDENCE = ("No reviewer configured",)
+DRAFT_NO_REVIEWER_ACTIONS = ("Configure a reviewer",)
 DRAFT_BAD_REPLY_IMPACT = "Model output was not valid JSON."
 DRAFT_BAD_REPLY_ACTIONS = ("Retry with smaller context",)
 DRAFT_FAILED_CALL_IMPACT = "AI request failed."
@@ -96,11 +96,6 @@ DRAFT_FAILED_CALL_EVIDENCE = ("Exception during model call",)
 DRAFT_FAILED_CALL_ACTIONS = ("Retry request",)
 DEFAULT_TIMELINE_FIRST = "Window anomaly detected"
 
-# Lengths kept of replies that are not JSON.
-WINDOW_REPLY_PREVIEW = 200
-DRAFT_REPLY_PREVIEW = 200
-ANSWER_REPLY_PREVIEW = 900
-
 # Window lengths and list sizes.
 SHORT_WINDOW_SEC = 5
 LONG_WINDOW_SEC = 30
@@ -110,19 +105,14 @@ ANALYSIS_SLIDE_SEC = 10
 LAST_IPS = 5
 TOP_SERVICES = 3
 SAMPLE_LOGS = 10
-SUMMARY_SIGNALS = 5
-SUMMARY_ACTIONS = 6
 REPORT_ALERTS = 10
 CONTEXT_ALERTS = 8
 EVIDENCE_ALERTS = 3
-REPORT_EVIDENCE = 8
-REPORT_ACTIONS = 8
 REPORT_SIMILAR = 3
 SIMILAR_LIMIT = 5
 FEED_LOGS = 500
 FEED_ALERTS = 200
 FEED_SUMMARIES = 60
-STORE_LIMIT = 500
 EMBEDDING_DIMS = 64
 
 # Root-cause graph.

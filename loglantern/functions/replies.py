@@ -63,7 +63,7 @@ class _Reply:
     def flag(self, name: str) -> Column:
         value = self.parsed[name]
         return F.coalesce(
-            (F.trim(value) == "true") | F.coalesce(value.try_cast("double") != 0, F.lit(False)), F.lit(False)
+            (F.trim(value) == "true") | F.coalesce(value.try_cast("bigint") != 0, F.lit(False)), F.lit(False)
         ).alias(name)
 
 

@@ -13,16 +13,22 @@ def texts(values: Sequence[str]) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.trim(F.coalesce(text, F.lit(""))) == ""
+    """Null, empty, or white space of any kind."""
+    return F.coalesce(text, F.lit("")).rlike(r"^[\s\p{Z}]*$")
 
 
 def if_blank(text: Column, fallback: Column) -> Column:
     return F.when(blank(text), fallback).otherwise(text)
 
 
-def merge_distinct(limit: int, *lists: Column) -> Column:
-    """Concatenate, keep the first occurrence of each entry, cut to ``limit``."""
-    return F.slice(F.array_distinct(F.concat(*lists)), 1, limit)
+def first_of(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` entries; all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def merge_distinct(limit: int | None, *lists: Column) -> Column:
+    """Concatenate, keep the first occurrence of each entry, cut to ``limit`` if there is one."""
+    return first_of(F.array_distinct(F.concat(*lists)), limit)
 
 
 def truncate(text: Column, n: int) -> Column:

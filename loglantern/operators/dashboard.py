@@ -11,7 +11,6 @@ from loglantern.operators.ranking import ALERT_ORDER, SUMMARY_ORDER, latest
 from loglantern.operators.related import near_alerts, newest_per_key
 
 KPI_LOGS = 100
-SEARCH_LOGS = 600
 
 
 def active_alerts(alerts: DataFrame) -> DataFrame:
@@ -49,9 +48,9 @@ def search_logs(
     service: str = "all",
     level: str = "all",
     anomaly_only: bool = False,
-    recent: int | None = SEARCH_LOGS,
+    recent: int | None = None,
 ) -> DataFrame:
-    """Filter the newest logs; ``recent=None`` searches the whole table.
+    """Filter the logs, newest first; ``recent`` limits the search to so many of the newest.
 
     The level is matched case-sensitively, the text ignoring case.
     """
@@ -68,7 +67,7 @@ def search_logs(
         if alerts is None:
             raise ValueError("anomaly_only needs the alerts")
         found = near_alerts(found, alerts)
-    return found
+    return found.orderBy(F.col("event_ts").desc(), F.col("ord").desc())
 
 
 def log_text(log: Column) -> Column:

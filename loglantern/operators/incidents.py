@@ -77,8 +77,11 @@ def incident_contexts(anomalies: DataFrame, alerts: DataFrame, step_sec: int) ->
     return seen.withColumn("context", context)
 
 
-def assemble_reports(drafted: DataFrame) -> DataFrame:
-    """Report rows from contexts with a ``draft``; still without similar incidents."""
+def assemble_reports(drafted: DataFrame, evidence: int | None = None, actions: int | None = None) -> DataFrame:
+    """Report rows from contexts with a ``draft``; still without similar incidents.
+
+    ``evidence`` and ``actions`` cut those lists; by default they are whole.
+    """
     alert_lines = F.transform(
         F.slice("alerts", 1, V.EVIDENCE_ALERTS), lambda a: F.concat(a["service"], F.lit(": "), a["message"])
     )
@@ -101,9 +104,9 @@ def assemble_reports(drafted: DataFrame) -> DataFrame:
             F.concat(F.lit("Incident affects "), F.array_join("services_top", ", "), F.lit(".")),
         ).alias("impact"),
         F.when(F.size("draft.timeline") > 0, F.col("draft.timeline")).otherwise(default_timeline).alias("timeline"),
-        merge_distinct(V.REPORT_EVIDENCE, F.col("top_signals"), F.col("draft.evidence"), alert_lines).alias("evidence"),
+        merge_distinct(evidence, F.col("top_signals"), F.col("draft.evidence"), alert_lines).alias("evidence"),
         merge_distinct(
-            V.REPORT_ACTIONS, F.col("recommended_actions"), F.col("draft.recommended_actions")
+            actions, F.col("recommended_actions"), F.col("draft.recommended_actions")
         ).alias("recommended_actions"),
         similarity_text(F.col("summary"), F.col("top_signals")).alias("_query"),
     )
@@ -143,10 +146,11 @@ def merge_incidents(store: DataFrame, batch: DataFrame, version: str = "version"
     return latest_per_key(both, ["id"], [F.col(version).desc(), F.col("_new").desc()], 1).drop("_new", "_rank")
 
 
-def newest_saved(saves: DataFrame, n: int = V.STORE_LIMIT, version: str = "version") -> DataFrame:
-    """The bounded fallback store: last save per id, then the ``n`` newest saves."""
+def newest_saved(saves: DataFrame, n: int | None = None, version: str = "version") -> DataFrame:
+    """Last save per id, newest first; the ``n`` newest where a number is given."""
     last = latest_per_key(saves, ["id"], [F.col(version).desc()], 1).drop("_rank")
-    return last.orderBy(F.col(version).desc(), F.col("id").desc()).limit(n)
+    last = last.orderBy(F.col(version).desc(), F.col("id").desc())
+    return last if n is None else last.limit(n)
 
 
 LIST_COLUMNS = ("timeline", "evidence", "recommended_actions", "similar_incident_ids")

@@ -140,8 +140,8 @@ def review_logs(df: DataFrame, raw: str = "raw", use_parsed: bool = False) -> Da
 
 
 def to_alerts(reviewed: DataFrame, threshold: float = V.ALERT_THRESHOLD) -> DataFrame:
-    """Alert rows of the anomalous reviews at or above the threshold."""
-    return reviewed.where(F.col("review.is_anomaly") & (F.col("review.score") >= threshold)).select(
+    """Alert rows of the anomalous reviews at or above the threshold; a score that is not a number is not."""
+    return reviewed.where(F.col("review.is_anomaly") & (F.col("review.score") >= threshold) & ~F.isnan("review.score")).select(
         "ord",
         "event_ts",
         "ts",
@@ -166,8 +166,15 @@ def _window_review(summary: str, category: str, signals: Column, actions: Sequen
     )
 
 
-def review_windows(df: DataFrame) -> DataFrame:
-    """Add the ``review`` of a window summary; without a reviewer no window is anomalous."""
+def _preview(reply: Column, n: int | None) -> Column:
+    return reply if n is None else F.left(reply, F.lit(n))
+
+
+def review_windows(df: DataFrame, preview: int | None = None) -> DataFrame:
+    """Add the ``review`` of a window summary; without a reviewer no window is anomalous.
+
+    An unreadable reply is kept as a signal, whole or its first ``preview`` characters.
+    """
     df = _with_reply(df)
     reply = F.col("reply")
     review = (
@@ -180,7 +187,7 @@ def review_windows(df: DataFrame) -> DataFrame:
             F.coalesce(
                 R.window_reply(reply),
                 _window_review(
-                    V.WINDOW_BAD_REPLY_SUMMARY, "other", F.array(F.left(reply, F.lit(V.WINDOW_REPLY_PREVIEW)))
+                    V.WINDOW_BAD_REPLY_SUMMARY, "other", F.array(_preview(reply, preview))
                 ),
             )
         )
@@ -196,8 +203,8 @@ def failed_window_review(df: DataFrame, failed: Column) -> DataFrame:
     return df.withColumn("review", F.when(failed, fallback).otherwise(F.col("review")))
 
 
-def draft_incidents(df: DataFrame) -> DataFrame:
-    """Add the ``draft`` of an incident report."""
+def draft_incidents(df: DataFrame, preview: int | None = None) -> DataFrame:
+    """Add the ``draft`` of an incident report; ``preview`` as for windows."""
     df = _with_reply(df)
     reply = F.col("reply")
 
@@ -230,7 +237,7 @@ def draft_incidents(df: DataFrame) -> DataFrame:
                 draft(
                     V.DRAFT_BAD_REPLY_IMPACT,
                     (),
-                    F.array(F.left(reply, F.lit(V.DRAFT_REPLY_PREVIEW))),
+                    F.array(_preview(reply, preview)),
                     V.DRAFT_BAD_REPLY_ACTIONS,
                 ),
             )
@@ -251,8 +258,8 @@ def answer_questions(df: DataFrame) -> DataFrame:
     )
 
 
-def structured_answers(df: DataFrame) -> DataFrame:
-    """Add ``agent`` struct(answer, steps, commands, cautions) of a question."""
+def structured_answers(df: DataFrame, preview: int | None = None) -> DataFrame:
+    """Add ``agent`` struct(answer, steps, commands, cautions) of a question; ``preview`` as for windows."""
     df = _with_reply(df)
     reply = F.col("reply")
 
@@ -264,10 +271,10 @@ def structured_answers(df: DataFrame) -> DataFrame:
             texts((caution,)).alias("cautions"),
         )
 
-    preview = if_blank(F.left(reply, F.lit(V.ANSWER_REPLY_PREVIEW)), F.lit(V.ANSWER_NOT_JSON))
+    shown = if_blank(_preview(reply, preview), F.lit(V.ANSWER_NOT_JSON))
     return df.withColumn(
         "agent",
         F.when(F.col("reply_failed"), agent(F.lit(V.ANSWER_FAILED_CALL), V.ANSWER_FAILED_CALL_CAUTION))
         .when(reply.isNull(), agent(F.lit(V.ANSWER_NO_REVIEWER), V.ANSWER_NO_REVIEWER_CAUTION))
-        .otherwise(F.coalesce(R.agent_reply(reply), agent(preview, V.ANSWER_NOT_JSON_CAUTION))),
+        .otherwise(F.coalesce(R.agent_reply(reply), agent(shown, V.ANSWER_NOT_JSON_CAUTION))),
     )

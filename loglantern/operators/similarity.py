@@ -37,8 +37,21 @@ def similar_to_text(store: DataFrame, text: str, k: int = V.SIMILAR_LIMIT) -> Da
     )
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _scores(queries: pd.Series, store: pd.Series) -> np.ndarray:
+    """Cosine of every query with every stored vector, over the shorter length of the two; 0 for null."""
+    q, s = ([np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in side] for side in (queries, store))
+    q_len, s_len = np.array([len(v) for v in q]), np.array([len(v) for v in s])
+    out = np.zeros((len(q), len(s)))
+    for a in np.unique(q_len):
+        for b in np.unique(s_len):
+            n, rows, cols = min(a, b), np.flatnonzero(q_len == a), np.flatnonzero(s_len == b)
+            if n:
+                out[np.ix_(rows, cols)] = _unit([q[i][:n] for i in rows]) @ _unit([s[j][:n] for j in cols]).T
+    return out
+
+
+def _unit(vectors: list[np.ndarray]) -> np.ndarray:
+    m = np.stack(vectors)
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
@@ -46,13 +59,13 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def _block_top_k(queries: pd.DataFrame, store: pd.DataFrame, k: int, earlier_only: bool) -> pd.DataFrame:
     """Top ``k`` of one store block for every query of one query block."""
     store = store.sort_values("id").reset_index(drop=True)
-    s, s_id = _unit(store["vec"]), store["id"].to_numpy()
+    s_id = store["id"].to_numpy()
     s_at = store["at"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rows = max(1, _CELLS // len(store))
     for first in range(0, len(queries), rows):
         part = queries.iloc[first : first + rows]
-        scores = np.round(_unit(part["vec"]) @ s.T, RANK_DECIMALS)
+        scores = np.round(_scores(part["vec"], store["vec"]), RANK_DECIMALS)
         if earlier_only:
             scores[s_at[None, :] >= part["at"].to_numpy()[:, None]] = -np.inf
         # Everything at or above the k-th best score, ties included; store rows

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglantern import fixed_values as V
 from loglantern import schemas
 from loglantern.functions.log_fields import iso_text
+from loglantern.functions.text import first_of
 from loglantern.operators.panes import assign_windows, count_panes, latest_per_key, pane_step, pane_tails
 from loglantern.operators.review import review_windows
 
@@ -103,15 +104,15 @@ def with_payload(windows: DataFrame) -> DataFrame:
     return windows.withColumn("payload", payload)
 
 
-def finish_summaries(reviewed: DataFrame) -> DataFrame:
-    """Summary rows from aggregates with a ``review``; long lists are cut here."""
+def finish_summaries(reviewed: DataFrame, signals: int | None = None, actions: int | None = None) -> DataFrame:
+    """Summary rows from aggregates with a ``review``; the lists are cut only where a limit is given."""
     columns = {
         "is_anomaly": F.col("review.is_anomaly"),
         "severity": F.col("review.severity"),
         "category": F.col("review.category"),
         "summary": F.col("review.summary"),
-        "top_signals": F.slice("review.top_signals", 1, V.SUMMARY_SIGNALS),
-        "recommended_actions": F.slice("review.recommended_actions", 1, V.SUMMARY_ACTIONS),
+        "top_signals": first_of(F.col("review.top_signals"), signals),
+        "recommended_actions": first_of(F.col("review.recommended_actions"), actions),
     }
     return reviewed.withColumns(columns).select(*schemas.SUMMARY.fieldNames())
 

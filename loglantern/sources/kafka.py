@@ -33,11 +33,14 @@ def stream_reader(spark: SparkSession, servers: str, topic: str, max_offsets: in
 def raw_lines(kafka: DataFrame) -> DataFrame:
     """Kafka rows as (ord, source_ts, raw).
 
-    Arrival order inside a partition is the offset; partitions interleave by
-    putting the partition number into the lowest digits.
+    Arrival order is the broker's timestamp in milliseconds, then partition,
+    then offset. They are packed into one number: 9 bits for the partition and
+    12 for the offset, enough for 4,096 rows of one partition and millisecond.
     """
     return kafka.select(
-        (F.col("offset") * 100000 + F.col("partition")).alias("ord"),
+        (
+            F.unix_millis("timestamp") * (1 << 21) + F.pmod("partition", F.lit(1 << 9)) * (1 << 12) + F.pmod("offset", F.lit(1 << 12))
+        ).alias("ord"),
         F.col("timestamp").alias("source_ts"),
         F.col("value").cast("string").alias("raw"),
     )
@@ -49,6 +52,11 @@ def to_messages(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select((F.col(key) if key else F.lit(None)).cast("string").alias("key"), value.alias("value"))
 
 
+def log_messages(logs: DataFrame) -> DataFrame:
+    """Logs as (key, value) rows in their canonical JSON, which the parser and the review read back."""
+    return to_messages(logs.select("ts", "service", "level", "message", F.col("latency_ms").alias("latencyMs"), "stacktrace"))
+
+
 def write_options(servers: str, topic: str) -> dict[str, str]:
     return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}
 

@@ -1,5 +1,6 @@
 """Edge cases and skewed inputs of the window, join, incident and graph operators."""
 
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -143,7 +144,8 @@ def test_incident_rules(spark):
     assert len(got) == 2
     first, second = got
     assert first["title"] == "error spike incident" and first["impact"] == "Incident affects a(3), b(2)."
-    assert first["evidence"] == ["x", "y", "e1", "e2", "e3", "e4", "e5", "e6"]
+    assert first["evidence"] == ["x", "y", "e1", "e2", "e3", "e4", "e5", "e6", "e7", "svc: m19", "svc: m18", "svc: m17"][: len(first["evidence"])]
+    assert len(first["evidence"]) == 12
     assert first["recommended_actions"] == ["act", "b"] and first["similar_incident_ids"] == []
     assert first["timeline"] == ["Window anomaly detected", "Category=error_spike, severity=high"]
     assert second["evidence"] == ["prose", "svc: m19", "svc: m18", "svc: m17"]
@@ -272,9 +274,32 @@ def test_blank_questions_are_dropped(spark):
 def test_kafka_shapes(spark):
     options = kafka.read_options("h:1", kafka.LOG_TOPIC, 10)
     assert options["startingOffsets"] == "earliest" and options["kafka.isolation.level"] == "read_committed"
-    rows = spark.createDataFrame([(bytearray(b"x"), 3, 7, T0)], "value binary, partition int, offset bigint, timestamp timestamp")
-    assert kafka.raw_lines(rows).first()["ord"] == 700003
-    assert kafka.to_messages(logs(spark, [(1, 0, "a", "INFO", "m", None)])).first()["key"] is None
+    day = lambda days, ms=0: T0 + timedelta(days=days, milliseconds=ms)
+    rows = [(b"june", 1, 5, day(150)), (b"january", 0, 1000, day(0)), (b"january, later", 0, 1001, day(0, 1)), (b"same time", 1, 4, day(0, 1))]
+    frame = spark.createDataFrame([(bytearray(v), *r) for v, *r in rows], "value binary, partition int, offset bigint, timestamp timestamp")
+    assert [r["raw"] for r in kafka.raw_lines(frame).orderBy("ord").collect()] == ["january", "january, later", "same time", "june"]
+    sent = kafka.log_messages(logs(spark, [(1, 0, "a", "INFO", "m", 1600)])).first()
+    assert sent["key"] is None and json.loads(sent["value"])["latencyMs"] == 1600 and "ord" not in json.loads(sent["value"])
+
+
+def test_blank_nan_and_flags(spark):
+    from loglantern.functions.text import blank
+    from loglantern.operators import review
+
+    texts = ["", " ", "\n", " \t", "\u2003", "x", " x\n", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(blank(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True] * 5 + [False, False, True]
+    replies = ['{"is_anomaly":true,"score":"NaN"}', '{"is_anomaly":0.5,"score":0.9}', '{"is_anomaly":true,"score":0.9}', '{"is_anomaly":2,"score":0.9}']
+    rows = logs(spark, [(i, 0, "a", "INFO", "m", None) for i in range(4)]).withColumn("raw", F.lit("{}"))
+    rows = rows.withColumn("reply", F.element_at(F.array(*map(F.lit, replies)), (F.col("ord") + 1).cast("int")))
+    assert [r["ord"] for r in review.to_alerts(review.review_logs(rows)).orderBy("ord").collect()] == [2, 3]
+
+
+def test_nearest_with_unequal_lengths(spark):
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None)], "query_id string, vec array<double>")
+    store = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0, 0.0, 5.0]), ("c", None)], "id string, vec array<double>")
+    got = {(r["query_id"], r["id"]): round(r["score"], 6) for r in similarity.nearest(queries, store, 3).collect()}
+    assert got == {("q", "b"): 1.0, ("q", "a"): 0.707107, ("q", "c"): 0.0, ("r", "a"): 0.0, ("r", "b"): 0.0, ("r", "c"): 0.0}
 
 
 def test_plans_have_no_cross_join_and_limit_before_the_shuffle(spark, sf):

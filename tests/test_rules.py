@@ -98,12 +98,12 @@ def test_addresses(spark):
 
 REVIEW_CASES = [
     # raw, category, score; the scenarios first
-    (line(level="INFO", message="GET /health 200", latencyMs=20), "normal", 0.08),
-    (line(level="ERROR", message="GET /checkout 500 NullPointerException", latencyMs=300), "error_spike", 0.85),
-    (line(service="auth", level="WARN", message="Failed login attempt user=admin ip=203.0.113.7"), "security", 0.82),
-    (line(service="db", level="WARN", message="Query slow: SELECT *", latencyMs=900), "latency", 0.72),
-    (line(service="worker", level="WARN", message="GC overhead high / heap usage=80%"), "resource", 0.76),
-    (line(level="INFO", message="Test log #1"), "normal", 0.08),
+    (line(level="INFO", message="GET /status/ready 204", latencyMs=20), "normal", 0.08),
+    (line(level="ERROR", message="POST /cart 500 IllegalStateException", latencyMs=300), "error_spike", 0.85),
+    (line(service="auth", level="WARN", message="gateway: failed login, account locked ip=198.51.100.7"), "security", 0.82),
+    (line(service="db", level="WARN", message="slow query on table stock", latencyMs=900), "latency", 0.72),
+    (line(service="worker", level="WARN", message="JVM heap at 80 percent after gc"), "resource", 0.76),
+    (line(level="INFO", message="tick 1"), "normal", 0.08),
     (line(level="INFO", message="a 500 b"), "error_spike", 0.85),
     (line(level="INFO", message="ends with 500"), "normal", 0.08),
     (line(level="INFO", message="a room"), "resource", 0.76),
@@ -168,8 +168,10 @@ def test_draft_and_agent_fallbacks(spark):
     df = spark.createDataFrame([(1, None, False), (2, None, True), (3, "x" * 1000, False), (4, '{"title":"t"}', False)], "i int, reply string, reply_failed boolean")
     d = {r["i"]: r for r in review.structured_answers(review.answer_questions(review.draft_incidents(df))).collect()}
     assert d[1]["draft"]["impact"] == V.DRAFT_NO_REVIEWER_IMPACT and d[2]["draft"]["impact"] == V.DRAFT_FAILED_CALL_IMPACT
-    assert d[3]["draft"]["evidence"] == ["x" * 200] and d[4]["draft"]["title"] == "t"
-    assert d[3]["agent"]["answer"] == "x" * 900 and d[2]["answer"] == V.ANSWER_FAILED_CALL
+    assert d[3]["draft"]["evidence"] == ["x" * 1000] and d[4]["draft"]["title"] == "t"
+    assert d[3]["agent"]["answer"] == "x" * 1000 and d[2]["answer"] == V.ANSWER_FAILED_CALL
+    cut = review.structured_answers(review.draft_incidents(df, preview=200), preview=900).where("i = 3").first()
+    assert cut["draft"]["evidence"] == ["x" * 200] and cut["agent"]["answer"] == "x" * 900
 
 
 def test_envelope(spark):
