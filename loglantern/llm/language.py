@@ -163,13 +163,20 @@ def fit(docs: DataFrame, per_lang: int = 1500, grams_each: int = 256, buckets: i
     that are not held out. These bounds hold at every size of input.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    langs = sorted(r[0] for r in known.select("lang").distinct().limit(max_langs + 1).collect())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(max_langs + 1).collect()}
+    langs = sorted(counts)
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
+    # Only hashes below a bound can be among the first per_lang of their language: twice as many and 200 pass it.
+    few = F.lit(False)
+    for lang in langs:
+        share = min(1.0, (2 * per_lang + 200) / counts[lang])
+        few = few | ((F.col("lang") == lang) & (F.col("hash") <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).where(few)
+    chosen = hashed.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
     # At most per_lang x max_langs ids: small enough to send to every task.
     rows = (
         known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
