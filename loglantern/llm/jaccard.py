@@ -7,10 +7,11 @@ shingles that many documents share is lengthened by e and may then set aside
 its e most frequent prefix shingles: such a pair has to share l = 1 + min(e)
 prefix shingles, so at least one of them is not set aside by both.
 
-Groups are never expanded into all pairs. First every prefix shingle tries its
-documents of like size against one pivot, the document that has most of its
-prefix in common with others; more rounds try other pivots where a shingle's
-documents are still in different components. Only pairs that are apart after
+Groups are never expanded into all pairs. Every prefix shingle has a pivot for
+its documents of like size, the one that has most of its prefix in common with
+others. First each document is tried with the best of its pivots; where a
+shingle's documents are still in different components after that, with all of
+its pivots, and in more rounds with others. Only pairs that are apart after
 that are all tried. Components, not pairs, are the result, so nothing is lost.
 """
 
@@ -183,14 +184,19 @@ def _fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _pivot_pairs(postings: DataFrame, order: Column, percent: int, apart: bool) -> DataFrame:
-    """Pairs (a, b, l) of each shingle's first document by ``order`` with the others of like size; a < b."""
+def _pivot_pairs(postings: DataFrame, order: Column, percent: int, apart: bool, one: bool = False) -> DataFrame:
+    """Pairs (a, b, l) of each shingle's first document by ``order`` with the others of like size; a < b.
+
+    ``one``: only the first of all pivots that a document meets.
+    """
     sized = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).withColumn("order", order)
     facts = ["order", "doc", "n", "e", "strong"] + ["comp"] * apart
     pivots = sized.groupBy("token", "band").agg(F.min(F.struct(*facts)).alias("p"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
     met = sized.join(pivots.drop("docs"), ["token", "band"]).where("doc <> p.doc AND (strong OR p.strong)").where(_fits("n", "p.n", percent))
     if apart:
         met = met.where("comp <> p.comp")
+    if one:
+        met = met.groupBy("doc").agg(F.min(F.struct("p.order", "p.doc", "p.e")).alias("p"), F.min("e").alias("e"))
     return met.groupBy(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).agg(F.min(F.least("e", "p.e") + 1).alias("l"))
 
 
@@ -204,7 +210,7 @@ def _still_apart(postings: DataFrame, found: DataFrame) -> DataFrame:
     return stored(placed.join(mixed, "token"))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text, ...).
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their
@@ -233,13 +239,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         .mapInArrow(_adapted(percent), "token long, doc long, n long, e long, strong boolean, alone double")
     )
 
-    tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False))
+    tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False, one=True))
     links = _links(texts, tried, k, percent)
     found = components(links)
     placed = _still_apart(postings, found)
     few = stored(texts.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     for turn in range(rounds):
-        pairs = stored(_pivot_pairs(placed, F.xxhash64("doc", F.lit(turn)), percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("alone")
+        pairs = stored(_pivot_pairs(placed, order, percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         more = _links(few, pairs, k, percent)
