@@ -11,8 +11,9 @@ Groups are never expanded into all pairs. Every prefix shingle has a pivot for
 its documents of like size, the one that has most of its prefix in common with
 others. First each document is tried with the best of its pivots; where a
 shingle's documents are still in different components after that, with all of
-its pivots, and in more rounds with others. Only pairs that are apart after
-that are all tried. Components, not pairs, are the result, so nothing is lost.
+its pivots, and in more rounds with others. What is apart after that is cut into
+blocks; a task compares two blocks that meet in a shingle and returns links.
+Components, not pairs, are the result, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from loglantern.llm.words import byte_texts, shingle_set
 
 #: Shingles of documents that a task remembers between pairs.
 KNOWN = 3_000_000
+#: Documents and shingles of a block, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -200,6 +203,89 @@ def _pivot_pairs(postings: DataFrame, order: Column, percent: int, apart: bool,
     return met.groupBy(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).agg(F.min(F.least("e", "p.e") + 1).alias("l"))
 
 
+def _blocks(placed: DataFrame, percent: int) -> DataFrame:
+    """(doc, block): documents of like size that share their most frequent shingle, a bounded number of rows and shingles to a block."""
+    common = placed.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+    homes = placed.join(common, "token").groupBy("doc").agg(F.first("n").alias("n"), F.max(F.struct("docs", "token")).alias("home"))
+    homes = homes.select("doc", "n", F.col("home.token").alias("home"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).alias("band"))
+    pieces = homes.groupBy("home", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).alias("pieces"))
+    piece = F.pmod(F.xxhash64("doc"), "pieces")
+    return homes.join(pieces, ["home", "band"]).select("doc", F.xxhash64("home", "band", piece).alias("block"))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of common elements of the sets ``left`` and ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    one, two = np.concatenate(left), np.concatenate(right)
+    known = np.intersect1d(one, two)
+    at = []
+    for sets, flat in ((left, one), (right, two)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.searchsorted(known, flat)
+        there = column < len(known)
+        there[there] = known[column[there]] == flat[there]
+        order = np.argsort(column[there], kind="stable")
+        at.append((row[there][order], column[there][order]))
+    for lo in range(0, len(known), 4096):
+        parts = []
+        for sets, (row, column) in zip((left, right), at):
+            some = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            dense = np.zeros((len(sets), min(4096, len(known) - lo)), np.float32)
+            dense[row[some], column[some] - lo] = 1
+            parts.append(dense)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(docs: np.ndarray, comp: np.ndarray, e: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the documents ``first`` and ``second`` (places in ``docs``) of different components.
+
+    Enough shared prefix shingles come first, then the whole sets.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    head = [x[: plain_prefix(len(x), percent) + int(more)] for x, more in zip(sets, e)]
+    a, b = n[first][:, None], n[second][None, :]
+    open_ = (comp[first][:, None] != comp[second][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    if open_.any():
+        open_ &= _common([head[i] for i in first], [head[i] for i in second]) > np.minimum(e[first][:, None], e[second][None, :])
+    rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(rows):
+        return docs[:0], docs[:0]
+    first, second = first[rows], second[columns]
+    both = _common([sets[i] for i in first], [sets[i] for i in second])
+    linked = open_[np.ix_(rows, columns)] & (100 * both >= percent * (n[first][:, None] + n[second][None, :] - both))
+    i, j = np.nonzero(linked)
+    return docs[first[i]], docs[second[j]]
+
+
+def _between_blocks(k: int, percent: int):
+    """Links (a, b) of each pair of blocks; rows arrive sorted by (block_a, block_b, doc)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int, int, np.ndarray]] = {}
+        now = None
+
+        def links() -> pa.RecordBatch:
+            docs = np.array(list(held), np.int64)
+            comp, e, block = (np.array([f[i] for f in held.values()], np.int64) for i in range(3))
+            first, second = np.flatnonzero(block == now[0]), np.flatnonzero(block == now[1])
+            a, b = _block_links(docs, comp, e, first, second, [f[3] for f in held.values()], percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("block_a", "block_b", "block", "doc", "comp", "e")]
+            for one, two, block, doc, comp, e, text in zip(*columns, byte_texts(batch.column("text"))):
+                if now != (one, two):
+                    if held:
+                        yield links()
+                    held, now = {}, (one, two)
+                held[doc] = (comp, e, block, shingle_set(text, k))
+        if held:
+            yield links()
+
+    return run
+
+
 def _still_apart(postings: DataFrame, found: DataFrame) -> DataFrame:
     """``postings`` with the component of each document, for shingles that several components have."""
     placed = (
@@ -255,7 +341,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
             found = components(links)
             placed = _still_apart(placed, found)
 
-    # What is still apart: pairs of components that meet in a shingle, then their documents.
+    # What is still apart: documents in blocks, and pairs of blocks that meet in a shingle.
     # Shingles that none of the documents left shares with another cannot be in common: room is what can.
     placed = placed.join(placed.groupBy("token").agg(F.max("strong").alias("any")).where("any").select("token"), "token")
     left = few.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -264,21 +350,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         .where("docs = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lonely"))
     )
     placed = stored(placed.join(lonely, "doc", "left").withColumn("room", F.col("n") - F.coalesce("lonely", F.lit(0))))
-    enough = "%d * least(room_a, room_b) >= %d * (n{0}_a + n{0}_b)" % (100 + percent, percent)
-    parts = placed.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("room").alias("room"), F.max("strong").alias("s"))
-    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n0", "n1", "room", "s")]) for x in "ab")
-    meet = one.join(two, "token").where(
-        f"comp_a < comp_b AND (s_a OR s_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a AND " + enough.format(0)
-    ).select("token", "comp_a", "comp_b")
-    one, two = (placed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "doc", "n", "e", "strong", "room")]) for x in "ab")
-    rest = stored(
-        meet.join(one, ["token", "comp_a"]).join(two, ["token", "comp_b"])
-        .where("strong_a OR strong_b").where(_fits("n_a", "n_b", percent)).where(enough.format(""))
-        .groupBy(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-        .agg(F.min(F.least("e_a", "e_b") + 1).alias("l"))
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    blocks = stored(_blocks(placed, percent))
+    enough = "%d * least(room_a, room_b) >= %d * (n0_a + n0_b)" % (100 + percent, percent)
+    parts = placed.join(blocks, "doc").groupBy("token", "block").agg(
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("room").alias("room"), F.max("strong").alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
+    )
+    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "n0", "n1", "room", "s", "c0", "c1")]) for x in "ab")
+    meet = stored(
+        one.join(two, "token").where(
+            f"block_a <= block_b AND (s_a OR s_b) AND least(c0_a, c0_b) < greatest(c1_a, c1_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a AND " + enough
+        ).select("block_a", "block_b").distinct()
     )
-    found = components(links.union(_links(few, rest, k, percent)))
+    facts = placed.select("doc", "e", "comp").distinct().join(blocks, "doc").join(few.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    sides = meet.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    met = sides.join(facts, "block").repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "doc")
+    found = components(links.union(stored(met.mapInArrow(_between_blocks(k, percent), "a long, b long"))))
 
     of_class = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
