@@ -176,9 +176,19 @@ def _verified(k: int, percent: int):
     return run
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in ``ids``.
+
+    The ids are stored, so that Spark knows their size when it plans: below its
+    threshold they are broadcast and texts are filtered where they are read,
+    beyond it both sides are shuffled.
+    """
+    return texts.join(stored(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = _of(texts, pairs.select("a")).select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = _of(texts, pairs.select("b")).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "l", "text_a", "text_b")
     return stored(both.mapInArrow(_verified(k, percent), "a long, b long"))
 
@@ -311,11 +321,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = stored(texts.mapInArrow(_signatures(k), "doc_id long, n long, a long, b long"))
     classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     tokens = (
-        texts.mapInArrow(_prefixes(k, percent), "doc_id long, n long, tokens array<long>")
-        .join(reps, "doc_id", "left_semi")
+        _of(texts, classes.select("rep")).mapInArrow(_prefixes(k, percent), "doc_id long, n long, tokens array<long>")
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token"))
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -329,7 +337,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     links = _links(texts, tried, k, percent)
     found = components(links)
     placed = _still_apart(postings, found)
-    few = stored(texts.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    few = stored(_of(texts, placed.select("doc")))
     for turn in range(rounds):
         order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("alone")
         pairs = stored(_pivot_pairs(placed, order, percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
@@ -344,7 +352,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     # What is still apart: documents in blocks, and pairs of blocks that meet in a shingle.
     # Shingles that none of the documents left shares with another cannot be in common: room is what can.
     placed = placed.join(placed.groupBy("token").agg(F.max("strong").alias("any")).where("any").select("token"), "token")
-    left = few.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    left = _of(few, placed.select("doc"))
     lonely = (
         left.mapInArrow(_whole(k), "doc long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("doc"))
         .where("docs = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lonely"))
