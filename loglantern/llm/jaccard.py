@@ -68,41 +68,25 @@ def extension(pos: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[in
     return e, inside, np.isin(inside, aside)
 
 
-def _signatures(k: int):
-    """(doc_id, n, a, b): size and two hashes of each document's shingle set."""
+def _signatures(k: int, percent: int):
+    """(doc_id, n, a, b, tokens): size and two hashes of each document's shingle set, and the longest prefix that may be needed, in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, tokens = [], [], [], [np.zeros(0, np.int64)]
             for text in byte_texts(batch.column("text")):
                 s = shingle_set(text, k)
                 n.append(len(s))
                 a.append(np.bitwise_xor.reduce(s) if len(s) else np.uint64(0))
                 b.append(s.sum(dtype=np.uint64))
+                tokens.append(s[: plain_prefix(len(s), percent) + longest_extension(len(s), percent)].view(np.int64).copy())
+            ends = np.cumsum([len(x) for x in tokens])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))],
-                names=["doc_id", "n", "a", "b"],
-            )
-
-    return run
-
-
-def _prefixes(k: int, percent: int):
-    """(doc_id, n, tokens): the longest prefix that may be needed, in hash order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, tokens = [], []
-            for text in byte_texts(batch.column("text")):
-                s = shingle_set(text, k)
-                n = len(s)
-                sizes.append(n)
-                tokens.append(s[: plain_prefix(n, percent) + longest_extension(n, percent)].view(np.int64) if n else s.view(np.int64))
-            ends = np.cumsum([0, *map(len, tokens)])
-            values = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                names=["doc_id", "n", "tokens"],
+                [
+                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens))),
+                ],
+                names=["doc_id", "n", "a", "b", "tokens"],
             )
 
     return run
@@ -176,14 +160,14 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id is in ``ids``.
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose doc_id is in ``ids``.
 
     The ids are stored, so that Spark knows their size when it plans: below its
-    threshold they are broadcast and texts are filtered where they are read,
+    threshold they are broadcast and rows are filtered where they are read,
     beyond it both sides are shuffled.
     """
-    return texts.join(stored(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
+    return rows.join(stored(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
 
 
 def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -319,11 +303,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     shape the work, not the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signs = stored(texts.mapInArrow(_signatures(k), "doc_id long, n long, a long, b long"))
+    made = stored(texts.mapInArrow(_signatures(k, percent), "doc_id long, n long, a long, b long, tokens array<long>"))
+    signs = made.drop("tokens")
     classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
 
     tokens = (
-        _of(texts, classes.select("rep")).mapInArrow(_prefixes(k, percent), "doc_id long, n long, tokens array<long>")
+        _of(made.select("doc_id", "n", "tokens"), classes.select("rep"))
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token"))
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
