@@ -61,10 +61,10 @@ def has_letter(text: str) -> bool:
 
 
 class Model:
-    """Trained layers folded into one table of buckets x languages, with temperature and rejection."""
+    """Trained layers folded into one table of buckets x languages, with temperature and rejection; ``rejected`` is the held-back rows' share below ``least``."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, least: float):
-        self.langs, self.table, self.bias, self.temperature, self.least = langs, table, bias, temperature, least
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, least: float, rejected: float = 0.0):
+        self.langs, self.table, self.bias, self.temperature, self.least, self.rejected = langs, table, bias, temperature, least, rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted)."""
@@ -84,6 +84,26 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] >= self.least)
 
 
+def limit(score: np.ndarray, good: np.ndarray, precision: float) -> float:
+    """The least score, one half or more, from which answers are right at the rate ``precision``.
+
+    The limit rises above one half only where it rejects no more right answers
+    than wrong ones: wrong labels, which no score tells apart, cannot drive it
+    up. If no such limit has the rate, the one with the most right answers less
+    wrong ones is taken.
+    """
+    score, good = score[order := np.argsort(score, kind="stable")], good[order]
+    limits = np.concatenate([[0.5], np.unique(score[score > 0.5])])
+    at = np.searchsorted(score, limits)
+    start = at[0]
+    right = np.concatenate([[0], np.cumsum(good)])
+    kept = (right[-1] - right[at]) / np.maximum(len(score) - at, 1)
+    gain = (at - start) - 2 * (right[at] - right[start])
+    fair = gain >= 0
+    exact = np.flatnonzero(fair & (kept >= precision) & (at < len(score)))
+    return float(limits[exact[0] if len(exact) else int(gain.argmax())])
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -96,8 +116,7 @@ def train(
     small samples are gone through more often, up to ``least_steps`` batches.
 
     Every fifth row is held back. Temperature: the one of a grid with the least
-    log loss there. Rejection: the least score of at least one half from which
-    answers there are right at the wanted rate.
+    log loss there. Rejection: ``limit`` of the scores there.
     """
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (buckets + 1, dim))
@@ -129,11 +148,8 @@ def train(
     temperature = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(np.maximum(right(t), 1e-12)).mean())
     p = _softmax(z / temperature)
     score, good = p.max(1), p.argmax(1) == y[test]
-    least = 0.5
-    for s in np.sort(score):
-        if s > least and good[score >= least].mean() < precision:
-            least = float(s)
-    return Model(langs, (emb[:buckets] @ out).astype(np.float32), bias, temperature, least)
+    least = limit(score, good, precision)
+    return Model(langs, (emb[:buckets] @ out).astype(np.float32), bias, temperature, least, float((score < least).mean()))
 
 
 def held_out() -> Column:
