@@ -36,7 +36,8 @@ def rake(
     """Weights of cells such that the shares of sum(tokens * min(1, weight)) meet the targets.
 
     Levels without tokens are left out and the other targets of their dimension
-    scaled up. ``budget`` is the total wanted; by default the largest one for
+    scaled up. Levels that a target does not name keep the share they have, and
+    the named ones are scaled to what is left. ``budget`` is the total wanted; by default the largest one for
     which no level needs more than it has.
     """
     tokens = np.asarray(tokens, float)
@@ -44,8 +45,11 @@ def rake(
     for d, target in enumerate(targets):
         names = sorted({c[d] for c, n in zip(cells, tokens) if n > 0})
         share = np.array([max(target.get(x, 0.0), 0.0) for x in names])
-        if not share.sum():
-            share = np.ones(len(names))
+        own = np.array([0.0 if x in target else sum(n for c, n in zip(cells, tokens) if c[d] == x) for x in names]) / (tokens.sum() or 1.0)
+        if share.sum():
+            share = share / share.sum() * (1 - own.sum()) + own
+        else:
+            share = own if own.sum() else np.ones(len(names))
         wanted.append(dict(zip(names, share / share.sum())))
         index = {x: i for i, x in enumerate(names)}
         levels.append(np.array([index.get(c[d], 0) for c in cells], int))
@@ -124,7 +128,8 @@ def mix(
     """doc_id, n_tokens, source, lang, topic, weight, probability, sampled for each row of ``docs`` (doc_id, text, source, lang, ...).
 
     ``targets`` gives the shares of tokens (words) for "source", "lang" and
-    "topic". Values that it does not name, and nulls, are one level ``other``.
+    "topic". Values that it does not name, and nulls, are one level ``other``,
+    which keeps the share it has unless ``targets`` names it.
     The cells are as many as the named levels allow, whatever the size of the
     table, and are fitted on the driver. Without ``topic``, a column of that
     name is taken, else the length class. ``sampled`` compares the probability
