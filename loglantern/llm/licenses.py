@@ -1,16 +1,17 @@
 """Licence notices in texts, by Dice coefficient over word bigrams.
 
 Texts and templates are normalised alike: lower case, letters and digits only.
-A template is compared with runs of lines. The coefficient 2|A and B| / (|A| +
-|B|) can reach the threshold only if the run has between t / (2 - t) and
-(2 - t) / t times the template's bigrams, so runs outside of these sizes are
-never compared, nor are runs whose first or last line shares no bigram with it
-or whose lines share too few.
+A template is compared with runs of words, wherever lines break, from one bigram
+that they share to another. The coefficient 2|A and B| / (|A| + |B|) can reach
+the threshold only if the run has between t / (2 - t) and (2 - t) / t times the
+template's bigrams, so runs outside of these sizes are never compared, nor are
+runs that share too few.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,47 +61,55 @@ class Templates:
         self.threshold = threshold
         self.grams = {k: g for k, t in sorted(texts.items()) if (g := bigrams(t))}
         self.size = {k: sum(g.values()) for k, g in self.grams.items()}
+        self.single = {k for k, g in self.grams.items() if any(b == "" for _, b in g)}
         self.having: dict[tuple, list[str]] = {}
         for k, g in self.grams.items():
             for pair in g:
                 self.having.setdefault(pair, []).append(k)
+
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(first line, last line, template, coefficient): the best run of each template, then the best template of each run."""
-        lines = text.split("\n")
-        sizes: list[int] = []
-        shared: dict[str, dict[int, int]] = {}
-        for i, line in enumerate(lines):
-            words = _WORD.findall(line.lower())
-            sizes.append(len(words))
-            for pair in zip(words, words[1:]) if len(words) > 1 else ((w, "") for w in words):
+        """(first line, last line, template, coefficient): the best run of words of each template, then the best template of each run."""
+        words: list[str] = []
+        starts: list[int] = []
+        for line in text.lower().split("\n"):
+            starts.append(len(words))
+            words += _WORD.findall(line)
+        shared: dict[str, list[int]] = {}
+        pairs = list(zip(words, words[1:]))
+        for each in (pairs, [(w, "") for w in words] if self.single else []):
+            for i, pair in enumerate(each):
                 for k in self.having.get(pair, ()):
-                    at = shared.setdefault(k, {})
-                    at[i] = at.get(i, 0) + 1
+                    shared.setdefault(k, []).append(i)
         found = []
         for k, at in shared.items():
             least = self.size[k] * self.threshold / (2 - self.threshold)
-            most = self.size[k] * (2 - self.threshold) / self.threshold
-            for first in at:
-                n, common = 0, 0
-                for last in range(first, len(lines)):
-                    n += sizes[last]
-                    common += at.get(last, 0)
-                    if max(1, n - 1) > most:
+            most = 1 if k in self.single else self.size[k] * (2 - self.threshold) / self.threshold
+            grams, size, wide = self.grams[k], self.size[k], 0 if k in self.single else 1
+            for f, first in enumerate(at):
+                # The pairs in common are at least `least` too.
+                if bisect_left(at, first + most, f) - f < least:
+                    continue
+                seen: dict[tuple, int] = {}
+                common = 0
+                for last in at[f:]:
+                    n = last - first + 1
+                    if n > most:
                         break
-                    # The pairs in common are at least `least` too; one may stand across each line break.
-                    if last in at and common + last - first >= least:
-                        score = dice(bigrams(" ".join(lines[first : last + 1])), self.grams[k])
-                        if score >= self.threshold:
-                            found.append((first, last, k, score))
+                    pair = pairs[last] if wide else (words[last], "")
+                    seen[pair] = seen.get(pair, 0) + 1
+                    common += seen[pair] <= grams[pair]
+                    score = 2 * common / (n + size)
+                    if score >= self.threshold:
+                        found.append((first, last + wide, k, score))
         # Best first; runs that overlap a better one are left out.
         found.sort(key=lambda f: (-f[3], f[1] - f[0], f[0], f[2]))
         taken: list[tuple[int, int, str, float]] = []
         used: set[int] = set()
         for f in found:
-            if used.isdisjoint(range(f[0], f[1] + 1)):
+            if f[0] not in used and f[1] not in used and used.isdisjoint(range(f[0], f[1] + 1)):
                 taken.append(f)
                 used.update(range(f[0], f[1] + 1))
-        return sorted(taken)
+        return [(bisect_right(starts, a) - 1, bisect_right(starts, b) - 1, k, score) for a, b, k, score in sorted(taken)]
 
 
 def _scanned(texts: dict[str, str], threshold: float):
@@ -123,8 +132,8 @@ def _scanned(texts: dict[str, str], threshold: float):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per licence notice in ``docs`` (doc_id, text, ...): doc_id, license, dice, first_line, last_line.
 
-    A notice is a run of lines whose coefficient with a template is at least
-    ``threshold``; of runs that overlap, the closest to a template stays (ties:
+    A notice is a run of words, within a line or over several, whose coefficient
+    with a template is at least ``threshold``; of runs that overlap, the closest to a template stays (ties:
     the shorter run, then the earlier, then the template's name). ``templates``
     maps names to texts and is sent to every task: keep it to what a licence
     list holds, megabytes at most. Null and empty texts have no notice; repeated
