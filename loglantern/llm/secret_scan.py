@@ -23,8 +23,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
 
-#: Strings worth a look: 20 characters or more of the usual alphabets of keys.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Strings worth a look: 20 characters or more of the usual alphabets of keys; '=' is padding only at the end.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Of 24,000 random strings of 20 to 32 letters, or letters and digits, none has words of so many characters per token.
+WORD_RATIO = 2.5
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}", re.IGNORECASE)
@@ -36,10 +38,11 @@ def known_digest(text: str) -> bool:
     return bool(_UUID.fullmatch(text)) or (len(text) in _DIGEST_SIZES and bool(_DIGEST.fullmatch(text)))
 
 
-def identifier(text: str) -> bool:
-    """A name, path or number: its words and numbers have four characters or more on average."""
+def identifier(text: str, path: str) -> bool:
+    """A name or path: its words and numbers have four characters or more on average, and WORD_RATIO characters or more per token of the vocabulary."""
     parts = _NAME_PART.findall(text)
-    return sum(map(len, parts)) >= 4 * len(parts)
+    size = sum(map(len, parts))
+    return size >= 4 * len(parts) and size >= WORD_RATIO * sum(len(_encoding(path).encode_ordinary(" " + p.lower())) for p in parts)
 
 
 @lru_cache(maxsize=2)
@@ -60,9 +63,9 @@ def spans(text: str, path: str, least_ratio: float) -> tuple[list[tuple[int, int
     more = []
     for m in CANDIDATE.finditer(text):
         found = m[0]
-        if known_digest(found) or identifier(found) or any(a < m.end() and m.start() < b for a, b, _ in base):
+        if known_digest(found) or any(a < m.end() and m.start() < b for a, b, _ in base):
             continue
-        if len(found) < least_ratio * len(_encoding(path).encode_ordinary(found)):
+        if len(found) < least_ratio * len(_encoding(path).encode_ordinary(found)) and not identifier(found, path):
             more.append((*m.span(), "random"))
     order = lambda s: (s[0], KINDS.index(s[2]))
     return sorted(base, key=order), sorted(base + more, key=order)
