@@ -69,3 +69,16 @@ TAIL = _struct(
     ("pane_start", _TS), ("ord", _L), ("ts", _S), ("service", _S), ("level", _S), ("message", _S),
     ("latency_ms", _I), ("stacktrace", _S),
 )
+
+
+#: Arrival order of Kafka rows.
+KAFKA_ORD = _struct(("timestamp", _TS), ("partition", _I), ("offset", _L))
+
+
+def arrived(kind: T.DataType, order: T.DataType = KAFKA_ORD) -> T.DataType:
+    """``kind`` with arrival numbers (ord, first_ord) of the type ``order``."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(arrived(kind.elementType, order), kind.containsNull)
+    if not isinstance(kind, T.StructType):
+        return kind
+    return _struct(*((f.name, order if f.name in ("ord", "first_ord") else arrived(f.dataType, order)) for f in kind.fields))

@@ -122,6 +122,7 @@ def start_summaries(
     reviewer: Reviewer | None = None,
     then: Callable[[DataFrame, int], None] | None = None,
     trigger: str | None = None,
+    tail_schema: T.StructType = TAIL,
 ) -> StreamingQuery:
     """Summaries of the windows closed by each micro-batch, written to ``out``.
 
@@ -129,6 +130,7 @@ def start_summaries(
     windows of a micro-batch are few and complete. ``then`` runs on the written
     summaries, for instance to build incidents; give those the alert batches
     that can still be among the newest, since every batch it names is scanned.
+    Tails of Kafka rows have the ``tail_schema`` ``schemas.arrived(schemas.TAIL)``.
     """
     spark = counts.sparkSession
 
@@ -139,7 +141,7 @@ def start_summaries(
             low, high = closed.agg(F.min("window_start"), F.max("window_end")).first()
             if low is None:
                 return
-            tails = read_batches(spark, tails_path, TAIL).drop(BATCH)
+            tails = read_batches(spark, tails_path, tail_schema).drop(BATCH)
             tails = tails.where(F.col("pane_start").between(low, high))
             windows = window_counts(closed).join(
                 window_samples(tails, window_sec, slide_sec), ["window_start", "window_end", "window_sec"], "left"
