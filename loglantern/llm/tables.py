@@ -48,3 +48,21 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         )
         now = stored(small.distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join stored ``rows`` to ``counted``, which has one row per ``keys``, whatever share of the rows one key holds.
+
+    ``weight`` counts what makes a key frequent in ``rows``. Fewer than 1,000
+    keys can hold more than a thousandth of all weight each, so these are
+    broadcast; the other keys are shuffled. Both inputs are read more than
+    once: pass written tables. ``how`` is inner or left.
+    """
+    total = counted.agg(F.sum(F.col(weight).cast("decimal(38,0)"))).first()[0]
+    if total is None:
+        total = 0
+    heavy = counted.where(F.col(weight).cast("decimal(38,0)") * 1000 > F.lit(total))
+    light = counted.where(F.col(weight).cast("decimal(38,0)") * 1000 <= F.lit(total))
+    return rows.join(F.broadcast(heavy), keys).unionByName(
+        rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    )
