@@ -18,7 +18,7 @@ from loglantern.functions import text as X
 from loglantern.functions import vectors as VEC
 from loglantern.functions.embedding import embed
 from loglantern.functions.net import normalize_ip
-from loglantern.operators import dashboard, feed, incidents, metrics, ranking, related, review, similarity, summaries
+from loglantern.operators import asof, dashboard, feed, incidents, metrics, ranking, related, review, similarity, summaries
 from loglantern.operators.panes import latest_per_key
 from loglantern.plans import jobs
 from loglantern.session import cut_lineage
@@ -80,7 +80,7 @@ def summaries_of(spark: SparkSession, d: str) -> DataFrame:
 
 def incidents_of(spark: SparkSession, d: str) -> DataFrame:
     return jobs.build_incidents(
-        summaries_of(spark, d), alerts_of(spark, d), view(spark, d, "draft_replies"), step_sec=ANALYSIS_SLIDE
+        summaries_of(spark, d), alerts_of(spark, d), view(spark, d, "draft_replies")
     )
 
 
@@ -262,9 +262,7 @@ def related_alerts(spark, d):
 @query
 def alerts_as_of_window(spark, d):
     ticks = summaries.window_aggregates(logs_of(spark, d), ANALYSIS, ANALYSIS_SLIDE).select("window_end")
-    seen = related.as_of_last(
-        alerts_of(spark, d), ticks, 10, ["ord"], "seen", step_sec=ANALYSIS_SLIDE, at="window_end", coarse_ticks=24
-    )
+    seen = asof.as_of_last(alerts_of(spark, d), ticks, 10, ["ord"], "seen", at="window_end")
     return flat(seen.select("window_end", F.transform("seen", lambda a: a["ord"].cast("string")).alias("seen")))
 
 
@@ -272,12 +270,28 @@ def alerts_as_of_window(spark, d):
 def service_alerts_as_of_window(spark, d):
     """The same per service: the scope key of the as-of lookup."""
     ticks = metrics_of(spark, d).where(F.col("window_sec") == SHORT).select("service", "window_end")
-    seen = related.as_of_last(
-        alerts_of(spark, d), ticks, 3, ["ord"], "seen", step_sec=SLIDE, at="window_end", keys=["service"], coarse_ticks=24
-    )
+    seen = asof.as_of_last(alerts_of(spark, d), ticks, 3, ["ord"], "seen", at="window_end", keys=["service"])
     return flat(seen.select("service", "window_end", F.transform("seen", lambda a: a["ord"].cast("string")).alias("seen")))
 
 
+@query
+def alerts_as_of_any_time(spark, d):
+    """The last alerts and spans of the service at the very time of every event, off any grid."""
+    ticks = logs_of(spark, d).select("ord", "service", (F.col("event_ts") + F.make_dt_interval(secs=F.lit(0.25))).alias("tick"))
+    owner = F.when(F.col("service") == "backend", "api").when(F.col("service") == "gateway", "auth").otherwise("db")
+    seen = asof.as_of_merge(
+        cut_lineage(ticks),
+        {
+            "alerts": asof.Source(alerts_of(spark, d), 3, ["ord"]),
+            "spans": asof.Source(view(spark, d, "spans").withColumn("service", owner), 2, ["span_id"]),
+        },
+        keys=["service"],
+    )
+    return flat(
+        seen.select("ord", F.transform("alerts", lambda a: a["ord"].cast("string")).alias("alerts"), F.transform("spans", lambda s: s["span_id"]).alias("spans"))
+    )
+
+
 # ---- embeddings ---------------------------------------------------------
 
 
@@ -334,7 +348,7 @@ def nearest_earlier_vectors(spark, d):
 @query
 def incident_contexts(spark, d):
     anomalies = incidents.new_anomalies(summaries_of(spark, d))
-    contexts = incidents.incident_contexts(anomalies, alerts_of(spark, d), ANALYSIS_SLIDE)
+    contexts = incidents.incident_contexts(anomalies, alerts_of(spark, d))
     return flat(contexts.select("window_end", "context"))
 
 
@@ -454,11 +468,11 @@ def span_errors(spark, d):
 def _graphs(spark, d):
     """Graphs at every window end and one slide before each, so the first ones see no summary."""
     s = cut_lineage(summaries_of(spark, d))
-    reports = jobs.build_incidents(s, alerts_of(spark, d), view(spark, d, "draft_replies"), step_sec=ANALYSIS_SLIDE)
+    reports = jobs.build_incidents(s, alerts_of(spark, d), view(spark, d, "draft_replies"))
     ends = s.select(F.explode(F.array("window_end", F.col("window_end") - F.make_dt_interval(hours=F.lit(4)))).alias("tick")).distinct()
     requests = ends.select(L.iso_text(F.col("tick")).alias("incident_id"), "tick")
     return jobs.root_cause(
-        s, alerts_of(spark, d), view(spark, d, "spans"), metrics_of(spark, d), reports, ANALYSIS_SLIDE, requests
+        s, alerts_of(spark, d), view(spark, d, "spans"), metrics_of(spark, d), reports, requests
     )
 
 

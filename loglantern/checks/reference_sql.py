@@ -248,6 +248,17 @@ SQL["service_alerts_as_of_window"] = with_(("metrics", "alerts"), f"""
 SELECT service, {iso('window_end')} AS window_end, {joined('seen')} AS seen
 FROM {as_of(f'(SELECT service, window_end FROM metrics WHERE window_sec = {HOUR})', 'alerts', 3, 'CAST(e.ord AS VARCHAR)', 'event_ts ord', 'window_end', 'e.service = t.service')} s""")
 
+# Every earlier row of the service, ranked.
+SQL["alerts_as_of_any_time"] = with_(("logs", "alerts", "spans"), """
+, ticks AS (SELECT ord, service, event_ts + INTERVAL 250 MILLISECOND AS tick FROM logs),
+owned AS (SELECT span_id, ord, event_ts, CASE service WHEN 'backend' THEN 'api' WHEN 'gateway' THEN 'auth' ELSE 'db' END AS service FROM spans),
+seen_alerts AS (SELECT t.ord, list(CAST(a.ord AS VARCHAR) ORDER BY a.event_ts DESC, a.ord DESC)[1:3] AS l
+  FROM ticks t JOIN alerts a ON a.service = t.service AND a.event_ts <= t.tick GROUP BY t.ord),
+seen_spans AS (SELECT t.ord, list(s.span_id ORDER BY s.event_ts DESC, s.ord DESC)[1:2] AS l
+  FROM ticks t JOIN owned s ON s.service = t.service AND s.event_ts <= t.tick GROUP BY t.ord)
+SELECT t.ord, coalesce(array_to_string(a.l, ' | '), '') AS alerts, coalesce(array_to_string(s.l, ' | '), '') AS spans
+FROM ticks t LEFT JOIN seen_alerts a USING (ord) LEFT JOIN seen_spans s USING (ord)""")
+
 
 HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(tok, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
 

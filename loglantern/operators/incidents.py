@@ -13,9 +13,9 @@ from loglantern.functions.json_text import text_list
 from loglantern.functions.log_fields import iso_text
 from loglantern.functions.text import if_blank, merge_distinct, texts
 from loglantern.functions.vectors import incident_text, similarity_text, vector_text
+from loglantern.operators.asof import as_of_last
 from loglantern.operators.panes import latest_per_key
 from loglantern.operators.ranking import ALERT_ORDER
-from loglantern.operators.related import as_of_last
 from loglantern.operators.review import draft_incidents
 from loglantern.operators.similarity import nearest
 from loglantern.session import cut_lineage
@@ -64,26 +64,28 @@ def new_anomalies(summaries: DataFrame, store: DataFrame | None = None) -> DataF
     return distinct.join(known, list(DEDUPE_KEY), "left_anti")
 
 
-def incident_contexts(anomalies: DataFrame, alerts: DataFrame, step_sec: int) -> DataFrame:
-    """Add the newest alerts at the window end and ``context``, the JSON a drafter reads."""
-    seen = as_of_last(
-        alerts, cut_lineage(anomalies), V.REPORT_ALERTS, ALERT_FIELDS, "alerts",
-        step_sec=step_sec, at="window_end", order=ALERT_ORDER,
-    )
+def incident_contexts(
+    anomalies: DataFrame, alerts: DataFrame, newest: int = V.REPORT_ALERTS, told: int = V.CONTEXT_ALERTS
+) -> DataFrame:
+    """Add the ``newest`` alerts at the window end and ``context``, the JSON a drafter reads with ``told`` of them."""
+    seen = as_of_last(alerts, cut_lineage(anomalies), newest, ALERT_FIELDS, "alerts", at="window_end", order=ALERT_ORDER)
     context = F.to_json(
-        F.struct(summary_struct().alias("summary"), F.slice("alerts", 1, V.CONTEXT_ALERTS).alias("alerts")),
+        F.struct(summary_struct().alias("summary"), F.slice("alerts", 1, told).alias("alerts")),
         {"ignoreNullFields": "false"},
     )
     return seen.withColumn("context", context)
 
 
-def assemble_reports(drafted: DataFrame, evidence: int | None = None, actions: int | None = None) -> DataFrame:
+def assemble_reports(
+    drafted: DataFrame, evidence: int | None = None, actions: int | None = None, alerts: int = V.EVIDENCE_ALERTS
+) -> DataFrame:
     """Report rows from contexts with a ``draft``; still without similar incidents.
 
     ``evidence`` and ``actions`` cut those lists; by default they are whole.
+    The newest ``alerts`` count as evidence.
     """
     alert_lines = F.transform(
-        F.slice("alerts", 1, V.EVIDENCE_ALERTS), lambda a: F.concat(a["service"], F.lit(": "), a["message"])
+        F.slice("alerts", 1, alerts), lambda a: F.concat(a["service"], F.lit(": "), a["message"])
     )
     default_timeline = F.array(
         F.lit(V.DEFAULT_TIMELINE_FIRST),
@@ -112,8 +114,8 @@ def assemble_reports(drafted: DataFrame, evidence: int | None = None, actions: i
     )
 
 
-def with_prior_incidents(reports: DataFrame, store: DataFrame | None = None) -> DataFrame:
-    """Add the embedding and the ids of the closest earlier incidents.
+def with_prior_incidents(reports: DataFrame, store: DataFrame | None = None, n: int = V.REPORT_SIMILAR) -> DataFrame:
+    """Add the embedding and the ids of the ``n`` closest earlier incidents.
 
     Earlier means stored already or in this batch with an earlier time. The
     reports are checkpointed first: they feed the queries, the search side and
@@ -126,10 +128,9 @@ def with_prior_incidents(reports: DataFrame, store: DataFrame | None = None) ->
             store.select("id", F.col("embedding").alias("vec"), F.col("event_ts").alias("at"))
         )
     queries = ready.select(F.col("id").alias("query_id"), F.col("_vec").alias("vec"), F.col("event_ts").alias("at"))
-    hits = nearest(queries, searched, V.SIMILAR_LIMIT, earlier_only=True)
+    hits = nearest(queries, searched, n, earlier_only=True)
     ids = (
-        hits.where(F.col("position") <= V.REPORT_SIMILAR)
-        .groupBy(F.col("query_id").alias("id"))
+        hits.groupBy(F.col("query_id").alias("id"))
         .agg(F.sort_array(F.collect_list(F.struct("position", F.col("id").alias("hit")))).alias("_h"))
         .select("id", F.transform("_h", lambda h: h["hit"]).alias("similar_incident_ids"))
     )

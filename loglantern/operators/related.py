@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loglantern.operators.panes import latest_per_key
-from loglantern.session import cut_lineage
 
 
 def _bucket(ts: Column, gap_ms: int) -> Column:
@@ -82,99 +81,31 @@ def newest_per_key(
     )
 
 
-def related_alerts(logs: DataFrame, alerts: DataFrame, k: int = 5) -> DataFrame:
+def salted_lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int | None = None
+) -> DataFrame:
+    """Left join of ``rows`` to ``table``, which has one short row per key, however many rows share a key.
+
+    The rows of a key are dealt over ``salts`` parts by a hash of the columns
+    ``spread``, and each row of the table is copied once per part, so a key
+    with most of the rows is read by all tasks alike. Equal rows stay together;
+    the copies cost ``salts`` times the table: 16 times the session's shuffle
+    partitions by default, fewer for tables of very many keys.
+    """
+    if salts is None:
+        salts = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_part", part).join(copies, [*keys, "_part"], "left").drop("_part")
+
+
+def related_alerts(logs: DataFrame, alerts: DataFrame, k: int = 5, salts: int | None = None) -> DataFrame:
     """Add ``related`` to each log: the newest ``k`` alerts of its service, newest first.
 
     The ranking does not depend on the log, so it is done once per service
-    before the join instead of once per log after it.
+    before the join instead of once per log after it. The logs are dealt by
+    (service, hash of ord), so no service's logs land in one task.
     """
     fields = [c for c in alerts.columns if c != "service"]
-    return logs.join(newest_per_key(alerts, ["service"], ["service", *fields], k, "related"), "service", "left")
-
-
-def as_of_last(
-    events: DataFrame,
-    ticks: DataFrame,
-    n: int,
-    fields: Sequence[str],
-    name: str,
-    *,
-    step_sec: int,
-    keys: Sequence[str] = (),
-    at: str = "tick",
-    order: Sequence[str] = ("event_ts", "ord"),
-    coarse_ticks: int = 360,
-) -> DataFrame:
-    """Add to each tick the last ``n`` events at or before it, newest first.
-
-    Ticks lie on a grid of ``step_sec`` (window ends), so each event belongs to
-    exactly one tick slot and only the last ``n`` events of a slot can ever be
-    seen: they are cut down before the shuffle. Slots are then carried forward
-    in two levels, inside blocks of ``coarse_ticks`` slots in parallel and
-    between blocks over ``n`` rows per block. No task sees more than the slots
-    of one block or the heads of all blocks, both bounded by the time span and
-    not by the number of events. ``order[0]`` is the event time. The ticks are
-    read three times: pass a stored or checkpointed table.
-    """
-    # Without a scope key everything shares one; blocks still spread the work.
-    scope = list(keys) or ["_scope"]
-    if not keys:
-        events, ticks = (df.withColumn("_scope", F.lit(0)) for df in (events, ticks))
-    newest_first = [F.col(c).desc() for c in order]
-    oldest_first = [F.col(c).asc() for c in order]
-    in_block, in_slot = [*scope, "_block"], [*scope, "_block", "_slot"]
-
-    def block(slot: Column) -> Column:
-        return F.floor(slot / coarse_ticks).cast("bigint")
-
-    def with_last(rows: DataFrame, partition: list[str]) -> DataFrame:
-        w = Window.partitionBy(*partition).orderBy(*oldest_first).rowsBetween(-(n - 1), 0)
-        return rows.withColumn("_last", F.collect_list("_row").over(w))
-
-    slots = (
-        events.where(F.col(order[0]).isNotNull())
-        .withColumn("_row", F.struct(*fields))
-        .withColumn("_slot", F.ceil(F.unix_micros(F.col(order[0])) / (step_sec * 1000000)).cast("bigint"))
-        .withColumn("_block", block(F.col("_slot")))
-        .select(*dict.fromkeys([*in_slot, *order]), "_row")
-    )
-    # At most n rows per slot from here on. Both levels start from them, so they
-    # are written once rather than having the events read twice.
-    tails = cut_lineage(latest_per_key(slots, in_slot, newest_first, n).drop("_rank"))
-
-    # Per slot and per block: the last n events up to its end.
-    slot_state = latest_per_key(with_last(tails, in_block), in_slot, newest_first, 1)
-    heads = latest_per_key(tails, in_block, newest_first, n).drop("_rank")
-    block_state = latest_per_key(with_last(heads, scope), in_block, newest_first, 1)
-
-    asked = ticks.withColumn("_slot", (F.unix_seconds(F.col(at)) / step_sec).cast("bigint")).withColumn(
-        "_block", block(F.col("_slot"))
-    )
-    wanted = asked.select(*in_slot).distinct()
-
-    # Inside the block: the newest slot at or before the tick.
-    upto = Window.partitionBy(*in_block).orderBy("_slot", "_asked")
-    inside = (
-        slot_state.select(*in_slot, "_last", F.lit(0).alias("_asked"))
-        .unionByName(wanted.withColumn("_asked", F.lit(1)), allowMissingColumns=True)
-        .withColumn("_inside", F.last("_last", ignorenulls=True).over(upto))
-        .where(F.col("_asked") == 1)
-        .select(*in_slot, "_inside")
-    )
-    # Before the block: the newest earlier block that had events.
-    earlier = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        wanted.select(*in_block)
-        .distinct()
-        .join(block_state.select(*in_block, F.col("_last").alias("_head")), in_block, "full")
-        .withColumn("_before", F.last("_head", ignorenulls=True).over(earlier))
-        .select(*in_block, "_before")
-    )
-    none = F.array().cast(T.ArrayType(slots.schema["_row"].dataType))
-    found = inside.join(before, in_block).select(
-        *in_slot,
-        F.slice(
-            F.reverse(F.concat(F.coalesce("_before", none), F.coalesce("_inside", none))), 1, n
-        ).alias(name),
-    )
-    return asked.join(found, in_slot).drop("_block", "_slot", "_scope")
+    lists = newest_per_key(alerts, ["service"], ["service", *fields], k, "related")
+    return salted_lookup(logs, lists, ["service"], ["ord"], salts)

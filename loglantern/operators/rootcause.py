@@ -10,9 +10,9 @@ from loglantern import fixed_values as V
 from loglantern.functions.binding import let
 from loglantern.functions.log_fields import iso_text
 from loglantern.functions.text import clamp
+from loglantern.operators.asof import Source, as_of_merge
 from loglantern.operators.metrics import error_ratio
 from loglantern.operators.ranking import ALERT_ORDER, INCIDENT_ORDER, METRIC_ORDER, SPAN_ORDER, SUMMARY_ORDER
-from loglantern.operators.related import as_of_last
 from loglantern.session import cut_lineage
 
 _ROOT = "incident"
@@ -24,47 +24,49 @@ class Graphs(NamedTuple):
     edges: DataFrame
 
 
+class Seen(NamedTuple):
+    """How many of the newest rows of each source a graph looks at, and how many nodes it shows of each kind."""
+
+    alerts: int = V.GRAPH_ALERTS
+    spans: int = V.GRAPH_SPANS
+    metrics: int = V.GRAPH_METRICS
+    reports: int = V.GRAPH_REPORTS
+    shown: int = V.GRAPH_SHOWN
+    signals: int = V.GRAPH_SIGNALS
+    shown_reports: int = 1
+
+
 def graph_inputs(
     summaries: DataFrame,
     alerts: DataFrame,
     spans: DataFrame,
     metrics: DataFrame,
     reports: DataFrame,
-    step_sec: int,
     requests: DataFrame | None = None,
+    seen: Seen = Seen(),
 ) -> DataFrame:
     """What each graph sees: the summary in force and the newest rows of every source.
 
-    ``requests`` holds (incident_id, tick) with ticks on the ``step_sec`` grid;
-    by default every summary asks for one graph at its window end.
+    ``requests`` holds (incident_id, tick), at any times; by default every
+    summary asks for one graph at its window end. One merge looks at all five
+    sources.
     """
     if requests is None:
         requests = summaries.select(
             iso_text(F.col("window_end")).alias("incident_id"), F.col("window_end").alias("tick")
         ).distinct()
-
-    # Five lookups share the requests: read them once, and join on the tick.
-    requests = cut_lineage(requests.select("incident_id", "tick"))
-    ticks = requests.select("tick").distinct()
-
-    def seen(events: DataFrame, n: int, fields: list[str], name: str, order: tuple[str, ...]) -> DataFrame:
-        return as_of_last(events, ticks, n, fields, name, step_sec=step_sec, order=order)
-
-    in_force = ["services_top", "is_anomaly", "severity", "category", "top_signals"]
-    lookups = [
-        seen(summaries, 1, in_force, "_summary", SUMMARY_ORDER).withColumn(
-            "_summary", F.try_element_at("_summary", F.lit(1))
-        ),
-        seen(alerts, V.GRAPH_ALERTS, ["service", "category", "score"], "_alerts", ALERT_ORDER),
-        seen(spans, V.GRAPH_SPANS, ["service", "name", "duration_ms"], "_spans", SPAN_ORDER),
-        seen(metrics, V.GRAPH_METRICS, ["service", "error_count", "total_count"], "_metrics", METRIC_ORDER),
-        seen(reports, V.GRAPH_REPORTS, ["title"], "_reports", INCIDENT_ORDER),
-    ]
-    inputs = requests
-    for lookup in lookups:
-        inputs = inputs.join(lookup, "tick")
+    inputs = as_of_merge(
+        cut_lineage(requests.select("incident_id", "tick")),
+        {
+            "_summary": Source(summaries, 1, ["services_top", "is_anomaly", "severity", "category", "top_signals"], SUMMARY_ORDER),
+            "_alerts": Source(alerts, seen.alerts, ["service", "category", "score"], ALERT_ORDER),
+            "_spans": Source(spans, seen.spans, ["service", "name", "duration_ms"], SPAN_ORDER),
+            "_metrics": Source(metrics, seen.metrics, ["service", "error_count", "total_count"], METRIC_ORDER),
+            "_reports": Source(reports, seen.reports, ["title"], INCIDENT_ORDER),
+        },
+    )
     # Headers, nodes and edges are three reads of the same short lists.
-    return cut_lineage(inputs)
+    return cut_lineage(inputs.withColumn("_summary", F.try_element_at("_summary", F.lit(1))))
 
 
 def slowest(spans: Column, n: int = V.GRAPH_SHOWN) -> Column:
@@ -86,10 +88,10 @@ def _numbered(prefix: str, i: Column) -> Column:
     return F.concat(F.lit(prefix + "-"), i.cast("string"))
 
 
-def root_cause_graphs(inputs: DataFrame) -> Graphs:
+def root_cause_graphs(inputs: DataFrame, seen: Seen = Seen()) -> Graphs:
     """Graphs from :func:`graph_inputs`. Lists are short and per row, so no shuffle follows."""
     s = F.col("_summary")
-    shown = lambda c: F.slice(c, 1, V.GRAPH_SHOWN)
+    shown = lambda c: F.slice(c, 1, seen.shown)
     active = F.concat(
         F.array(
             _node(F.lit(_ROOT), F.concat(s["category"], F.lit(" ("), s["severity"], F.lit(")")), "incident", F.lit(1.0), "")
@@ -99,7 +101,7 @@ def root_cause_graphs(inputs: DataFrame) -> Graphs:
             lambda x, i: _node(_numbered("svc", i), x, "service", F.lit(0.95) - i * F.lit(0.08), "affected"),
         ),
         F.transform(
-            F.slice(s["top_signals"], 1, V.GRAPH_SIGNALS),
+            F.slice(s["top_signals"], 1, seen.signals),
             lambda x, i: _node(_numbered("sig", i), x, "signal", F.lit(0.72), "supports"),
         ),
         F.transform(
@@ -110,7 +112,7 @@ def root_cause_graphs(inputs: DataFrame) -> Graphs:
             ),
         ),
         F.transform(
-            slowest(F.col("_spans")),
+            slowest(F.col("_spans"), seen.shown),
             lambda t, i: _node(
                 _numbered("trace", i), F.concat(t["service"], F.lit(":"), t["name"]), "trace",
                 clamp(t["duration_ms"] / 2500.0, 0.15, 1.0), "observed",
@@ -130,7 +132,7 @@ def root_cause_graphs(inputs: DataFrame) -> Graphs:
             ),
         ),
         F.transform(
-            F.slice("_reports", 1, 1),
+            F.slice("_reports", 1, seen.shown_reports),
             lambda r, i: _node(_numbered("report", i), r["title"], "report", F.lit(0.6), "matches"),
         ),
     )

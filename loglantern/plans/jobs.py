@@ -77,15 +77,14 @@ def build_incidents(
     alerts: DataFrame,
     drafts: DataFrame | None = None,
     store: DataFrame | None = None,
-    step_sec: int = V.ANALYSIS_SLIDE_SEC,
     drafter: Reviewer | None = None,
 ) -> DataFrame:
     """Reports for the anomalous summaries that have none in ``store`` yet.
 
-    ``step_sec`` is the slide of the summary windows. Drafts come from a table
-    (window_start, reply) or from a callable over the context JSON.
+    Drafts come from a table (window_start, reply) or from a callable over the
+    context JSON.
     """
-    contexts = _incidents.incident_contexts(_incidents.new_anomalies(summaries, store), alerts, step_sec)
+    contexts = _incidents.incident_contexts(_incidents.new_anomalies(summaries, store), alerts)
     if drafter is not None:
         contexts = call_reviewer(contexts, "context", drafter)
     return _incidents.with_prior_incidents(
@@ -99,12 +98,12 @@ def root_cause(
     spans: DataFrame,
     metrics: DataFrame,
     reports: DataFrame,
-    step_sec: int = V.ANALYSIS_SLIDE_SEC,
     requests: DataFrame | None = None,
+    seen: _rootcause.Seen = _rootcause.Seen(),
 ) -> _rootcause.Graphs:
-    """Header, node and edge tables of the root-cause graphs."""
-    inputs = _rootcause.graph_inputs(summaries, alerts, spans, metrics, reports, step_sec, requests)
-    return _rootcause.root_cause_graphs(inputs)
+    """Header, node and edge tables of the root-cause graphs, at the times of ``requests`` (incident_id, tick)."""
+    inputs = _rootcause.graph_inputs(summaries, alerts, spans, metrics, reports, requests, seen)
+    return _rootcause.root_cause_graphs(inputs, seen)
 
 
 def ask_context(questions: DataFrame, logs: DataFrame, alerts: DataFrame, summaries: DataFrame) -> DataFrame:

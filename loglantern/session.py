@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="loglantern-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    For intermediates of which later steps read different columns or rows: those
+    reach the scan. Like a checkpoint, it survives the loss of executors.
+    """
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

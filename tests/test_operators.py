@@ -2,13 +2,14 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from loglantern import schemas
-from loglantern.operators import dashboard, feed, incidents, metrics, related, similarity, summaries
+from loglantern.operators import asof, dashboard, feed, incidents, metrics, related, similarity, summaries
 from loglantern.operators.throttle import throttle_notifications
 from loglantern.plans import jobs
 from loglantern.sources import kafka, tables
@@ -88,19 +89,75 @@ def test_near_alerts_against_brute_force_with_a_hot_service(spark):
     assert {r["ord"] for r in related.near_alerts(logs(spark, ls), alerts(spark, al)).collect()} == want
 
 
-@pytest.mark.parametrize("coarse", [2, 7, 1000])
-def test_as_of_against_brute_force(spark, coarse):
-    """Half of all events sit in one slot of one scope; ticks before, between and after events."""
+def _seen(events, key, t, n):
+    """Brute force: ord of the last ``n`` events of ``key`` at or before second ``t``, newest first."""
+    return [o for _, o in sorted(((s, o) for o, s, k in events if k == key and s <= t), reverse=True)[:n]]
+
+
+@pytest.mark.parametrize("ranges,fan_out", [(1, 256), (3, 256), (11, 2), (40, 3)])
+def test_as_of_against_brute_force(spark, monkeypatch, ranges, fan_out):
+    """Two sources; half of all events at one moment of one scope; ticks off any grid, repeated, null; several levels of ranges."""
+    monkeypatch.setattr(asof, "FAN_OUT", fan_out)
     rng = random.Random(5)
-    ev = [(i, 400 if rng.random() < 0.5 else rng.randrange(0, 3000), rng.choice("ab")) for i in range(400)]
-    ticks = [(k, at(t * 10)) for k in "abc" for t in (-3, 0, 1, 39, 40, 41, 120, 299, 300, 900)]
-    df = spark.createDataFrame(ticks, "service string, tick timestamp")
-    got = related.as_of_last(alerts(spark, ev), df, 4, ["ord"], "seen", step_sec=10, keys=["service"], coarse_ticks=coarse)
-    for r in got.collect():
-        t = (r["tick"].astimezone(timezone.utc) if r["tick"].tzinfo else r["tick"].replace(tzinfo=timezone.utc)) - T0
-        past = sorted(((s, o) for o, s, svc in ev if svc == r["service"] and s <= t.total_seconds()), reverse=True)
-        assert [x["ord"] for x in r["seen"]] == [o for _, o in past[:4]], r
-    assert got.count() == len(ticks)
+    ev = [(i, 400 if rng.random() < 0.5 else rng.randrange(0, 30000) / 10, rng.choice("ab")) for i in range(400)]
+    few = [(i, rng.randrange(0, 3000), rng.choice("abd")) for i in range(9)]
+    ticks = [(k, at(t), i) for i, k in enumerate(["a", "b", "c", "d", "a", None]) for t in (-30, 0, 3.3, 9, 12.7, 399.9, 400, 400.1, 1200, 2999, 3000, 9000)]
+    ticks += [("a", at(rng.randrange(0, 30000) / 10), 7) for _ in range(200)] + [("a", None, 8)]
+    df = spark.createDataFrame(ticks, "service string, tick timestamp, k int")
+    nothing = alerts(spark, [(1, 1, "a")]).withColumn("event_ts", F.lit(None).cast("timestamp"))
+    sources = {
+        "many": asof.Source(alerts(spark, ev).unionByName(nothing), 4, ["ord"]),
+        "few": asof.Source(alerts(spark, few), 2, ["ord", "message"]),
+        "none": asof.Source(alerts(spark, []), 3, ["ord"]),
+    }
+    got = asof.as_of_merge(df, sources, keys=["service"], ranges=ranges).collect()
+    assert len(got) == len(ticks)
+    for r in got:
+        t = None if r["tick"] is None else (r["tick"] if r["tick"].tzinfo else r["tick"].replace(tzinfo=timezone.utc)) - T0
+        sec = -1e9 if t is None else t.total_seconds()
+        assert [x["ord"] for x in r["many"]] == _seen(ev, r["service"], sec, 4), r
+        assert [(x["ord"], x["message"]) for x in r["few"]] == [(o, f"m{o}") for o in _seen(few, r["service"], sec, 2)]
+        assert r["none"] == []
+
+
+def test_as_of_orders_kafka_arrivals(spark):
+    """Equal times are settled by (timestamp, partition, offset), as numbers."""
+    rows = [(at(1), (at(5), 0, 9), "x"), (at(1), (at(5), 0, 10), "y"), (at(1), (at(4), 7, 99), "z")]
+    ev = spark.createDataFrame(rows, "event_ts timestamp, ord struct<timestamp: timestamp, partition: int, offset: bigint>, name string")
+    tick = spark.createDataFrame([(at(2),)], "tick timestamp")
+    (r,) = asof.as_of_last(ev, tick, 3, ["name"], "seen").collect()
+    assert [x["name"] for x in r["seen"]] == ["y", "x", "z"]
+
+
+def test_as_of_of_one_burst(spark):
+    """One scope and one moment, dealt over ranges by the tie alone; no window anywhere."""
+    ev = spark.range(4000).select(F.col("id").alias("ord"), F.timestamp_seconds(F.lit(0)).alias("event_ts"))
+    tick = spark.createDataFrame([(at(2),)], "tick timestamp")
+    seen = asof.as_of_merge(tick, {"seen": asof.Source(ev, 3, ["ord"])}, ranges=4)
+    assert "Window" not in seen._jdf.queryExecution().toString()
+    assert [x["ord"] for x in seen.first()["seen"]] == [3999, 3998, 3997]
+
+
+@pytest.mark.parametrize("salts", [None, 5])
+def test_related_alerts_with_a_hot_service(spark, salts):
+    """Without broadcasts, no task reads more than twice the median rows of the join."""
+    ls = [(i, i, "hot" if i % 8 else "bcd"[i % 3], "INFO", "m", 1) for i in range(4000)]
+    al = [(i, i * 7 % 100, s) for i, s in enumerate(["hot", "hot", "b", "c"] * 4)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = related.related_alerts(logs(spark, ls), alerts(spark, al), 3, salts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(ls)
+    for r in got:
+        want = [o for _, o in sorted(((s, o) for o, s, k in al if k == r["service"]), reverse=True)[:3]]
+        assert [a["ord"] for a in r["related"] or []] == want
+    if salts is None:
+        tasks = sorted(Counter(r["task"] for r in got).values())
+        assert len(tasks) == 4 and tasks[-1] <= 2 * tasks[len(tasks) // 2]
 
 
 @pytest.mark.parametrize("block_rows", [7, 1000])
@@ -189,7 +246,7 @@ def _graph(spark, n_alerts, durations, request):
     m = metrics.service_window_metrics(logs(spark, [(i, i, f"s{i}", "ERROR", "m", 1) for i in range(6)]), 5, 5, 5)
     reports = jobs.build_incidents(s, alerts(spark, []))
     req = spark.createDataFrame([("g", at(request))], "incident_id string, tick timestamp")
-    return jobs.root_cause(s, alerts(spark, [(i, i, "a") for i in range(n_alerts)]), spans, m, reports, 10, req)
+    return jobs.root_cause(s, alerts(spark, [(i, i, "a") for i in range(n_alerts)]), spans, m, reports, req)
 
 
 def test_root_cause_full_graph(spark):

@@ -82,7 +82,7 @@ def test_summary_stream_equals_batch_and_feeds_incidents(spark, land):
 
     def incidents(summaries, batch_id):
         alerts = read_batches(spark, f"{tmp}/out/alerts", schemas.ALERT).drop("batch_id")
-        write_batch(jobs.build_incidents(summaries, alerts, step_sec=HOUR), f"{tmp}/incidents", batch_id)
+        write_batch(jobs.build_incidents(summaries, alerts), f"{tmp}/incidents", batch_id)
 
     S.start_summaries(
         counts, f"{tmp}/out/tails", f"{tmp}/summaries", f"{tmp}/s-cp",
