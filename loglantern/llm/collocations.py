@@ -24,9 +24,9 @@ from loglantern.llm.words import mixed
 
 LONGEST = 3
 #: Occurrences a task counts at once, and bytes of text hashed at once.
-HELD, BLOCK = 1 << 22, 1 << 20
-#: Occurrences per hash partition, about; shapes the work, not the result.
-MASS = 1 << 25
+HELD, BLOCK = 1 << 21, 1 << 19
+#: Occurrences per hash partition, about: a task holds 12 bytes for each that its inputs kept apart, and 16 per counter.
+MASS = 1 << 22
 #: Bits of the survivors' filter: 16 per survivor, within these bounds (32 MB at most).
 FILTER_BITS = (1 << 16, 1 << 28)
 
@@ -325,11 +325,15 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(texts.names, pa.string()), pa.array(counts, pa.int64())], names=["lang", "n"])
 
 
-def frequent_phrases(rows: DataFrame, least: int) -> DataFrame:
-    """lang, words, phrase, f of all runs of one to three words with f >= ``least``, exactly. ``rows`` holds (lang, text)."""
+def frequent_phrases(rows: DataFrame, least: int, mass: int = MASS) -> DataFrame:
+    """lang, words, phrase, f of all runs of one to three words with f >= ``least``, exactly. ``rows`` holds (lang, text).
+
+    ``mass`` occurrences go to a hash partition; it shapes the work, not the
+    result. With much memory per task, more mean fewer and larger rows to shuffle.
+    """
     spark = rows.sparkSession
     grams = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * LONGEST // 6
-    parts = max(1, ceil(grams / MASS))
+    parts = max(1, ceil(grams / mass))
     counts = rows.mapInArrow(_summarised(parts), "part long, hashes binary, counts binary, mass long")
     # The window needs the rows of a part in one task, and leaves them there, in order, for the summary.
     whole = counts.withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
@@ -343,7 +347,7 @@ def _part(first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(F.split("phrase", " "), first, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: int = 50) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: int = 50, mass: int = MASS) -> DataFrame:
     """The ``top`` collocations of each language in ``docs`` (lang, text, ...): lang, rank, phrase, a, l, r, n, score.
 
     A-Z are lower-cased, texts cut at ``. , ; : ! ?`` and line ends into pieces
@@ -360,7 +364,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: in
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     ).where("text IS NOT NULL")
-    known = stored(frequent_phrases(rows, least))
+    known = stored(frequent_phrases(rows, least, mass))
     sizes = stored(rows.mapInArrow(_lengths, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
 
     long = known.where("words > 1")
