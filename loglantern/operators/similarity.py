@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern import fixed_values as V
 from loglantern.functions.embedding import embed
 from loglantern.functions.vectors import cosine, incident_text
 from loglantern.operators.panes import latest_per_key
+from loglantern.operators.related import salted_lookup
+from loglantern.session import written
 
 BLOCK_ROWS = 16384
 _CELLS = 1 << 22
@@ -82,6 +86,192 @@ def _block_top_k(queries: pd.DataFrame, store: pd.DataFrame, k: int, earlier_onl
     return pd.DataFrame({"query_id": q, "id": i, "score": sc + 0.0})
 
 
+def _chunked(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool) -> DataFrame:
+    """Top ``k`` where the store fits one block: each task compares its share of the queries with all of it."""
+    chunks = max(2, queries.sparkSession.sparkContext.defaultParallelism)
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    s = store.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return _compared(q, s, ["qb"], k, earlier_only)
+
+
+def _compared(q: DataFrame, s: DataFrame, keys: list[str], k: int, earlier_only: bool) -> DataFrame:
+    """Top ``k`` of every store block for every query that is sent to it."""
+    query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (s, "id")))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
+        return _block_top_k(left, right, k, earlier_only)
+
+    return q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(run, f"query_id {query_type}, id {id_type}, score double")
+
+
+#: Angles are compared with this margin, scores with the other: far above the rounding of either.
+_ANGLE_MARGIN, _SCORE_MARGIN = 1e-6, 2 * 10.0**-RANK_DECIMALS
+_RING = 0.05
+MOST_PIVOTS = 512
+MOST_SLICES = 16
+#: Pivot of vectors that have no angle to the others: null, zero, or of another length.
+_LOOSE = -1
+
+
+class Blocks(NamedTuple):
+    """Store blocks: those of one time slice and pivot, between two angles from it. A few numbers each."""
+
+    pivots: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    first_at: np.ndarray
+    parts: np.ndarray
+
+    def best(self, angles: np.ndarray) -> np.ndarray:
+        """The highest score a row of each block can have, for queries with these angles to the pivots (NaN: unknown)."""
+        loose = self.pivot == _LOOSE
+        to = angles[:, np.where(loose, 0, self.pivot)] if len(self.pivots) else np.full((len(angles), len(self.pivot)), np.nan)
+        gap = np.maximum(np.maximum(to - self.high, self.low - to) - _ANGLE_MARGIN, 0)
+        return np.where(loose[None, :] | np.isnan(gap), 1.0, np.cos(gap))
+
+
+def _spread(sample: list[np.ndarray], n: int) -> np.ndarray:
+    """Up to ``n`` unit vectors of the commonest length, each the farthest from those before."""
+    usable = [v for v in sample if v is not None and len(v) and np.isfinite(v).all() and (v != 0).any()]
+    if not usable:
+        return np.zeros((0, 0))
+    sizes = pd.Series([len(v) for v in usable])
+    unit = _unit([v for v in usable if len(v) == sizes.mode().iloc[0]])
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(unit)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angle of each vector to each pivot; NaN where it has none."""
+    out = np.full((len(vectors), max(len(pivots), 1)), np.nan)
+    size = pivots.shape[1]
+    rows = [i for i, v in enumerate(vectors) if v is not None and size and len(v) == size and np.isfinite(v).all() and np.any(v)]
+    if rows:
+        out[rows] = np.arccos(np.clip(_unit([np.asarray(vectors.iloc[i], np.float64) for i in rows]) @ pivots.T, -1, 1))
+    return out
+
+
+def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot, the ring around it and the angle to it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            angles = _angles(f["vec"], pivots)
+            known = ~np.isnan(angles[:, 0])
+            home = np.where(known, np.where(np.isnan(angles), np.inf, angles).argmin(axis=1), _LOOSE)
+            angle = np.where(known, angles[np.arange(len(f)), np.maximum(home, 0)], 0.0)
+            yield f.assign(pivot=home.astype("int32"), ring=(angle / _RING).astype("int32"), angle=angle)
+
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL("pivot int, ring int, angle double").fields])
+    return df.mapInPandas(run, schema)
+
+
+def _cut(cells: list, pivots: np.ndarray, block_rows: int) -> tuple[Blocks, list[tuple[int, int, int, int, int]]]:
+    """Blocks of up to ``block_rows`` from neighbouring rings, and (slice, pivot, ring, block, parts) of each ring."""
+    blocks: list[list] = []
+    place = []
+    for c in sorted(cells, key=lambda c: (c["slice"], c["pivot"], c["ring"])):
+        last = blocks[-1] if blocks else None
+        if last and last[0] == (c["slice"], c["pivot"]) and last[3] + c["n"] <= block_rows:
+            last[2], last[3], last[4] = c["high"], last[3] + c["n"], min(last[4], c["first_at"])
+        else:
+            blocks.append([(c["slice"], c["pivot"]), c["low"], c["high"], c["n"], c["first_at"]])
+        place.append((c["slice"], c["pivot"], c["ring"], len(blocks) - 1))
+    parts = [max(1, math.ceil(b[3] / block_rows)) for b in blocks]
+    columns = [np.array([b[i] for b in blocks]) for i in (1, 2, 3, 4)]
+    return Blocks(pivots, np.array([b[0][1] for b in blocks]), *columns, np.array(parts)), [(*p, parts[p[3]]) for p in place]
+
+
+def _visits(blocks: Blocks, k: int, earlier_only: bool, probe: bool):
+    """The blocks each query is sent to: first a few likely ones with ``k`` rows, then all others that may still hold a better row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, _CELLS // max(len(blocks.pivot), 1))
+        for f in frames:
+            for first in range(0, len(f), step):
+                part = f.iloc[first : first + step]
+                best = blocks.best(_angles(part["vec"], blocks.pivots))
+                if earlier_only:
+                    best[blocks.first_at[None, :] >= part["at"].to_numpy()[:, None]] = -np.inf
+                order = np.argsort(-best, axis=1, kind="stable")
+                rows = np.cumsum(blocks.rows[order], axis=1)
+                likely = np.zeros(best.shape, bool)
+                np.put_along_axis(likely, order, np.concatenate([np.zeros((len(part), 1), int), rows[:, :-1]], axis=1) < 2 * k, axis=1)
+                likely &= best > -np.inf
+                if not probe:
+                    likely = ~likely & (best >= part["kth"].to_numpy()[:, None] - _SCORE_MARGIN) & (best > -np.inf)
+                row, block = np.nonzero(likely)
+                times = blocks.parts[block]
+                out = part.iloc[np.repeat(row, times)].drop(columns="kth", errors="ignore")
+                start = np.cumsum(times) - times
+                yield out.assign(block=np.repeat(block, times).astype("int32"), part=(np.arange(len(out)) - np.repeat(start, times)).astype("int32"))
+
+    return run
+
+
+def _pruned(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool, block_rows: int, n: int, pivots: int | None) -> DataFrame:
+    """Top ``k`` by blocks around pivots: a probe gives each query its k-th best, which rules most other blocks out."""
+    wanted = min(MOST_PIVOTS, pivots or 4 * math.ceil(n / block_rows))
+    picked = store.where("size(vec) > 0").orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vec").toPandas()["vec"]
+    centres = _spread([np.asarray(v, np.float64) for v in picked], wanted)
+
+    bounds: list[float] = []
+    if earlier_only:
+        slices = min(MOST_SLICES, math.ceil(n / block_rows))
+        bounds = store.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
+    slice_of = lambda at: F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= at)) if bounds else F.lit(0)
+
+    placed = _placed(store, centres)
+    if not earlier_only:
+        # Of equal vectors only the k smallest ids can be seen.
+        placed = latest_per_key(placed, ["vec"], [F.col("id").asc()], k).drop("_rank")
+    rows = written(placed.withColumn("slice", slice_of(F.col("at"))))
+    cells = (
+        rows.groupBy("slice", "pivot", "ring")
+        .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.min("at").alias("first_at"))
+        .collect()
+    )
+    blocks, place = _cut(cells, centres, block_rows)
+    where = queries.sparkSession.createDataFrame(place, "slice int, pivot int, ring int, block int, parts int")
+    # At most MOST_SLICES slices, MOST_PIVOTS pivots and 63 rings.
+    rows = (
+        rows.join(F.broadcast(where), ["slice", "pivot", "ring"])
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .select("id", "vec", "at", "block", "part")
+    )
+
+    homes = _placed(queries, centres).withColumn("slice", slice_of(F.col("at")))
+    asked = written(homes.drop("ring", "angle"))
+    groups = asked.groupBy("slice", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("parts")).collect()
+    numbered = queries.sparkSession.createDataFrame(
+        [(g["slice"], g["pivot"], i, g["parts"]) for i, g in enumerate(groups)], "slice int, pivot int, home int, parts long"
+    )
+    asked = (
+        asked.join(F.broadcast(numbered), ["slice", "pivot"])
+        .withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        .select("query_id", "vec", "at", "home", "share")
+    )
+    keys = ["home", "share", "block", "part"]
+
+    def sent(df: DataFrame, probe: bool) -> DataFrame:
+        schema = T.StructType([*[f for f in df.schema.fields if f.name != "kth"], *T.StructType.fromDDL("block int, part int").fields])
+        q = df.mapInPandas(_visits(blocks, k, earlier_only, probe), schema)
+        pairs = written(q.select(*keys).distinct())
+        return _compared(q, rows.join(pairs, ["block", "part"]), keys, k, earlier_only)
+
+    first = written(latest_per_key(sent(asked, True), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k))
+    kth = first.where(F.col("_rank") == k).select("query_id", F.col("score").alias("kth"))
+    again = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+    return first.drop("_rank").unionByName(sent(again, False))
+
+
 def nearest(
     queries: DataFrame,
     store: DataFrame,
@@ -89,48 +279,49 @@ def nearest(
     *,
     earlier_only: bool = False,
     block_rows: int = BLOCK_ROWS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """Exact top ``k`` per query as (query_id, id, score, position).
 
-    ``queries`` holds (query_id, vec[, at]) and ``store`` (id, vec[, at]);
-    ``earlier_only`` keeps stored rows with ``at`` before the query's.
+    ``queries`` holds (query_id, vec[, at]) with unique ids and ``store`` (id,
+    vec[, at]); ``earlier_only`` keeps stored rows with ``at`` before the
+    query's. Equal scores fall to the smaller id.
 
-    Both sides are hashed into blocks of about ``block_rows`` rows and every
-    pair of blocks is one matrix product in a task, which returns ``k`` rows
-    per query. No pair of rows is ever emitted, nothing is broadcast, and the
-    size of a task does not depend on the data. Both inputs are read twice
-    (once to be counted), so pass stored or checkpointed tables.
+    A store of up to ``block_rows`` rows is compared in one block by many
+    tasks. A larger one is cut into blocks around pivots, and by time with
+    ``earlier_only``: by the triangle inequality, no row of a block can be
+    nearer than the block's angles allow. Each query is sent to its likeliest
+    blocks first and then only to those that may hold something better than the
+    k-th best found, and that begin before it. Vectors without near ones may
+    have to visit every block. No pair of rows is emitted. Both inputs are read several times: pass stored tables.
     """
-    query_type, id_type = queries.schema["query_id"].dataType.simpleString(), store.schema["id"].dataType.simpleString()
-    q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    s_blocks = max(1, math.ceil(store.count() / block_rows))
-
-    def blocked(df: DataFrame, key: str, mine: str, n: int, other: str, m: int) -> DataFrame:
-        at = F.unix_micros(F.col("at")) if "at" in df.columns else F.lit(0).cast("bigint")
-        return df.select(
-            key,
-            "vec",
-            at.alias("at"),
-            F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other),
-        )
-
-    q = blocked(queries, "query_id", "qb", q_blocks, "sb", s_blocks)
-    s = blocked(store, "id", "sb", s_blocks, "qb", q_blocks)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
-        return _block_top_k(left, right, k, earlier_only)
+    def at(df: DataFrame) -> Column:
+        return F.unix_micros(F.col("at")) if earlier_only and "at" in df.columns else F.lit(0).cast("bigint")
 
-    found = (
-        q.groupBy("qb", "sb")
-        .cogroup(s.groupBy("qb", "sb"))
-        .applyInPandas(run, f"query_id {query_type}, id {id_type}, score double")
-    )
-    return latest_per_key(found, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k).withColumnRenamed(
-        "_rank", "position"
+    rows = store.select("id", "vec", at(store).alias("at"))
+    asked = queries.select("query_id", "vec", at(queries).alias("at"))
+    size = store.count()
+    if size <= block_rows:
+        return _top(_chunked(asked, rows, k, earlier_only), k)
+    # Blank queries have the score 0 with everything: one answer for all of a time.
+    blank = ~F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
+    empty = F.array().cast(asked.schema["vec"].dataType)
+    blanks = asked.where(blank)
+    once = blanks.groupBy("at").agg(F.min("query_id").alias("query_id")).select("query_id", empty.alias("vec"), "at")
+    found = written(_top(_pruned(asked.where(~blank).unionByName(once), rows, k, earlier_only, block_rows, size, pivots), k))
+    lists = (
+        found.join(once.select("query_id", "at"), "query_id")
+        .groupBy("at")
+        .agg(F.collect_list(F.struct("id", "score", "position")).alias("l"))
     )
+    shared = salted_lookup(blanks.select("query_id", "at"), lists, ["at"], ["query_id"]).select("query_id", F.inline("l"))
+    return found.join(once.select("query_id"), "query_id", "left_anti").unionByName(shared)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = [F.col("score").desc(), F.col("id").asc()]
+    return latest_per_key(found, ["query_id"], order, k).withColumnRenamed("_rank", "position")
 
 
 def similar_incidents(queries: DataFrame, store: DataFrame, k: int = V.SIMILAR_LIMIT) -> DataFrame:

@@ -160,28 +160,90 @@ def test_related_alerts_with_a_hot_service(spark, salts):
         assert len(tasks) == 4 and tasks[-1] <= 2 * tasks[len(tasks) // 2]
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_nearest_against_brute_force_with_copies(spark, block_rows):
-    """A third of the store are copies of one vector; ties fall to the smaller id."""
+def _nearest_plain(vecs, times, k, earlier):
+    import numpy as np
+
+    def cosine(a, b):
+        n = min(len(a or []), len(b or []))
+        a, b = np.array(a[:n] if n else [0.0]), np.array(b[:n] if n else [0.0])
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(a @ b / size), 9) if size else 0.0
+
+    out = {}
+    for i, v in enumerate(vecs):
+        pool = [j for j in range(len(vecs)) if not earlier or times[j] < times[i]]
+        out[i] = sorted(pool, key=lambda j: (-cosine(v, vecs[j]), j))[:k]
+    return out
+
+
+def _nearest_got(spark, vecs, times, k, **options):
+    df = spark.createDataFrame([(i, v, at(t)) for i, (v, t) in enumerate(zip(vecs, times))], "id bigint, vec array<double>, at timestamp")
+    got: dict = {}
+    for r in similarity.nearest(df.withColumnRenamed("id", "query_id"), df, k, **options).orderBy("query_id", "position").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    return got
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+@pytest.mark.parametrize("block_rows", [20, 1000])
+def test_nearest_against_brute_force(spark, block_rows, earlier):
+    """A third are copies of one vector; zero, null and shorter vectors; ties fall to the smaller id; equal times do not count as earlier."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    vecs = [[1.0, 1.0, 0.0, 0.0] if i % 3 == 0 else rng.random(4).tolist() for i in range(60)] + [[0.0] * 4]
-    df = spark.createDataFrame([(i, v, at(i)) for i, v in enumerate(vecs)], "id bigint, vec array<double>, at timestamp")
-    q = df.withColumnRenamed("id", "query_id")
+    vecs = [[1.0, 1.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=4).tolist() for i in range(80)]
+    vecs += [[0.0] * 4, None, [], [0.5, 0.1], [0.0] * 4, None, [-3.0, 1.0], [0.0] * 4]
+    times = [i // 4 for i in range(len(vecs))]
+    got = _nearest_got(spark, vecs, times, 5, earlier_only=earlier, block_rows=block_rows)
+    want = _nearest_plain(vecs, times, 5, earlier)
+    assert {i: got.get(i, []) for i in want} == want
 
-    def cosine(a, b):
-        n = np.linalg.norm(a) * np.linalg.norm(b)
-        return round(float(np.dot(a, b) / n), 9) if n else 0.0
-
-    for earlier in (False, True):
-        got: dict = {}
-        for r in similarity.nearest(q, df, 5, earlier_only=earlier, block_rows=block_rows).orderBy("query_id", "position").collect():
-            got.setdefault(r["query_id"], []).append(r["id"])
-        for i, v in enumerate(vecs):
-            pool = [j for j in range(len(vecs)) if not earlier or j < i]
-            want = sorted(pool, key=lambda j: (-cosine(v, vecs[j]), j))[:5]
-            assert got.get(i, []) == want
+
+def _pairs_sent(monkeypatch):
+    """Row pairs that reach a comparison: counted from what each block is sent."""
+    sent = []
+    compared = similarity._compared
+
+    def counting(q, s, keys, k, earlier_only):
+        a, b = (df.groupBy(*keys).count() for df in (q, s))
+        total = a.join(b.withColumnRenamed("count", "n"), keys).agg(F.sum(F.col("count") * F.col("n")), F.count("*")).first()
+        sent.append((total[0] or 0, total[1]))
+        return compared(q, s, keys, k, earlier_only)
+
+    monkeypatch.setattr(similarity, "_compared", counting)
+    return sent
+
+
+def test_nearest_on_clusters_visits_few_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    vecs = [(centres[i % 20] + rng.normal(size=16) * 0.05).tolist() for i in range(1200)]
+    sent = _pairs_sent(monkeypatch)
+    got = _nearest_got(spark, vecs, [0] * 1200, 5, block_rows=60)
+    # The plain block join compares all 1200 x 1200.
+    assert sum(p for p, _ in sent) < 1200 * 1200 / 5
+    assert max(n for _, n in sent) > 8
+    full = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    scores = np.round(full @ full.T, 9)
+    for i in range(1200):
+        assert got[i] == sorted(range(1200), key=lambda j: (-scores[i, j], j))[:5]
+
+
+def test_nearest_earlier_visits_half_of_the_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    vecs = [(centres[i % 6] + rng.normal(size=8) * 0.2).tolist() for i in range(900)]
+    sent = _pairs_sent(monkeypatch)
+    got = _nearest_got(spark, vecs, list(range(900)), 3, earlier_only=True, block_rows=50)
+    assert sum(p for p, _ in sent) <= 900 * 900 / 2
+    full = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    scores = np.round(full @ full.T, 9)
+    for i in range(900):
+        assert got.get(i, []) == sorted(range(i), key=lambda j: (-scores[i, j], j))[:3]
 
 
 def _summary(spark, rows):
