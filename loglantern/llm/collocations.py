@@ -3,7 +3,8 @@
 The first pass hashes every run of one to three words, counts within tasks, and
 deals the counts over hash partitions. Each partition merges them into one
 Misra-Gries summary with more counters than its mass divided by the least
-frequency, so every run as frequent as that survives. A filter of bounded size
+frequency, so every run as frequent as that survives; those whose counter and
+error bound stay below it are left aside. A filter of bounded size
 over the survivors lets the second pass leave the rest aside while it counts
 phrases by their words, exactly. Scores and the choice of phrases are joins and
 decimals on those counts.
@@ -170,22 +171,32 @@ def _summarised(parts: int):
 
 
 class Summary:
-    """A Misra-Gries summary of at most ``size`` counters; summaries merge by adding and lowering all counts alike."""
+    """A Misra-Gries summary of at most ``size`` counters; summaries merge by adding and lowering all counts alike.
+
+    A key occurred at most as often as its counter says and all counters were ``lowered``.
+    """
 
     def __init__(self, size: int):
         self.size = size
         self.keys = np.zeros(0, np.uint64)
         self.counts = np.zeros(0, np.int64)
+        self.lowered = 0
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, at, np.concatenate([self.counts, counts]))
         if len(keys) > self.size:
-            total -= np.partition(total, len(keys) - self.size - 1)[len(keys) - self.size - 1]
+            least = np.partition(total, len(keys) - self.size - 1)[len(keys) - self.size - 1]
+            total -= least
+            self.lowered += int(least)
             keys, total = keys[total > 0], total[total > 0]
         self.keys, self.counts = keys, total
 
+    def frequent(self, least: int) -> np.ndarray:
+        """All keys that can have occurred ``least`` times."""
+        return self.keys[self.counts + self.lowered >= least]
+
 
 def _survivors(least: int):
     """Hashes left by each partition's summary. Rows come sorted by part, with the part's whole mass."""
@@ -200,7 +211,7 @@ def _survivors(least: int):
 
     def rows(summary: Summary, held: list) -> pa.RecordBatch:
         merged(summary, held)
-        return pa.RecordBatch.from_arrays([pa.array(summary.keys.view(np.int64))], names=["hash"])
+        return pa.RecordBatch.from_arrays([pa.array(summary.frequent(least).view(np.int64))], names=["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, summary, held, size = None, Summary(1), [], 0
