@@ -28,6 +28,8 @@ LONGEST = 3
 HELD, BLOCK = 1 << 21, 1 << 19
 #: Occurrences per hash partition, about: a task holds 12 bytes for each that its inputs kept apart, and 16 per counter.
 MASS = 1 << 22
+#: Shares of a language that are ranked apart first.
+RANKED = 64
 #: Bits of the survivors' filter: 16 per survivor, within these bounds (32 MB at most).
 FILTER_BITS = (1 << 16, 1 << 28)
 
@@ -319,7 +321,7 @@ def _phrases(table):
         for batch in batches:
             for texts in _blocks(batch):
                 counted(texts, marks, out)
-                if len(out) >= HELD // 8:
+                if len(out) >= HELD // 16:
                     yield rows(out)
                     out = {}
         if out:
@@ -347,7 +349,7 @@ def frequent_phrases(rows: DataFrame, least: int, mass: int = MASS) -> DataFrame
     parts = max(1, ceil(grams / mass))
     counts = rows.mapInArrow(_summarised(parts), "part long, hashes binary, counts binary, mass long")
     # The window needs the rows of a part in one task, and leaves them there, in order, for the summary.
-    whole = counts.withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
+    whole = counts.repartition(parts, "part").withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
     survivors = stored(whole.mapInArrow(_survivors(least), "hash long"))
     table = spark.sparkContext.broadcast(_filter(survivors))
     found = rows.mapInArrow(_phrases(table), "lang string, words int, phrase string, f long")
@@ -401,6 +403,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: in
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
         .select("lang", "phrase", "a", "s.l", "s.r", "s.score")
     )
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # First within shares of a language, so that the last step sees at most RANKED times ``top`` rows of it.
+    best = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)))
+    for key in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*key).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
