@@ -16,7 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglantern import fixed_values as V
-from loglantern.functions.log_fields import is_level, message_endpoint, message_ip
+from loglantern.functions.log_fields import is_level
+from loglantern.operators.pane_parts import LOG_FIELDS, pane_parts
+from loglantern.session import written
 
 PANE_KEY = ("pane_start", "service")
 
@@ -35,48 +37,33 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n)
 
 
-def last_ips(logs: DataFrame, step_sec: int, keep: int = V.LAST_IPS) -> DataFrame:
-    """The last ``keep`` addresses per pane and service, as an unordered bounded list."""
-    found = (
-        logs.where(F.col("message").contains("ip="))
-        .select(
-            pane_start(F.col("event_ts"), step_sec).alias("pane_start"),
-            "service",
-            "ord",
-            message_ip(F.col("message")).alias("ip"),
-        )
-        .where(F.col("ip").isNotNull() & F.col("pane_start").isNotNull())
-    )
-    return (
-        latest_per_key(found, PANE_KEY, [F.col("ord").desc()], keep)
-        .groupBy(*PANE_KEY)
-        .agg(F.collect_list(F.struct("ord", "ip")).alias("ips"))
+def metric_panes(logs: DataFrame, step_sec: int, keep_ips: int = V.LAST_IPS) -> DataFrame:
+    """One mergeable row per pane and service with everything a metric needs, from one read of the logs.
+
+    What is merged here are the parts that tasks have folded, a few per pane.
+    """
+    parts = pane_parts(logs, pane_start(F.col("event_ts"), step_sec), keep_ips)
+    merged = parts.groupBy(*PANE_KEY).agg(
+        *[F.sum(c).alias(c) for c in ("total", "errors", "warns", "latency_sum", "latency_count")],
+        F.max("latency_max").cast("int").alias("latency_max"),
+        F.max("last").alias("last"),
+        F.max("last_endpoint").alias("last_endpoint"),
+        F.flatten(F.collect_list("ips")).alias("ips"),
+        F.min("first_ord").alias("first_ord"),
     )
+    return merged.withColumn("ips", F.slice(F.sort_array("ips", asc=False), 1, keep_ips))
 
 
-def metric_panes(logs: DataFrame, step_sec: int, *more: Column) -> DataFrame:
-    """One mergeable row per pane and service with everything a metric needs, plus ``more`` aggregates."""
-    rows = logs.where(F.col("event_ts").isNotNull()).select(
-        pane_start(F.col("event_ts"), step_sec).alias("pane_start"),
-        "service",
-        "ord",
-        "ts",
-        "level",
-        "latency_ms",
-        message_endpoint(F.col("message")).alias("endpoint"),
-    )
-    stats = rows.groupBy(*PANE_KEY).agg(
-        F.count("*").alias("total"),
-        F.count_if(is_level(F.col("level"), "ERROR")).alias("errors"),
-        F.count_if(is_level(F.col("level"), "WARN")).alias("warns"),
-        F.sum(F.col("latency_ms").cast("bigint")).alias("latency_sum"),
-        F.count("latency_ms").alias("latency_count"),
-        F.max("latency_ms").alias("latency_max"),
-        F.max(F.struct("ord", "ts")).alias("last"),
-        F.max(F.when(F.col("endpoint").isNotNull(), F.struct("ord", "endpoint"))).alias("last_endpoint"),
-        *more,
+def counts_and_tails(logs: DataFrame, step_sec: int, keep: int = V.SAMPLE_LOGS) -> tuple[DataFrame, DataFrame]:
+    """:func:`count_panes` and :func:`pane_tails` from one read of the logs; their parts are written first."""
+    parts = written(pane_parts(logs, pane_start(F.col("event_ts"), step_sec), 0, keep))
+    counts = (
+        parts.where(F.col("total").isNotNull())
+        .groupBy(*PANE_KEY)
+        .agg(*[F.sum(c).alias(c) for c in ("total", "errors", "warns")], F.min("first_ord").alias("first_ord"))
     )
-    return stats.join(last_ips(logs, step_sec), list(PANE_KEY), "left")
+    rows = parts.where(F.col("tail").isNotNull()).select("pane_start", F.inline("tail"))
+    return counts, latest_per_key(rows, ["pane_start"], [F.col("ord").desc()], keep).drop("_rank")
 
 
 def count_panes(logs: DataFrame, step_sec: int) -> DataFrame:
@@ -93,9 +80,6 @@ def count_panes(logs: DataFrame, step_sec: int) -> DataFrame:
     )
 
 
-LOG_FIELDS = ("ts", "service", "level", "message", "latency_ms", "stacktrace")
-
-
 def pane_tails(logs: DataFrame, step_sec: int, keep: int = V.SAMPLE_LOGS) -> DataFrame:
     """The last ``keep`` logs per pane in arrival order."""
     rows = logs.where(F.col("event_ts").isNotNull()).select(

@@ -218,14 +218,12 @@ def _visits(blocks: Blocks, k: int, earlier_only: bool, probe: bool):
 
 def _pruned(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool, block_rows: int, n: int, pivots: int | None) -> DataFrame:
     """Top ``k`` by blocks around pivots: a probe gives each query its k-th best, which rules most other blocks out."""
-    wanted = min(MOST_PIVOTS, pivots or 4 * math.ceil(n / block_rows))
+    slices = min(MOST_SLICES, math.ceil(n / block_rows)) if earlier_only else 1
+    wanted = min(MOST_PIVOTS, pivots or math.ceil(4 * n / block_rows / slices))
     picked = store.where("size(vec) > 0").orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vec").toPandas()["vec"]
     centres = _spread([np.asarray(v, np.float64) for v in picked], wanted)
 
-    bounds: list[float] = []
-    if earlier_only:
-        slices = min(MOST_SLICES, math.ceil(n / block_rows))
-        bounds = store.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
+    bounds = store.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01) if slices > 1 else []
     slice_of = lambda at: F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= at)) if bounds else F.lit(0)
 
     placed = _placed(store, centres)

@@ -8,7 +8,7 @@ from loglantern import fixed_values as V
 from loglantern import schemas
 from loglantern.functions.log_fields import iso_text
 from loglantern.functions.text import first_of
-from loglantern.operators.panes import assign_windows, count_panes, latest_per_key, pane_step, pane_tails
+from loglantern.operators.panes import assign_windows, count_panes, counts_and_tails, latest_per_key, pane_step
 from loglantern.operators.review import review_windows
 
 WINDOW = ("window_start", "window_end", "window_sec")
@@ -80,10 +80,9 @@ def window_payloads(
     logs: DataFrame, window_sec: int = V.ANALYSIS_WINDOW_SEC, slide_sec: int = V.ANALYSIS_SLIDE_SEC
 ) -> DataFrame:
     """Aggregates plus ``payload``, the JSON a window reviewer reads."""
-    step = pane_step(window_sec, slide_sec)
-    samples = window_samples(pane_tails(logs, step), window_sec, slide_sec)
-    joined = window_aggregates(logs, window_sec, slide_sec).join(samples, list(WINDOW))
-    return with_payload(joined)
+    counts, tails = counts_and_tails(logs, pane_step(window_sec, slide_sec))
+    windows = window_counts(service_counts(counts, window_sec, slide_sec))
+    return with_payload(windows.join(window_samples(tails, window_sec, slide_sec), list(WINDOW)))
 
 
 def with_payload(windows: DataFrame) -> DataFrame:

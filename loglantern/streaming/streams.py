@@ -58,8 +58,7 @@ def start_ingest(
             write_batch(to_alerts(reviewed), f"{out}/alerts", batch_id)
             # Tails first: whoever sees a pane finds its sample logs.
             write_batch(pane_tails(logs, pane_sec), f"{out}/tails", batch_id)
-            first = F.min("ord").alias("first_ord")
-            write_batch(metric_panes(logs, pane_sec, first).select(*PANE.fieldNames()), f"{out}/panes", batch_id)
+            write_batch(metric_panes(logs, pane_sec).select(*PANE.fieldNames()), f"{out}/panes", batch_id)
         finally:
             reviewed.unpersist()
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglantern import schemas
-from loglantern.operators import asof, dashboard, feed, incidents, metrics, related, similarity, summaries
+from loglantern.operators import asof, dashboard, feed, incidents, metrics, panes, related, similarity, summaries
 from loglantern.operators.throttle import throttle_notifications
 from loglantern.plans import jobs
 from loglantern.sources import kafka, tables
@@ -45,6 +45,45 @@ def test_metrics_without_latency_and_with_many_ips(spark):
     assert r["failed_ips"] == ["10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.0"]
 
 
+def test_folded_panes_against_a_plain_fold(spark):
+    """Many small batches; a hot pane, null services, levels and latencies, arrivals out of order."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        sec = rng.choice([1, 2, rng.randrange(60)])
+        message = rng.choice(["plain", f"GET /p{i % 7} 200", f"x ip=10.0.0.{i % 9}", f"POST /q{i % 3} ip=10.0.1.{i % 5}"])
+        level = rng.choice(["ERROR", "error", "WARN", "INFO", None])
+        rows.append((i * 37 % 400, sec, rng.choice(["a", "a", "b", None]), level, message, rng.choice([None, i - 200])))
+    df = logs(spark, rows).withColumn("pane_start", panes.pane_start(F.col("event_ts"), 10))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = panes.metric_panes(df.repartition(3), 10)
+        folded = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = {}
+    for o, s, svc, lvl, msg, lat in rows:
+        plain.setdefault((s // 10 * 10, svc), []).append((o, lvl, msg, lat, at(s).strftime("%Y-%m-%dT%H:%M:%S.%fZ")))
+    found = {((r["pane_start"].replace(tzinfo=timezone.utc) if r["pane_start"].tzinfo is None else r["pane_start"]) - T0, r["service"]): r for r in folded}
+    assert {(k[0].total_seconds(), k[1]) for k in found} == set(plain)
+    for (start, svc), r in found.items():
+        own = sorted(plain[start.total_seconds(), svc])
+        known = [lat for _, _, _, lat, _ in own if lat is not None]
+        assert (r["total"], r["first_ord"], tuple(r["last"])) == (len(own), own[0][0], (own[-1][0], own[-1][4]))
+        assert (r["errors"], r["warns"]) == tuple(sum((x[1] or "").upper() == name for x in own) for name in ("ERROR", "WARN"))
+        assert (r["latency_count"], r["latency_sum"] or 0, r["latency_max"]) == (len(known), sum(known), max(known, default=None))
+        paths = [(o, m.split()[1]) for o, _, m, *_ in own if m.startswith(("GET", "POST"))]
+        assert r["last_endpoint"] == (paths[-1] if paths else None)
+        ips = [(o, m.split("ip=")[1]) for o, _, m, *_ in own if "ip=" in m]
+        assert [tuple(x) for x in r["ips"]] == ips[::-1][:5]
+    counts, tails = panes.counts_and_tails(df.repartition(3), 10, 4)
+    assert sorted((r["total"], r["first_ord"]) for r in counts.collect()) == sorted((r["total"], r["first_ord"]) for r in found.values())
+    by_pane: dict = {}
+    for o, s, *_ in rows:
+        by_pane.setdefault(s // 10, []).append(o)
+    assert sorted(r["ord"] for r in tails.collect()) == sorted(o for os_ in by_pane.values() for o in sorted(os_)[-4:])
+
+
 def test_null_latency_metric(spark):
     (r,) = metrics.service_window_metrics(logs(spark, [(1, 0, "a", "INFO", "m", None)]), 5, 5, 5).collect()
     assert (r["avg_latency_ms"], r["max_latency_ms"], r["endpoint_hint"], r["failed_ips"]) == (0.0, 0, None, [])
@@ -427,7 +466,11 @@ def test_plans_have_no_cross_join_and_limit_before_the_shuffle(spark, sf):
     for name in ("service_metrics", "related_alerts", "logs_near_alerts", "latest_alerts", "window_payloads"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan, name
-        if name in ("service_metrics", "related_alerts", "window_payloads"):
+        if name in ("related_alerts", "window_payloads"):
             assert "Partial" in plan and "WindowGroupLimit" in plan, name
+        if name == "service_metrics":
+            # One read of the logs, folded by the tasks: neither a second scan nor a sort below the fold.
+            below = plan[plan.index("MapInArrow"):]
+            assert plan.count("Scan parquet") == 1 and "Sort" not in below and "Window" not in below and "Exchange" not in below
         if name == "latest_alerts":
             assert "TakeOrderedAndProject" in plan
