@@ -5,11 +5,13 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loglantern import schemas
-from loglantern.operators import asof, dashboard, feed, incidents, metrics, panes, related, similarity, summaries
+from loglantern.operators import asof, dashboard, feed, incidents, metrics, panes, related, similarity, summaries, throttle
 from loglantern.operators.throttle import throttle_notifications
 from loglantern.plans import jobs
 from loglantern.sources import kafka, tables
@@ -200,8 +202,6 @@ def test_related_alerts_with_a_hot_service(spark, salts):
 
 
 def _nearest_plain(vecs, times, k, earlier):
-    import numpy as np
-
     def cosine(a, b):
         n = min(len(a or []), len(b or []))
         a, b = np.array(a[:n] if n else [0.0]), np.array(b[:n] if n else [0.0])
@@ -227,8 +227,6 @@ def _nearest_got(spark, vecs, times, k, **options):
 @pytest.mark.parametrize("block_rows", [20, 1000])
 def test_nearest_against_brute_force(spark, block_rows, earlier):
     """A third are copies of one vector; zero, null and shorter vectors; ties fall to the smaller id; equal times do not count as earlier."""
-    import numpy as np
-
     rng = np.random.default_rng(1)
     vecs = [[1.0, 1.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=4).tolist() for i in range(80)]
     vecs += [[0.0] * 4, None, [], [0.5, 0.1], [0.0] * 4, None, [-3.0, 1.0], [0.0] * 4]
@@ -254,8 +252,6 @@ def _pairs_sent(monkeypatch):
 
 
 def test_nearest_on_clusters_visits_few_blocks(spark, monkeypatch):
-    import numpy as np
-
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
     vecs = [(centres[i % 20] + rng.normal(size=16) * 0.05).tolist() for i in range(1200)]
@@ -271,8 +267,6 @@ def test_nearest_on_clusters_visits_few_blocks(spark, monkeypatch):
 
 
 def test_nearest_earlier_visits_half_of_the_pairs(spark, monkeypatch):
-    import numpy as np
-
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     vecs = [(centres[i % 6] + rng.normal(size=8) * 0.2).tolist() for i in range(900)]
@@ -397,21 +391,75 @@ def test_throttle_cases(spark, times, keys, sent):
     assert sorted(r["i"] for r in got.collect()) == sent
 
 
-def test_throttle_chain_across_blocks(spark):
-    """One chain of sub-gap repeats runs over several blocks; the result is the plain fold."""
+def _throttled_plain(rows, gap):
+    """The sequential rule over (run, ms) rows."""
+    last, out = None, []
+    for run, ms in rows:
+        out.append(last is None or last[0] != run or ms - last[1] >= gap)
+        if out[-1]:
+            last = run, ms
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from("AAAAAAB"), st.sampled_from([0, 0, 1, 3, 4, 9, 30])), min_size=1, max_size=60),
+    st.lists(st.integers(1, 59), max_size=6),
+    st.integers(1, 12),
+)
+def test_ranges_compose_to_the_sequential_rule(steps, cuts, gap):
+    """Each range as a function, composed in any grouping, hands on what the plain fold has; rows are decided from the entry alone."""
+    rows, ms = [], 0
+    for run, step in steps:
+        ms += step
+        rows.append((run, ms))
+    sent = _throttled_plain(rows, gap)
+    bounds = sorted({0, len(rows), *[c for c in cuts if c < len(rows)]})
+    state, functions = None, []
+    for a, b in zip(bounds, bounds[1:]):
+        runs, at_ms = [r for r, _ in rows[a:b]], np.array([t for _, t in rows[a:b]])
+        starts = np.array([0, *[i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]])
+        first = int(np.searchsorted(at_ms[: np.append(starts, len(at_ms))[1]], state[1] + gap)) if state and state[0] == runs[0] else 0
+        assert throttle._sent(at_ms, starts, first, gap).tolist() == sent[a:b]
+        functions.append(throttle.Function.of(runs[0], runs[-1] if len(starts) > 1 else None, at_ms[starts[-1] :], gap))
+        state = functions[-1](state, gap)
+        last = max(i for i in range(b) if sent[i])
+        assert state == (rows[last][0], rows[last][1])
+    whole = functions[0]
+    for f in functions[1:]:
+        whole = whole.then(f, gap)
+    right = functions[-1]
+    for f in functions[-2::-1]:
+        right = f.then(right, gap)
+    entries = [None, ("B", 0), *[("A", -x) for x in range(0, 14)]]
+    for entry in entries:
+        want = entry
+        for f in functions:
+            want = f(want, gap)
+        assert whole(entry, gap) == right(entry, gap) == want
+
+
+@pytest.mark.parametrize("ranges,fan_out", [(1, 64), (7, 64), (30, 3)])
+def test_throttle_against_the_sequential_rule(spark, monkeypatch, ranges, fan_out):
+    """One steady chain over all ranges, a busy scope, equal times, null scopes and times."""
+    monkeypatch.setattr(throttle, "FAN_OUT", fan_out)
     rng = random.Random(2)
-    t, rows = 0, []
-    for i in range(3000):
-        t += rng.choice([300, 700, 900, 4000])
-        rows.append((i, T0 + timedelta(milliseconds=t * 10), rng.choice("AAAAAAB"), "x", True))
-    want, last, key = [], None, None
-    for i, when, k, *_ in rows:
-        if last is None or when - last >= timedelta(seconds=10) or k != key:
-            want.append(i)
-            last, key = when, k
-    df = spark.createDataFrame(rows, "i int, at timestamp, category string, severity string, is_anomaly boolean")
-    got = throttle_notifications(df, gap_ms=10000, at="at", tie=["i"])
-    assert sorted(r["i"] for r in got.collect()) == want
+    rows, ms = [], 0
+    for i in range(2000):
+        ms += 300 if i < 900 else rng.choice([0, 300, 700, 900, 4000])
+        rows.append((i, T0 + timedelta(milliseconds=ms), "A" if i < 900 else rng.choice("AAAAAAB"), "x", True, "s" if i < 1200 else rng.choice(["s", "t", None])))
+    rows.append((5000, None, "A", "x", True, "s"))
+    rows.append((5001, T0, "A", "x", False, "s"))
+    df = spark.createDataFrame(rows, "i int, at timestamp, category string, severity string, is_anomaly boolean, scope string")
+    for scope in ([], ["scope"]):
+        want = set()
+        for name in {r[5] for r in rows} if scope else {None}:
+            own = [r for r in rows[:2000] if not scope or r[5] == name]
+            decided = _throttled_plain([(r[2], (r[1] - T0) // timedelta(milliseconds=1)) for r in own], 10000)
+            want |= {r[0] for r, ok in zip(own, decided) if ok}
+        got = throttle_notifications(df, 10000, scope, "at", ["i"], ranges)
+        assert sorted(r["i"] for r in got.collect()) == sorted(want)
+    assert throttle_notifications(df.limit(0), 10000, ["scope"], "at", ["i"]).count() == 0
 
 
 def test_feed_snapshot_is_oldest_to_newest(spark):
