@@ -25,9 +25,9 @@ from loglantern.llm.words import mixed
 
 LONGEST = 3
 #: Occurrences a task counts at once, and bytes of text hashed at once.
-HELD, BLOCK = 1 << 21, 1 << 19
+HELD, BLOCK = 1 << 20, 1 << 19
 #: Occurrences per hash partition, about: a task holds 12 bytes for each that its inputs kept apart, and 16 per counter.
-MASS = 1 << 22
+MASS = 1 << 20
 #: Shares of a language that are ranked apart first.
 RANKED = 64
 #: Bits of the survivors' filter: 16 per survivor, within these bounds (32 MB at most).
@@ -123,12 +123,12 @@ class Texts:
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[Texts]:
-    """The batch in blocks of about HELD / 4 bytes; a longer text is a block of its own."""
+    """The batch in blocks of about HELD / 2 bytes; a longer text is a block of its own."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
     total, first = np.cumsum(sizes), 0
     while first < len(sizes):
         before = total[first] - sizes[first]
-        last = max(first + 1, int(np.searchsorted(total, before + HELD // 4, side="right")))
+        last = max(first + 1, int(np.searchsorted(total, before + HELD // 2, side="right")))
         part = batch.slice(first, last - first)
         yield Texts(part.column("text"), part.column("lang"))
         first = last
@@ -146,7 +146,7 @@ def _summarised(parts: int):
         cut = [(bounds[p], bounds[p + 1]) for p in full]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(full, pa.int64()),
+                pa.array(full, pa.int32()),
                 pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()),
                 pa.array([counts[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary()),
                 pa.array([int(counts[a:b].sum()) for a, b in cut], pa.int64()),
@@ -321,7 +321,7 @@ def _phrases(table):
         for batch in batches:
             for texts in _blocks(batch):
                 counted(texts, marks, out)
-                if len(out) >= HELD // 16:
+                if len(out) >= HELD // 8:
                     yield rows(out)
                     out = {}
         if out:
@@ -347,9 +347,10 @@ def frequent_phrases(rows: DataFrame, least: int, mass: int = MASS) -> DataFrame
     spark = rows.sparkSession
     grams = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * LONGEST // 6
     parts = max(1, ceil(grams / mass))
-    counts = rows.mapInArrow(_summarised(parts), "part long, hashes binary, counts binary, mass long")
+    counts = rows.mapInArrow(_summarised(parts), "part int, hashes binary, counts binary, mass long")
     # The window needs the rows of a part in one task, and leaves them there, in order, for the summary.
-    whole = counts.repartition(parts, "part").withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
+    # Hence one task for each part.
+    whole = counts.repartitionById(parts, F.col("part")).withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
     survivors = stored(whole.mapInArrow(_survivors(least), "hash long"))
     table = spark.sparkContext.broadcast(_filter(survivors))
     found = rows.mapInArrow(_phrases(table), "lang string, words int, phrase string, f long")
