@@ -30,7 +30,7 @@ from loglantern.operators.summaries import finish_summaries, window_counts, wind
 from loglantern.operators.throttle import notification_key
 from loglantern.plans.jobs import reviewed_logs
 from loglantern.schemas import LOG, PANE, TAIL
-from loglantern.sources.tables import BATCH, read_batches, write_batch
+from loglantern.sources.tables import BATCH, read_days, write_batch, write_days
 
 def start(writer: DataStreamWriter, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Start with a fixed processing rate, or drain what is there when ``trigger`` is None."""
@@ -57,7 +57,7 @@ def start_ingest(
             write_batch(logs, f"{out}/logs", batch_id)
             write_batch(to_alerts(reviewed), f"{out}/alerts", batch_id)
             # Tails first: whoever sees a pane finds its sample logs.
-            write_batch(pane_tails(logs, pane_sec), f"{out}/tails", batch_id)
+            write_days(pane_tails(logs, pane_sec), f"{out}/tails", batch_id, "pane_start")
             write_batch(metric_panes(logs, pane_sec).select(*PANE.fieldNames()), f"{out}/panes", batch_id)
         finally:
             reviewed.unpersist()
@@ -136,12 +136,12 @@ def start_summaries(
     def write(batch: DataFrame, batch_id: int) -> None:
         closed = batch.persist()
         try:
-            # The span of the closed windows, pushed into the scan of the tails.
+            # The span of the closed windows: only the tails of these days are opened.
             low, high = closed.agg(F.min("window_start"), F.max("window_end")).first()
             if low is None:
                 return
-            tails = read_batches(spark, tails_path, tail_schema).drop(BATCH)
-            tails = tails.where(F.col("pane_start").between(low, high))
+            days = closed.agg(F.to_date(F.min("window_start")), F.to_date(F.max("window_end"))).first()
+            tails = read_days(spark, tails_path, tail_schema, *days).where(F.col("pane_start").between(low, high))
             windows = window_counts(closed).join(
                 window_samples(tails, window_sec, slide_sec), ["window_start", "window_end", "window_sec"], "left"
             )

@@ -329,10 +329,10 @@ def test_retried_batch_leaves_one_version(spark, tmp_path):
     s = _summary(spark, [(30, True, "latency", "low", "x", [])])
     one = jobs.build_incidents(s, alerts(spark, []))
     for batch_id in (0, 0, 1):
-        tables.write_batch(one, f"{tmp_path}/i", batch_id)
+        tables.write_incidents(one, f"{tmp_path}/i", batch_id)
     assert tables.read_incidents(spark, f"{tmp_path}/i").count() == 1
-    tables.compact_incidents(spark, f"{tmp_path}/i", f"{tmp_path}/j")
-    assert tables.read_incidents(spark, f"{tmp_path}/j").collect() == one.collect()
+    assert tables.compact_incidents(spark, f"{tmp_path}/i", fan=2) == 1
+    assert tables.read_incidents(spark, f"{tmp_path}/i").collect() == one.collect()
 
 
 def _graph(spark, n_alerts, durations, request):

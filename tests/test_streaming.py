@@ -1,5 +1,7 @@
 """Stream = batch: what a stream emits equals the batch result on closed windows."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from loglantern.operators.related import near_alerts
 from loglantern.operators.summaries import window_summaries
 from loglantern.operators.throttle import throttle_notifications
 from loglantern.plans import jobs
-from loglantern.sources.tables import incident_by_id, read_batches, read_incidents, stream_batches, write_batch
+from loglantern.sources.tables import (
+    compact_incidents, incident_by_id, read_batches, read_days, read_incidents, stream_batches, write_batch, write_days, write_incidents,
+)
 from loglantern.streaming import streams as S
 
 
@@ -82,7 +86,7 @@ def test_summary_stream_equals_batch_and_feeds_incidents(spark, land):
 
     def incidents(summaries, batch_id):
         alerts = read_batches(spark, f"{tmp}/out/alerts", schemas.ALERT).drop("batch_id")
-        write_batch(jobs.build_incidents(summaries, alerts), f"{tmp}/incidents", batch_id)
+        write_incidents(jobs.build_incidents(summaries, alerts), f"{tmp}/incidents", batch_id)
 
     S.start_summaries(
         counts, f"{tmp}/out/tails", f"{tmp}/summaries", f"{tmp}/s-cp",
@@ -143,3 +147,78 @@ def test_feed_messages_stream(spark, land):
     feed = run(jobs.feed_messages(logs, alerts, empty.where("is_anomaly")), tmp, "feed")
     counts = {r["type"]: r["count"] for r in feed.groupBy("type").count().collect()}
     assert counts["log"] == raw.count() and counts["alert"] > 0
+
+
+def test_a_batch_run_again_under_a_live_reader_is_seen_once(spark, tmp_path):
+    """A reader follows the table while batches are retried; a crash before the rename leaves nothing to see."""
+    def batch(n):
+        return spark.range(n * 10, n * 10 + 10).repartition(2)
+
+    schema = batch(0).schema
+    assert write_batch(batch(0), f"{tmp_path}/t", 0)
+    stream = stream_batches(spark, f"{tmp_path}/t", schema)
+    query = stream.writeStream.format("memory").queryName("followed").start()
+    try:
+        query.processAllAvailable()
+        assert not write_batch(batch(0), f"{tmp_path}/t", 0)
+        batch(1).write.parquet(f"{tmp_path}/t/_aside/1-lost")
+        query.processAllAvailable()
+        assert write_batch(batch(1), f"{tmp_path}/t", 1)
+        assert not write_batch(batch(1), f"{tmp_path}/t", 1)
+        query.processAllAvailable()
+        got = sorted(r["id"] for r in spark.table("followed").collect())
+    finally:
+        query.stop()
+    assert got == list(range(20)) == sorted(r["id"] for r in read_batches(spark, f"{tmp_path}/t", schema).collect())
+
+
+def _incidents(spark, rows):
+    full = [{**{f.name: None for f in schemas.INCIDENT.fields}, "id": i, "title": t} for i, t in rows]
+    return spark.createDataFrame(full, schemas.INCIDENT)
+
+
+def _opened(df):
+    """Data files that a lookup reads."""
+    return df.inputFiles()
+
+
+def test_point_lookup_opens_one_bucket_and_levels_stay_few(spark, tmp_path):
+    path, want = f"{tmp_path}/incidents", {}
+    for b in range(9):
+        rows = [(f"i{(b * 7 + j) % 40}", f"b{b}") for j in range(12)]
+        want.update(dict(rows))
+        write_incidents(_incidents(spark, rows), path, b, buckets=4)
+        assert not write_incidents(_incidents(spark, [("i0", "again")]), path, b, buckets=4)
+    def check():
+        assert {r["id"]: r["title"] for r in read_incidents(spark, path).collect()} == want
+        for i in ("i0", "i7", "i39"):
+            found = incident_by_id(spark, path, i, buckets=4)
+            assert [r["title"] for r in found.collect()] == [want[i]]
+            assert len({f.split("/bucket=")[1][0] for f in _opened(found)}) == 1
+        return len(_opened(incident_by_id(spark, path, "i0", buckets=4)))
+
+    before = check()
+    assert compact_incidents(spark, path, fan=3) == 1
+    assert check() < before and compact_incidents(spark, path, fan=3) == 0
+    # Older than what was merged, and newer.
+    write_incidents(_incidents(spark, [("i1", "late")]), path, 9, buckets=4)
+    want["i1"] = "late"
+    check()
+    assert incident_by_id(spark, path, "nobody", buckets=4).count() == 0
+
+
+def test_tails_of_other_days_are_not_opened(spark, tmp_path):
+    """The files opened for a span of days do not grow with the history."""
+    schema = _day_rows(spark, 0).schema
+    opened = []
+    for n in range(4):
+        write_days(_day_rows(spark, n), f"{tmp_path}/tails", n, "pane_start")
+        found = read_days(spark, f"{tmp_path}/tails", schema, date(2024, 1, 1), date(2024, 1, 2))
+        opened.append(len(found.inputFiles()))
+        assert {str(r["pane_start"].date()) for r in found.collect()} <= {"2024-01-01", "2024-01-02"}
+    assert opened == [1, 2, 2, 2]
+    assert read_days(spark, f"{tmp_path}/tails", schema, date(2020, 1, 1), date(2020, 1, 2)).count() == 0
+
+
+def _day_rows(spark, n):
+    return spark.range(5).select(F.expr(f"timestamp'2024-01-01 10:00:00' + INTERVAL {n} DAYS").alias("pane_start"), "id").coalesce(1)
