@@ -107,28 +107,14 @@ class Texts:
         power = lambda k: np.multiply.accumulate(np.full(k + 1, factors[2]))[:k]
         return mixed(np.array([(factors[0][b] * power(len(b))).sum(dtype=np.uint64) for b in own] or [0], np.uint64))
 
-    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
-        """The runs of ``n`` words that start at words ``at``, joined by single spaces."""
-        whole = self.data.tobytes()
-        starts, ends = self.starts[at], self.ends[at + n - 1]
-        plain = np.ones(len(at), bool)
-        for j in range(n - 1):
-            gap = self.ends[at + j]
-            plain &= (self.starts[at + j + 1] == gap + 1) & (self.data[gap] == 32)
-        out = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        for i in np.flatnonzero(~plain).tolist():
-            words = range(at[i], at[i] + n)
-            out[i] = b" ".join(whole[self.starts[w] : self.ends[w]] for w in words)
-        return out
-
-
-def _blocks(batch: pa.RecordBatch) -> Iterator[Texts]:
-    """The batch in blocks of about HELD / 2 bytes; a longer text is a block of its own."""
+
+def _blocks(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[Texts]:
+    """The batch in blocks of about ``size`` bytes; a longer text is a block of its own."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
     total, first = np.cumsum(sizes), 0
     while first < len(sizes):
         before = total[first] - sizes[first]
-        last = max(first + 1, int(np.searchsorted(total, before + HELD // 2, side="right")))
+        last = max(first + 1, int(np.searchsorted(total, before + size, side="right")))
         part = batch.slice(first, last - first)
         yield Texts(part.column("text"), part.column("lang"))
         first = last
@@ -278,7 +264,8 @@ def _phrases(table):
             ok &= (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return ok
 
-    def counted(texts: Texts, marks: np.ndarray, out: dict[tuple, list]) -> None:
+    def counted(texts: Texts, marks: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Per run that passes, once per block: its two hashes, times, size, language, first and last byte."""
         first = texts.word_hashes(_FACTORS[0]), texts.name_hashes(_FACTORS[0])
         second = texts.word_hashes(_FACTORS[1]), texts.name_hashes(_FACTORS[1])
         for n in range(1, LONGEST + 1):
@@ -286,50 +273,59 @@ def _phrases(table):
             hashes = texts.hashes(*first, at, n, _FACTORS[0])
             ok = passing(hashes, marks)
             at, hashes = at[ok], hashes[ok]
-            if not len(at):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            at, hashes = at[order], hashes[order]
-            check = texts.hashes(*second, at, n, _FACTORS[1])
-            # Runs are told apart by both hashes. Those of one hash alone may interleave, which only makes more groups.
-            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])]))
-            times = np.diff(np.append(new, len(at))).tolist()
-            keys = list(zip(hashes[new].tolist(), check[new].tolist()))
-            unseen = []
-            for i, (key, f) in enumerate(zip(keys, times)):
-                entry = out.get(key)
-                if entry is None:
-                    out[key] = [f]
-                    unseen.append(i)
-                else:
-                    entry[0] += f
-            where = at[new[unseen]] if unseen else new[:0]
-            langs = texts.lang[where].tolist()
-            for i, lang, phrase in zip(unseen, langs, texts.phrases(where, n)):
-                out[keys[i]] += (texts.names[lang], n, phrase)
-
-    def rows(out: dict[tuple, list]) -> pa.RecordBatch:
-        counts, langs, sizes, phrases = zip(*out.values())
+            if len(at):
+                order = np.argsort(hashes, kind="stable")
+                at, hashes = at[order], hashes[order]
+                check = texts.hashes(*second, at, n, _FACTORS[1])
+                new = _groups(hashes, check)
+                times, at = np.diff(np.append(new, len(hashes))), at[new]
+                yield hashes[new], check[new], times, np.full(len(at), n), texts.lang[at], texts.starts[at], texts.ends[at + n - 1]
+
+    def rows(texts: list[bytes], names: list[list[str]], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """What has been counted, each run once; its words are read where it was first met."""
+        hashes, check, times, size, lang, start, end, block = map(np.concatenate, zip(*held))
+        order = np.lexsort((check, hashes))
+        new = _groups(hashes[order], check[order])
+        total = np.add.reduceat(times[order], new)
+        at = order[new]
+        raw = [texts[b][i:j] for b, i, j in zip(block[at].tolist(), start[at].tolist(), end[at].tolist())]
+        # Words may have been further apart than one space.
+        odd = [k for k, (r, n) in enumerate(zip(raw, size[at].tolist())) if b"\t" in r or r.count(b" ") != n - 1]
+        for k in odd:
+            raw[k] = b" ".join(raw[k].split())
+        langs = [names[b][k] for b, k in zip(block[at].tolist(), lang[at].tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
+            [pa.array(langs, pa.string()), pa.array(size[at], pa.int32()), pa.array(raw, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())],
             names=["lang", "words", "phrase", "f"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = table.value
-        out: dict[tuple, list] = {}
+        texts: list[bytes] = []
+        names: list[list[str]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
-            for texts in _blocks(batch):
-                counted(texts, marks, out)
-                if len(out) >= HELD // 8:
-                    yield rows(out)
-                    out = {}
-        if out:
-            yield rows(out)
+            for block in _blocks(batch, HELD * 2):
+                for found in counted(block, marks):
+                    held.append((*found, np.full(len(found[0]), len(texts), np.int32)))
+                    n += len(found[0])
+                texts.append(block.data.tobytes())
+                names.append(block.names)
+                if n >= HELD:
+                    yield rows(texts, names, held)
+                    texts, names, held, n = [], [], [], 0
+        if n:
+            yield rows(texts, names, held)
 
     return run
 
 
+def _groups(hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new run begins. Runs of equal first hash may interleave, which only makes more groups."""
+    return np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])]))
+
+
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n): words per language, counted per batch."""
     for batch in batches:
