@@ -7,10 +7,12 @@ ISO text, decimals rounded to six places. Windows are an hour and six hours
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from loglantern import schemas
 from loglantern.checks.fixtures import HOUR, table, view
 from loglantern.functions import log_fields as L
 from loglantern.functions import replies as R
@@ -18,10 +20,12 @@ from loglantern.functions import text as X
 from loglantern.functions import vectors as VEC
 from loglantern.functions.embedding import embed
 from loglantern.functions.net import normalize_ip
-from loglantern.operators import asof, dashboard, feed, incidents, metrics, ranking, related, review, similarity, summaries
+from loglantern.operators import asof, dashboard, feed, incidents, metrics, ranking, related, review, similarity, spans, summaries
 from loglantern.operators.panes import latest_per_key
 from loglantern.plans import jobs
-from loglantern.session import cut_lineage
+from loglantern.session import cut_lineage, shared_dir
+from loglantern.sources import kafka, tables
+from loglantern.streaming import streams
 
 SHORT, LONG, SLIDE = HOUR, 6 * HOUR, HOUR
 ANALYSIS, ANALYSIS_SLIDE = 3 * HOUR, HOUR
@@ -416,16 +420,35 @@ def newest_saved_incidents(spark, d):
 
 @query
 def latest_incidents(spark, d):
-    found = ranking.latest(incidents_of(spark, d), 10, ranking.INCIDENT_ORDER)
+    found = ranking.latest(tables.read_incidents(spark, _incident_table(spark, d)), 10, ranking.INCIDENT_ORDER)
     return flat(found.select("id", "ts", "title"))
 
 
 @query
 def incident_by_id(spark, d):
-    """Point lookup of the report of the last anomalous window."""
+    """Point lookup, in the incident table, of the report of the last anomalous window."""
+    at = _incident_table(spark, d)
+    (wanted,) = ranking.latest(tables.read_incidents(spark, at), 1, ranking.INCIDENT_ORDER).select("id").first()
+    return flat(tables.incident_by_id(spark, at, wanted).select("id", "ts", "title", "severity", "category"))
+
+
+def _incident_table(spark, d) -> str:
+    """The reports as a table of four batches, two of them saved again with another title first, then compacted."""
+    at = _folder(spark)
     reports = cut_lineage(incidents_of(spark, d))
-    wanted = ranking.latest(reports, 1, ranking.INCIDENT_ORDER).select("id").scalar()
-    return flat(reports.where(F.col("id") == wanted).select("id", "ts", "title", "severity", "category"))
+    part = F.pmod(F.xxhash64("id"), F.lit(4))
+    tables.write_incidents(reports.where(part < 2).withColumn("title", F.lit("early")), at, 0)
+    for i in range(4):
+        tables.write_incidents(reports.where(part == i), at, i + 1)
+    tables.compact_incidents(spark, at, fan=3)
+    return at
+
+
+@query
+def stored_incidents(spark, d):
+    """The incident table after saves, repeated saves and a merge: the newest version of each report."""
+    found = tables.read_incidents(spark, _incident_table(spark, d))
+    return flat(found.select("id", "ts", "title", "severity", "category"))
 
 
 # ---- latest rows --------------------------------------------------------
@@ -455,10 +478,8 @@ def latest_spans(spark, d):
 @query
 def span_errors(spark, d):
     """Attributes of slow spans get an error entry."""
-    slow = F.col("duration_ms") > 1000
-    attributes = F.create_map(F.lit("topic"), F.lit("logs.raw"))
-    noted = F.when(slow, F.map_concat(attributes, F.create_map(F.lit("error"), F.concat(F.lit("slow "), F.col("name"))))).otherwise(attributes)
-    s = view(spark, d, "spans").withColumn("attributes", noted)
+    s = view(spark, d, "spans").withColumn("attributes", F.create_map(F.lit("topic"), F.lit("logs.raw")))
+    s = spans.with_errors(s, F.when(F.col("duration_ms") > 1000, F.concat(F.lit("slow "), F.col("name"))))
     return s.select("ord", F.col("attributes")["topic"].alias("topic"), F.col("attributes")["error"].alias("error"))
 
 
@@ -565,3 +586,171 @@ def scoped_notifications(spark, d):
     )
     sent = jobs.throttle_notifications(e, gap_ms=HOUR * 1000, scope=["scope"], at="at", tie=["event_id"])
     return sent.select("event_id")
+
+
+# ---- reviewers ----------------------------------------------------------
+
+
+def _log_reviewer(lines):
+    """Replies that depend on the line alone; some calls fail, some replies cannot be read."""
+    if any(len(line) % 13 == 0 for line in lines):
+        raise RuntimeError("no reply")
+    return [
+        "no idea" if len(line) % 5 == 0
+        else f'{{"is_anomaly":{"true" if len(line) % 2 else "false"},"score":0.{len(line) % 10},"category":"latency","explanation":"length {len(line)}"}}'
+        for line in lines
+    ]
+
+
+@query
+def reviewer_log_reviews(spark, d):
+    r = jobs.reviewed_logs(raw_lines(spark, d), ingest_ts=F.col("source_ts"), reviewer=_log_reviewer)
+    return flat(r.select("ord", "review.is_anomaly", "review.score", "review.category", "review.explanation"))
+
+
+def _window_reviewer(payloads):
+    if any(len(p) % 7 == 0 for p in payloads):
+        raise RuntimeError("no reply")
+    return [
+        f'Review: {{"is_anomaly":true,"severity":"high","category":"security","summary":"payload {len(p)}","top_signals":["a","b"],"recommended_actions":[]}}'
+        if len(p) % 3 else f"unsure about {len(p)}"
+        for p in payloads
+    ]
+
+
+@query
+def reviewer_window_reviews(spark, d):
+    """Windows reviewed from their payload by a callable."""
+    windows = summaries.window_payloads(logs_of(spark, d), ANALYSIS, ANALYSIS_SLIDE)
+    found = summaries.finish_summaries(review.review_windows(review.call_reviewer(windows, "payload", _window_reviewer)))
+    return flat(found.select("window_start", "is_anomaly", "severity", "category", "summary", "top_signals"))
+
+
+def _drafter(contexts):
+    if any(len(c) % 11 == 0 for c in contexts):
+        raise RuntimeError("no reply")
+    return [f'{{"title":"Draft of {len(c)}","impact":"","timeline":["t{len(c) % 4}"],"evidence":["e"],"recommended_actions":["look"]}}' for c in contexts]
+
+
+@query
+def drafter_incident_reports(spark, d):
+    """Reports drafted from their context by a callable."""
+    found = jobs.build_incidents(summaries_of(spark, d), alerts_of(spark, d), drafter=_drafter)
+    return flat(found.select("event_ts", "title", "impact", "timeline", "evidence", "recommended_actions"))
+
+
+def _answerer(prompts):
+    if any(len(p) % 17 == 0 for p in prompts):
+        raise RuntimeError("no reply")
+    return [" " if len(p) % 9 == 0 else f"Answer of {len(p)}" for p in prompts]
+
+
+@query
+def answered_questions(spark, d):
+    """Questions to answers; those of equal prompts share one request."""
+    o = F.col("ord")
+    questions = logs_of(spark, d).select(
+        "ord",
+        F.when(o % 10 == 9, "  ").otherwise(F.concat(F.lit("What about "), F.regexp_replace("message", "[0-9]+", "N"), F.lit("?"))).alias("question"),
+        F.when(o % 4 == 0, "overview").otherwise("log").alias("mode"),
+        F.when(o % 8 != 1, F.struct("ts", "service", "level", "message", "latency_ms", "stacktrace")).alias("log"),
+    )
+    found = jobs.answered_questions(questions, logs_of(spark, d), alerts_of(spark, d), summaries_of(spark, d), _answerer)
+    return found.select("ord", "prompt", "reply_failed", "answer")
+
+
+# ---- Kafka shapes -------------------------------------------------------
+
+
+def _kafka_rows(spark, d) -> DataFrame:
+    """The raw lines as a topic of three partitions with one broker time per hour."""
+    raw = raw_lines(spark, d)
+    return raw.select(
+        F.lit(None).cast("binary").alias("key"), F.col("raw").cast("binary").alias("value"), (F.col("ord") % 3).cast("int").alias("partition"),
+        F.floor(F.col("ord") / 3).cast("long").alias("offset"), F.date_trunc("hour", "source_ts").alias("timestamp"),
+    )
+
+
+@query
+def kafka_log_lines(spark, d):
+    """Logs of a topic, with their place in the order of arrival within the hour."""
+    logs = jobs.parse_logs(kafka.raw_lines(_kafka_rows(spark, d)), ingest_ts=F.col("source_ts"))
+    order = Window.partitionBy(F.col("ord.timestamp")).orderBy("ord")
+    return flat(logs.select("ord.timestamp", "ord.partition", "ord.offset", F.row_number().over(order).alias("place"), "service", "level", "message"))
+
+
+@query
+def kafka_log_messages(spark, d):
+    """Logs written to a topic and parsed again: key, JSON and what comes back."""
+    sent = kafka.log_messages(logs_of(spark, d))
+    back = jobs.parse_logs(sent.withColumnRenamed("value", "raw"), ingest_ts=F.lit(None).cast("timestamp"))
+    return flat(back.select("key", F.col("raw").alias("value"), "ts", "service", "level", "message", "latency_ms"))
+
+
+# ---- streams ------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _canonical_lines(spark, d) -> DataFrame:
+    """The logs as the JSON lines that a log sink writes."""
+    logs = logs_of(spark, d)
+    return logs.select("ord", F.col("event_ts").alias("source_ts"), F.to_json(summaries.log_struct(), {"ignoreNullFields": "false"}).alias("raw"))
+
+
+def _landed(spark, raw: DataFrame) -> str:
+    """Raw lines as files, ingested by a stream into logs, alerts, tails and panes."""
+    at = _folder(spark)
+    raw.write.parquet(f"{at}/raw")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{at}/raw")
+    streams.start_ingest(stream, f"{at}/out", f"{at}/ingest", pane_sec=HOUR, ingest_ts=F.col("source_ts")).awaitTermination()
+    return at
+
+
+def _drained(df: DataFrame, at: str, name: str) -> DataFrame:
+    """Run a stream until its input is used up, and read what it has written."""
+    sink = df.writeStream.format("parquet").option("path", f"{at}/{name}").outputMode("append")
+    streams.start(sink, f"{at}/{name}-progress").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
+
+
+@query
+def streamed_service_metrics(spark, d):
+    """Ingest, panes and closed windows of both sizes, as streams; a window closes six hours behind the newest."""
+    at = _landed(spark, _canonical_lines(spark, d))
+    panes = tables.stream_batches(spark, f"{at}/out/panes", schemas.PANE)
+    return flat(_drained(streams.metric_stream(panes, SHORT, LONG, SLIDE, delay_sec=0), at, "metrics"))
+
+
+@query
+def streamed_alerts(spark, d):
+    """The alert table that ingestion writes, as a stream of its own reads it."""
+    at = _landed(spark, raw_lines(spark, d))
+    return flat(_drained(tables.stream_batches(spark, f"{at}/out/alerts", schemas.ALERT), at, "seen").drop("batch_id"))
+
+
+@query
+def streamed_summaries(spark, d):
+    """Summaries of the windows that a stream of counts closes, with samples from the tails of their days."""
+    at = _landed(spark, _canonical_lines(spark, d))
+    counts = streams.service_count_stream(tables.stream_batches(spark, f"{at}/out/panes", schemas.PANE), ANALYSIS, ANALYSIS_SLIDE, delay_sec=0)
+    streams.start_summaries(
+        counts, f"{at}/out/tails", f"{at}/summaries", f"{at}/summaries-progress",
+        window_sec=ANALYSIS, slide_sec=ANALYSIS_SLIDE, reviewer=_window_reviewer,
+    ).awaitTermination()
+    found = tables.read_batches(spark, f"{at}/summaries", schemas.SUMMARY)
+    return flat(found.select("window_start", "window_end", "total_logs", "error_count", "services_top", "summary", "top_signals"))
+
+
+@query
+def streamed_new_summaries(spark, d):
+    """Anomalous summaries of a stream in which every one comes twice."""
+    at = _folder(spark)
+    rows = cut_lineage(summaries_of(spark, d))
+    for part in range(2):
+        rows.write.mode("append").parquet(f"{at}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/rows")
+    found = _drained(streams.new_summaries(stream, delay_sec=10**9), at, "new")
+    return flat(found.select("window_end", "category", "severity", "summary"))

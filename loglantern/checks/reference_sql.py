@@ -360,6 +360,7 @@ SQL["newest_saved_incidents"] = with_(("saves",), """
 SELECT id, title, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rk FROM saves) s WHERE rk = 1
 ORDER BY version DESC LIMIT 40""")
 SQL["latest_incidents"] = with_(("incidents",), "SELECT id, ts, title FROM incidents ORDER BY event_ts DESC, id DESC LIMIT 10")
+SQL["stored_incidents"] = with_(("incidents",), "SELECT id, ts, title, severity, category FROM incidents")
 SQL["incident_by_id"] = with_(("incidents",), "SELECT id, ts, title, severity, category FROM incidents ORDER BY event_ts DESC, id DESC LIMIT 1")
 
 # ---- latest rows ----------------------------------------------------------
@@ -492,3 +493,59 @@ SELECT {iso('window_start')} AS window_start, s.category, s.severity FROM fold J
 SQL["scoped_notifications"] = throttled(
     """notices AS (SELECT user_id % 3 AS scope, epoch_ms(ts) AS at_ms, event_id AS tie, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS k FROM events)""",
     HOUR * 1000) + "\nSELECT tie AS event_id FROM fold WHERE sent"
+
+# ---- reviewers ------------------------------------------------------------
+
+SQL["reviewer_log_reviews"] = with_(("reviews", "rawlogs"), f"""
+SELECT ord, CASE WHEN usable THEN n % 2 = 1 ELSE is_anomaly END AS is_anomaly, CASE WHEN usable THEN (n % 10) / 10.0 ELSE score END AS score,
+  CASE WHEN usable THEN 'latency' ELSE category END AS category,
+  CASE WHEN usable THEN concat('length ', n) ELSE concat(CASE WHEN n % 13 = 0 THEN {q(V.NOTE_FAILED_CALL)} ELSE {q(V.NOTE_BAD_REPLY)} END,
+    CASE WHEN is_text THEN {q(V.NOTE_TEXT_SUFFIX)} ELSE '' END) END AS explanation
+FROM (SELECT r.*, length(x.raw) AS n, length(x.raw) % 13 <> 0 AND length(x.raw) % 5 <> 0 AS usable FROM reviews r JOIN rawlogs x ON r.ord = x.ord) y""")
+part("payloads", ("aggregates", "window_logs"), f"""
+SELECT a.*, length(CAST(to_json({{'ts': {iso('window_end')}, 'window_sec': window_sec,
+  'counts': {{'total': total_logs, 'error': error_count, 'warn': warn_count}}, 'services_top': services_top, 'sample_logs': sample}}) AS VARCHAR)) AS n
+FROM aggregates a JOIN (SELECT make_timestamp(ws * 1000000) AS window_start, list({LOG_STRUCT} ORDER BY ord) AS sample
+  FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY ord DESC) AS rk FROM window_logs) r WHERE rk <= 10 GROUP BY ws) s USING (window_start)""")
+part("window_verdicts", ("payloads",), f"""
+SELECT *, n % 7 <> 0 AND n % 3 <> 0 AS usable,
+  CASE WHEN n % 7 = 0 THEN {q(V.WINDOW_FAILED_CALL_SUMMARY)} WHEN n % 3 = 0 THEN {q(V.WINDOW_BAD_REPLY_SUMMARY)} ELSE concat('payload ', n) END AS summary,
+  CASE WHEN n % 7 = 0 THEN '' WHEN n % 3 = 0 THEN concat('unsure about ', n) ELSE 'a | b' END AS top_signals FROM payloads""")
+SQL["reviewer_window_reviews"] = with_(("window_verdicts",), f"""
+SELECT {iso('window_start')} AS window_start, usable AS is_anomaly, CASE WHEN usable THEN 'high' ELSE 'low' END AS severity,
+  CASE WHEN usable THEN 'security' ELSE 'other' END AS category, summary, top_signals FROM window_verdicts""")
+SQL["drafter_incident_reports"] = with_(("anomalies",), f"""
+SELECT {iso('window_end')} AS event_ts, CASE WHEN failed THEN {q(V.DRAFT_TITLE)} ELSE concat('Draft of ', n) END AS title,
+  CASE WHEN failed THEN {q(V.DRAFT_FAILED_CALL_IMPACT)} ELSE concat('Incident affects ', array_to_string(services_top, ', '), '.') END AS impact,
+  CASE WHEN failed THEN concat({q(V.DEFAULT_TIMELINE_FIRST)}, ' | Category=', category, ', severity=', severity) ELSE concat('t', n % 4) END AS timeline,
+  {joined(distinct_in_order('all_evidence'))} AS evidence, {joined(distinct_in_order('all_actions'))} AS recommended_actions
+FROM (SELECT *, list_concat(list_concat(top_signals, CASE WHEN failed THEN [{q(V.DRAFT_FAILED_CALL_EVIDENCE[0])}] ELSE ['e'] END),
+    list_transform(seen[1:3], lambda a: concat(a.service, ': ', a.message))) AS all_evidence,
+    list_concat(recommended_actions, CASE WHEN failed THEN [{q(V.DRAFT_FAILED_CALL_ACTIONS[0])}] ELSE ['look'] END) AS all_actions
+  FROM (SELECT *, n % 11 = 0 AS failed FROM (
+    SELECT *, length(CAST(to_json({{'summary': {SUMMARY_STRUCT}, 'alerts': seen[1:8]}}) AS VARCHAR)) AS n FROM anomalies) c) d) e""")
+SQL["answered_questions"] = f"""
+SELECT ord, prompt, length(prompt) % 17 = 0 AS reply_failed,
+  CASE WHEN length(prompt) % 17 = 0 THEN {q(V.ANSWER_FAILED_CALL)} WHEN length(prompt) % 9 = 0 THEN {q(V.ANSWER_BLANK)}
+    ELSE concat('Answer of ', length(prompt)) END AS answer
+FROM ({SQL["question_prompts"].replace("'What about ', message, '?'", "'What about ', regexp_replace(message, '[0-9]+', 'N', 'g'), '?'")}) asked"""
+
+# ---- Kafka shapes ---------------------------------------------------------
+
+SQL["kafka_log_lines"] = with_(("parsed", "rawlogs"), f"""
+SELECT {iso('"timestamp"')} AS "timestamp", "partition", "offset",
+  row_number() OVER (PARTITION BY "timestamp" ORDER BY "partition", "offset") AS place, service, level, message
+FROM (SELECT p.*, date_trunc('hour', r.event_ts) AS "timestamp", p.ord % 3 AS "partition", p.ord // 3 AS "offset"
+  FROM parsed p JOIN rawlogs r ON p.ord = r.ord) x""")
+SQL["kafka_log_messages"] = with_(("logs",), f"""
+SELECT CAST(NULL AS VARCHAR) AS key, CAST(to_json({LOG_STRUCT}) AS VARCHAR) AS value, ts, service, level, message, CAST(latency_ms AS BIGINT) AS latency_ms FROM logs""")
+
+# ---- streams: the windows that a watermark one longest window behind closes ----
+
+SQL["streamed_service_metrics"] = SQL["service_metrics"] + f" WHERE metrics.window_end <= (SELECT max(window_end) FROM metrics) - INTERVAL {6 * HOUR} SECOND"
+SQL["streamed_alerts"] = SQL["alerts"]
+SQL["streamed_summaries"] = with_(("window_verdicts",), f"""
+SELECT {iso('window_start')} AS window_start, {iso('window_end')} AS window_end, total_logs, error_count, {joined('services_top')} AS services_top, summary, top_signals
+FROM window_verdicts WHERE window_verdicts.window_end <= (SELECT max(window_end) FROM window_verdicts) - INTERVAL {3 * HOUR} SECOND""")
+SQL["streamed_new_summaries"] = with_(("summaries",), f"""
+SELECT DISTINCT {iso('window_end')} AS window_end, category, severity, summary FROM summaries WHERE is_anomaly""")

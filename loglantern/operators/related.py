@@ -99,6 +99,19 @@ def salted_lookup(
     return rows.withColumn("_part", part).join(copies, [*keys, "_part"], "left").drop("_part")
 
 
+def counted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` to ``table``, which has one row per key and says in ``weight`` how many rows have it.
+
+    Fewer than 1,000 keys can hold more than a thousandth of all rows each: only
+    these are broadcast, all others are shuffled. Both inputs are read twice.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    many = F.col(weight) * 1000 > F.lit(total)
+    frequent, rare = table.where(many).drop(weight), table.where(~many).drop(weight)
+    held = F.broadcast(frequent.select(*keys))
+    return rows.join(F.broadcast(frequent), list(keys)).unionByName(rows.join(held, list(keys), "left_anti").join(rare, list(keys)))
+
+
 def related_alerts(logs: DataFrame, alerts: DataFrame, k: int = 5, salts: int | None = None) -> DataFrame:
     """Add ``related`` to each log: the newest ``k`` alerts of its service, newest first.
 

@@ -7,7 +7,7 @@ All take and return DataFrames and stay lazy, except ``build_incidents`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loglantern import fixed_values as V
 from loglantern.functions.log_fields import IS_JSON_COLUMN, JSON_COLUMN, with_json, with_log_fields
@@ -17,12 +17,15 @@ from loglantern.operators.dashboard import dashboard_kpis, question_contexts, se
 from loglantern.operators.feed import feed_messages, feed_snapshot
 from loglantern.operators.metrics import service_window_metrics
 from loglantern.operators.ranking import latest
-from loglantern.operators.review import Reviewer, call_reviewer, review_logs, to_alerts
+from loglantern.operators.related import counted_lookup
+from loglantern.operators.review import Reviewer, answer_questions, call_reviewer, review_logs, structured_answers, to_alerts
 from loglantern.operators.similarity import similar_incidents, similar_to_text
 from loglantern.operators.summaries import window_summaries
 from loglantern.operators.throttle import throttle_notifications
+from loglantern.session import written
 
 __all__ = [
+    "answered_questions",
     "ask_context",
     "build_incidents",
     "dashboard_kpis",
@@ -109,3 +112,29 @@ def root_cause(
 def ask_context(questions: DataFrame, logs: DataFrame, alerts: DataFrame, summaries: DataFrame) -> DataFrame:
     """Questions with the prompt an answerer reads."""
     return question_contexts(questions, logs, alerts, summaries)
+
+
+def answered_questions(
+    questions: DataFrame,
+    logs: DataFrame,
+    alerts: DataFrame,
+    summaries: DataFrame,
+    reviewer: Reviewer | None = None,
+    structured: bool = False,
+) -> DataFrame:
+    """Questions with their ``prompt``, the ``reply``, whether the call failed, and the ``answer`` (``agent`` if structured).
+
+    ``questions`` are those of :func:`ask_context`; blank ones have no row. Equal
+    prompts are one request, whose reply is written once and then shared: no
+    retry of a task asks again for what has been answered. Failed calls stay
+    apart as ``reply_failed``, to be asked again alone.
+    """
+    asked = written(ask_context(questions, logs, alerts, summaries).withColumn("_request", F.sha2("prompt", 256)))
+    requests = asked.groupBy("_request").agg(F.first("prompt").alias("prompt"), F.count("*").alias("_asked"))
+    if reviewer is None:
+        replies = requests.withColumns({"reply": F.lit(None).cast("string"), "reply_failed": F.lit(False)})
+    else:
+        replies = call_reviewer(requests.repartition("_request"), "prompt", reviewer)
+    replies = written(replies.drop("prompt"))
+    found = counted_lookup(asked, replies, ["_request"], "_asked").drop("_request")
+    return structured_answers(found) if structured else answer_questions(found)
