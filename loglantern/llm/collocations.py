@@ -284,6 +284,7 @@ def _phrases(table):
     def rows(texts: list[bytes], names: list[list[str]], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """What has been counted, each run once; its words are read where it was first met."""
         hashes, check, times, size, lang, start, end, block = map(np.concatenate, zip(*held))
+        held.clear()
         order = np.lexsort((check, hashes))
         new = _groups(hashes[order], check[order])
         total = np.add.reduceat(times[order], new)
@@ -312,7 +313,7 @@ def _phrases(table):
                     n += len(found[0])
                 texts.append(block.data.tobytes())
                 names.append(block.names)
-                if n >= HELD:
+                if n >= HELD // 2:
                     yield rows(texts, names, held)
                     texts, names, held, n = [], [], [], 0
         if n:
