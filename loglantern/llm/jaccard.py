@@ -1,6 +1,9 @@
 """Exact Jaccard self-join over word shingles with adaptive multi-match prefixes.
 
-Every document's distinct shingles are put in one global order (by hash). Two
+Every document's distinct shingles are put in one global order: by how often
+their hash bucket occurs in all documents, in powers of two, then by hash. Any
+fixed order is exact; with the rare ones first, common shingles seldom come into
+a prefix. The buckets are a table of fixed size, counted over all documents. Two
 documents that link share at least l shingles among the first p + l - 1 of
 each, where p is the length of the plain prefix. A document whose prefix holds
 shingles that many documents share is lengthened by e and may then set aside
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loglantern.llm.tables import components, stored
 from loglantern.llm.words import byte_texts, shingle_set
 
+#: Bits of a shingle's hash that choose its bucket, and pieces in which tasks hand on their counts (32 KB each).
+BUCKET_BITS, PIECES = 21, 256
 #: Shingles of documents that a task remembers between pairs.
 KNOWN = 3_000_000
 #: Documents and shingles of a block, about.
@@ -68,8 +73,56 @@ def extension(pos: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[in
     return e, inside, np.isin(inside, aside)
 
 
-def _signatures(k: int, percent: int):
-    """(doc_id, n, a, b, tokens): size and two hashes of each document's shingle set, and the longest prefix that may be needed, in hash order."""
+def _counted(k: int):
+    """(piece, counts): occurrences of each bucket in the documents of one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            held: list[np.ndarray] = []
+            for text in byte_texts(batch.column("text")):
+                held.append((shingle_set(text, k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                if len(held) == 256:
+                    _add(counts, held)
+            _add(counts, held)
+        pieces = counts.astype("<u4").reshape(PIECES, -1)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["piece", "counts"])
+
+    return run
+
+
+def _add(counts: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        counts[at] += times
+        held.clear()
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.zeros((1 << BUCKET_BITS) // PIECES, np.int64)
+    for counts in table.column("counts"):
+        total += np.frombuffer(counts.as_py(), "<u4")
+    # Powers of two are all that is used.
+    return pa.table({"piece": table.column("piece")[:1], "classes": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def bucket_classes(texts: DataFrame, k: int) -> np.ndarray:
+    """The power of two that each bucket's occurrences reach, over all ``texts`` (2 MB)."""
+    rows = texts.select("text").mapInArrow(_counted(k), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, classes binary")
+    out = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint8)
+    for row in rows.collect():
+        out[row["piece"]] = np.frombuffer(row["classes"], np.uint8)
+    return out.ravel()
+
+
+def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A shingle set in the global order."""
+    return s[np.lexsort((s, classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))]
+
+
+def _signatures(k: int, percent: int, classes):
+    """(doc_id, n, a, b, tokens): size and two hashes of each document's shingle set, and the longest prefix that may be needed, in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +132,8 @@ def _signatures(k: int, percent: int):
                 n.append(len(s))
                 a.append(np.bitwise_xor.reduce(s) if len(s) else np.uint64(0))
                 b.append(s.sum(dtype=np.uint64))
-                tokens.append(s[: plain_prefix(len(s), percent) + longest_extension(len(s), percent)].view(np.int64).copy())
+                first = ordered(s, classes.value)[: plain_prefix(len(s), percent) + longest_extension(len(s), percent)]
+                tokens.append(first.view(np.int64).copy())
             ends = np.cumsum([len(x) for x in tokens])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -127,7 +181,7 @@ def _adapted(percent: int):
     return run
 
 
-def _verified(k: int, percent: int):
+def _verified(k: int, percent: int, classes):
     """Keep the pairs that link: enough shared prefix shingles first, then the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +193,7 @@ def _verified(k: int, percent: int):
                 if room[0] < 0:
                     known.clear()
                     room[0] = KNOWN
-                known[doc] = shingle_set(text, k)
+                known[doc] = ordered(shingle_set(text, k), classes.value)
                 room[0] -= len(known[doc])
             return known[doc]
 
@@ -170,11 +224,11 @@ def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(stored(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
 
 
-def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     left = _of(texts, pairs.select("a")).select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = _of(texts, pairs.select("b")).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "l", "text_a", "text_b")
-    return stored(both.mapInArrow(_verified(k, percent), "a long, b long"))
+    return stored(both.mapInArrow(_verified(k, percent, classes), "a long, b long"))
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -252,7 +306,7 @@ def _block_links(docs: np.ndarray, comp: np.ndarray, e: np.ndarray, first: np.nd
     return docs[first[i]], docs[second[j]]
 
 
-def _between_blocks(k: int, percent: int):
+def _between_blocks(k: int, percent: int, classes):
     """Links (a, b) of each pair of blocks; rows arrive sorted by (block_a, block_b, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +327,7 @@ def _between_blocks(k: int, percent: int):
                     if held:
                         yield links()
                     held, now = {}, (one, two)
-                held[doc] = (comp, e, block, shingle_set(text, k))
+                held[doc] = (comp, e, block, ordered(shingle_set(text, k), classes.value))
         if held:
             yield links()
 
@@ -303,7 +357,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     shape the work, not the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(texts.mapInArrow(_signatures(k, percent), "doc_id long, n long, a long, b long, tokens array<long>"))
+    classes_of = docs.sparkSession.sparkContext.broadcast(bucket_classes(texts, k))
+    made = stored(texts.mapInArrow(_signatures(k, percent, classes_of), "doc_id long, n long, a long, b long, tokens array<long>"))
     signs = made.drop("tokens")
     classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
 
@@ -319,7 +374,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     )
 
     tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False, one=True))
-    links = _links(texts, tried, k, percent)
+    links = _links(texts, tried, k, percent, classes_of)
     found = components(links)
     placed = _still_apart(postings, found)
     few = stored(_of(texts, placed.select("doc")))
@@ -328,7 +383,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         pairs = stored(_pivot_pairs(placed, order, percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        more = _links(few, pairs, k, percent)
+        more = _links(few, pairs, k, percent, classes_of)
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         if not more.isEmpty():
             found = components(links)
@@ -357,7 +412,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     facts = placed.select("doc", "e", "comp").distinct().join(blocks, "doc").join(few.select(F.col("doc_id").alias("doc"), "text"), "doc")
     sides = meet.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
     met = sides.join(facts, "block").repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "doc")
-    found = components(links.union(stored(met.mapInArrow(_between_blocks(k, percent), "a long, b long"))))
+    found = components(links.union(stored(met.mapInArrow(_between_blocks(k, percent, classes_of), "a long, b long"))))
 
     of_class = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
