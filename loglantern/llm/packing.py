@@ -10,6 +10,7 @@ tightest open window that still has room.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,36 +74,75 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return windows, offsets
 
 
+#: Words of letters whose lower case is one letter each, with marks after them.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class Tokens:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     For vocabularies that split at white space and drop it, so a text's ids are
-    those of its space-separated parts in order. Parts seen before are looked
-    up; the memory is dropped when it is full, which changes no result.
+    those of its space-separated parts in order. Parts seen lately are looked
+    up in two generations of at most ``most`` bytes each; what either still
+    holds changes no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 12_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > self.most:
-            known = self.known = {"": b""}
-            new = [p for p in dict.fromkeys(parts) if p]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+        found = [self.young.get(p) for p in parts]
+        if None in found:
+            known = self._looked_up({p for p, ids in zip(parts, found) if ids is None})
+            found = [known[p] if ids is None else ids for p, ids in zip(parts, found)]
+        return b"".join(found)
+
+    def _looked_up(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that the young generation lacks; they enter it."""
+        known = {p: self.old[p] for p in parts if p in self.old}
+        # A word and the marks after it are tokenised apart.
+        pieces = {p: m.groups() for p in parts if p not in known and (m := _PLAIN.fullmatch(p))}
+        others = [p for p in parts if p not in known and p not in pieces]
+        words = {w for w, _ in pieces.values() if w not in known}
+        for w in [w for w in words if w in self.young or w in self.old]:
+            known[w] = self.young[w] if w in self.young else self.old[w]
+        marks = {m for _, m in pieces.values() if m and m not in self.marks}
+        self.marks.update(self._each(sorted(marks)))
+        for some, encode in (([w for w in words if w not in known], self._words), (others, self._each)):
+            for at in range(0, len(some), 1000):
+                known.update(encode(some[at : at + 1000]))
+        for p, (w, m) in pieces.items():
+            if m:
+                known[p] = known[w] + self.marks[m]
+        self.held += sum(len(p) + len(ids) for p, ids in known.items())
+        self.young.update(known)
+        if self.held > self.most:
+            self.old, self.young, self.held, self.marks = self.young, {"": b""}, 0, {"": b""}
+        return known
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Words as one text, cut after each token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):
+            return self._each(words)
+        data = ids.tobytes()
+        return {w: data[4 * i : 4 * j] for w, i, j in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+
+    def _each(self, parts: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, encoded)}
 
 
 @lru_cache(maxsize=2)
