@@ -17,17 +17,17 @@ def active_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("status") == V.NEW_STATUS)
 
 
-def dashboard_kpis(logs: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: error rate, p95 latency and throughput of the last 100 logs, active alerts.
+def dashboard_kpis(logs: DataFrame, alerts: DataFrame, recent: int = KPI_LOGS) -> DataFrame:
+    """One row: error rate, p95 latency and throughput of the ``recent`` last logs, active alerts.
 
     A missing latency counts as 0 in the percentile; the level is matched
     exactly here, unlike in the window counts.
     """
-    recent = latest(logs.select("event_ts", "ord", "level", "latency_ms"), KPI_LOGS)
+    newest = latest(logs.select("event_ts", "ord", "level", "latency_ms"), recent)
     active = active_alerts(alerts).agg(F.count("*").alias("n")).scalar()
     n = F.count("*")
     p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY coalesce(latency_ms, 0))")
-    return recent.agg(
+    return newest.agg(
         F.coalesce(round_half_up(F.try_divide(F.count_if(F.col("level") == "ERROR") * F.lit(100.0), n)), F.lit(0)).alias(
             "error_rate"
         ),
@@ -49,9 +49,14 @@ def search_logs(
     level: str = "all",
     anomaly_only: bool = False,
     recent: int | None = None,
+    n: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Filter the logs, newest first; ``recent`` limits the search to so many of the newest.
 
+    ``n`` keeps the newest rows found: each task then keeps its own, instead of
+    all being sorted. ``ordered=False`` leaves what is found as it comes.
+
     The level is matched case-sensitively, the text ignoring case.
     """
     found = logs if recent is None else latest(logs, recent)
@@ -67,7 +72,9 @@ def search_logs(
         if alerts is None:
             raise ValueError("anomaly_only needs the alerts")
         found = near_alerts(found, alerts)
-    return found.orderBy(F.col("event_ts").desc(), F.col("ord").desc())
+    if n is not None:
+        return latest(found, n)
+    return found.orderBy(F.col("event_ts").desc(), F.col("ord").desc()) if ordered else found
 
 
 def log_text(log: Column) -> Column:
@@ -109,26 +116,35 @@ def _newest_list(df: DataFrame, n: int, order: tuple[str, ...], newest_first: bo
     return rows.select(F.transform("_l", lambda x: x["row"])).scalar()
 
 
-def question_contexts(questions: DataFrame, logs: DataFrame, alerts: DataFrame, summaries: DataFrame) -> DataFrame:
+def question_contexts(
+    questions: DataFrame,
+    logs: DataFrame,
+    alerts: DataFrame,
+    summaries: DataFrame,
+    newest_alerts: int = 5,
+    newest_logs: int = 10,
+    related_alerts: int = 3,
+) -> DataFrame:
     """Add ``prompt`` to each non-blank question.
 
     ``questions`` holds (question, mode, log), ``log`` being the selected log
-    struct or null. Mode ``overview`` looks at the newest rows overall, any
-    other mode at the selected log and the newest alerts of its service.
+    struct or null. Mode ``overview`` looks at the newest rows overall
+    (``newest_alerts``, ``newest_logs``), any other mode at the selected log and
+    the ``related_alerts`` newest alerts of its service.
     """
     asked = questions.where(~blank(F.col("question")))
     asked = asked.withColumns(
         {
             "_last": _newest_list(summaries, 1, SUMMARY_ORDER, True),
-            "_alerts": _newest_list(alerts, 5, ALERT_ORDER, True),
-            "_logs": _newest_list(logs, 10, ALERT_ORDER, False),
+            "_alerts": _newest_list(alerts, max(newest_alerts, related_alerts), ALERT_ORDER, True),
+            "_logs": _newest_list(logs, newest_logs, ALERT_ORDER, False),
             "_service": F.col("log.service"),
         }
     )
     last = F.try_element_at("_last", F.lit(1))
     asked = asked.withColumn("_summary", F.when(last.isNull(), "null").otherwise(summary_text(last))).drop("_last")
     fields = [c for c in alerts.columns if c not in ("ord", "event_ts")]
-    related = newest_per_key(alerts, ["service"], fields, 5, "_related").withColumnRenamed("service", "_service")
+    related = newest_per_key(alerts, ["service"], fields, related_alerts, "_related").withColumnRenamed("service", "_service")
     asked = asked.join(related, "_service", "left")
 
     def lines(labels: tuple[str, ...], values: list[Column]) -> Column:
@@ -141,13 +157,13 @@ def question_contexts(questions: DataFrame, logs: DataFrame, alerts: DataFrame,
         [
             F.col("question"),
             F.col("_summary"),
-            F.coalesce(list_text(F.transform("_alerts", alert_text)), none),
+            F.coalesce(list_text(F.transform(F.slice("_alerts", 1, newest_alerts), alert_text)), none),
             F.coalesce(list_text(F.transform("_logs", log_text)), none),
         ],
     )
     # Without a selected log, the newest alerts stand in for the related ones.
-    nearby = F.when(F.col("log").isNull(), list_text(F.transform(F.slice("_alerts", 1, 3), alert_text))).otherwise(
-        list_text(F.transform(F.slice("_related", 1, 3), alert_text))
+    nearby = F.when(F.col("log").isNull(), list_text(F.transform(F.slice("_alerts", 1, related_alerts), alert_text))).otherwise(
+        list_text(F.transform("_related", alert_text))
     )
     about_log = lines(
         V.ASK_LOG_LABELS,
