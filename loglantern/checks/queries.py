@@ -428,8 +428,10 @@ def latest_incidents(spark, d):
 def incident_by_id(spark, d):
     """Point lookup, in the incident table, of the report of the last anomalous window."""
     at = _incident_table(spark, d)
-    (wanted,) = ranking.latest(tables.read_incidents(spark, at), 1, ranking.INCIDENT_ORDER).select("id").first()
-    return flat(tables.incident_by_id(spark, at, wanted).select("id", "ts", "title", "severity", "category"))
+    last = ranking.latest(tables.read_incidents(spark, at), 1, ranking.INCIDENT_ORDER).select("id").first()
+    # Without an anomalous window there is no report, and no id to look up.
+    found = tables.incident_by_id(spark, at, last["id"]) if last else spark.createDataFrame([], schemas.INCIDENT)
+    return flat(found.select("id", "ts", "title", "severity", "category"))
 
 
 def _incident_table(spark, d) -> str:
