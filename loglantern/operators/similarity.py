@@ -8,6 +8,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern import fixed_values as V
@@ -18,7 +20,9 @@ from loglantern.operators.related import salted_lookup
 from loglantern.session import written
 
 BLOCK_ROWS = 16384
-_CELLS = 1 << 22
+#: Rows of either side that one comparison holds at most, up to the spread of a hash.
+UNIT_ROWS = 32768
+_CELLS = 1 << 20
 # Scores are ranked on this many decimals, so copies of one text tie exactly
 # and fall to the id order.
 RANK_DECIMALS = 9
@@ -41,54 +45,68 @@ def similar_to_text(store: DataFrame, text: str, k: int = V.SIMILAR_LIMIT) -> Da
     )
 
 
-def _scores(queries: pd.Series, store: pd.Series) -> np.ndarray:
-    """Cosine of every query with every stored vector, over the shorter length of the two; 0 for null."""
-    q, s = ([np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in side] for side in (queries, store))
-    q_len, s_len = np.array([len(v) for v in q]), np.array([len(v) for v in s])
-    out = np.zeros((len(q), len(s)))
-    for a in np.unique(q_len):
-        for b in np.unique(s_len):
-            n, rows, cols = min(a, b), np.flatnonzero(q_len == a), np.flatnonzero(s_len == b)
-            if n:
-                out[np.ix_(rows, cols)] = _unit([q[i][:n] for i in rows]) @ _unit([s[j][:n] for j in cols]).T
-    return out
-
-
-def _unit(vectors: list[np.ndarray]) -> np.ndarray:
-    m = np.stack(vectors)
+def _unit(m: np.ndarray) -> np.ndarray:
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _block_top_k(queries: pd.DataFrame, store: pd.DataFrame, k: int, earlier_only: bool) -> pd.DataFrame:
-    """Top ``k`` of one store block for every query of one query block."""
-    store = store.sort_values("id").reset_index(drop=True)
-    s_id = store["id"].to_numpy()
-    s_at = store["at"].to_numpy()
+def _by_length(vectors: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors of each length; null has the length 0."""
+    lists = vectors.combine_chunks()
+    flat = pc.fill_null(lists.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        out.append((rows, flat.reshape(len(rows), n) if len(rows) == len(sizes) else flat[starts[rows][:, None] + np.arange(n)]))
+    return out
+
+
+def _block_top_k(queries: pa.Table, store: pa.Table, k: int, earlier_only: bool) -> pa.Table:
+    """Top ``k`` of one store block for every query of one query block, by the cosine over the shorter length of the two; 0 for null.
+
+    Where a query has a ``kth`` score, rows below it are left out.
+    """
+    rank = np.empty(len(store), np.int64)
+    rank[pc.sort_indices(store["id"], null_placement="at_start").to_numpy()] = np.arange(len(store))
+    q_at, s_at = queries["at"].to_numpy(), store["at"].to_numpy()
+    kth = queries["kth"].to_numpy() if "kth" in queries.column_names else np.full(len(queries), -np.inf)
+    columns, step = _by_length(store["vec"]), max(1, _CELLS // len(store))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows = max(1, _CELLS // len(store))
-    for first in range(0, len(queries), rows):
-        part = queries.iloc[first : first + rows]
-        scores = np.round(_scores(part["vec"], store["vec"]), RANK_DECIMALS)
-        if earlier_only:
-            scores[s_at[None, :] >= part["at"].to_numpy()[:, None]] = -np.inf
-        # Everything at or above the k-th best score, ties included; store rows
-        # are in id order, so the column number settles equal scores.
-        floor = np.partition(scores, -k, axis=1)[:, -k] if len(store) > k else np.full(len(part), -np.inf)
-        row, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        value = scores[row, col]
-        best = np.lexsort((col, -value, row))
-        row, col, value = row[best], col[best], value[best]
-        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-        out.append((part["query_id"].to_numpy()[row[keep]], s_id[col[keep]], value[keep]))
+    for rows, vectors in _by_length(queries["vec"]):
+        size = vectors.shape[1]
+        sides = [(cols, _unit(vectors[:, : m.shape[1]]), _unit(m[:, :size])) for cols, m in columns if min(size, m.shape[1])]
+        for first in range(0, len(rows), step):
+            part = rows[first : first + step]
+            scores = np.zeros((len(part), len(store)))
+            for cols, q, s in sides:
+                if len(cols) == len(store):
+                    np.matmul(q[first : first + step], s.T, out=scores)
+                else:
+                    scores[:, cols] = q[first : first + step] @ s.T
+            scores[~np.isfinite(scores)] = -np.inf
+            if earlier_only:
+                scores[s_at[None, :] >= q_at[part][:, None]] = -np.inf
+            # Everything at or above the k-th best score, ties included.
+            floor = kth[part].copy()
+            unknown = np.flatnonzero(floor < -1)
+            if len(unknown):
+                floor[unknown] = np.partition(scores[unknown], -k, axis=1)[:, -k] if len(store) > k else -np.inf
+            row, col = np.nonzero((scores >= floor[:, None] - _SCORE_MARGIN) & (scores > -np.inf))
+            value = np.round(scores[row, col], RANK_DECIMALS)
+            best = np.lexsort((rank[col], -value, row))
+            row, col, value = row[best], col[best], value[best]
+            keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            out.append((part[row[keep]], col[keep], value[keep]))
     q, i, sc = (np.concatenate([o[j] for o in out]) for j in range(3))
     # 0.0 rather than -0.0, which would sort apart.
-    return pd.DataFrame({"query_id": q, "id": i, "score": sc + 0.0})
+    return pa.table({"query_id": queries["query_id"].take(pa.array(q)), "id": store["id"].take(pa.array(i)), "score": pa.array(sc + 0.0)})
 
 
 def _chunked(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool) -> DataFrame:
     """Top ``k`` where the store fits one block: each task compares its share of the queries with all of it."""
-    chunks = max(2, queries.sparkSession.sparkContext.defaultParallelism)
+    chunks = max(2, queries.sparkSession.sparkContext.defaultParallelism, math.ceil(queries.count() / UNIT_ROWS))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     s = store.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     return _compared(q, s, ["qb"], k, earlier_only)
@@ -96,14 +114,14 @@ def _chunked(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool) -
 
 def _compared(q: DataFrame, s: DataFrame, keys: list[str], k: int, earlier_only: bool) -> DataFrame:
     """Top ``k`` of every store block for every query that is sent to it."""
-    query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (s, "id")))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", s.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": pa.array([], pa.float64())})
         return _block_top_k(left, right, k, earlier_only)
 
-    return q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(run, f"query_id {query_type}, id {id_type}, score double")
+    return q.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInArrow(run, schema)
 
 
 #: Angles are compared with this margin, scores with the other: far above the rounding of either.
@@ -124,7 +142,9 @@ class Blocks(NamedTuple):
     high: np.ndarray
     rows: np.ndarray
     first_at: np.ndarray
-    parts: np.ndarray
+    #: Blocks are sent in groups of neighbours: the first block of each group, and its first unit. Large blocks have several units.
+    starts: np.ndarray
+    units: np.ndarray
 
     def best(self, angles: np.ndarray) -> np.ndarray:
         """The highest score a row of each block can have, for queries with these angles to the pivots (NaN: unknown)."""
@@ -133,19 +153,28 @@ class Blocks(NamedTuple):
         gap = np.maximum(np.maximum(to - self.high, self.low - to) - _ANGLE_MARGIN, 0)
         return np.where(loose[None, :] | np.isnan(gap), 1.0, np.cos(gap))
 
+    def sent(self, blocks: np.ndarray) -> np.ndarray:
+        """The groups in which a row of ``blocks`` has one."""
+        return np.logical_or.reduceat(blocks, self.starts, axis=1)
+
 
 def _spread(sample: list[np.ndarray], n: int) -> np.ndarray:
-    """Up to ``n`` unit vectors of the commonest length, each the farthest from those before."""
+    """Up to ``n`` unit vectors of the commonest length, each the farthest from those before; near ones stand together."""
     usable = [v for v in sample if v is not None and len(v) and np.isfinite(v).all() and (v != 0).any()]
     if not usable:
         return np.zeros((0, 0))
     sizes = pd.Series([len(v) for v in usable])
-    unit = _unit([v for v in usable if len(v) == sizes.mode().iloc[0]])
+    unit = _unit(np.stack([v for v in usable if len(v) == sizes.mode().iloc[0]]))
     chosen, near = [0], unit @ unit[0]
     while len(chosen) < min(n, len(unit)) and near.min() < 1 - 1e-9:
         chosen.append(int(near.argmin()))
         near = np.maximum(near, unit @ unit[chosen[-1]])
-    return unit[chosen]
+    left, chain = unit[chosen[1:]], [unit[0]]
+    while len(left):
+        i = int((left @ chain[-1]).argmax())
+        chain.append(left[i])
+        left = np.delete(left, i, axis=0)
+    return np.stack(chain)
 
 
 def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
@@ -154,7 +183,7 @@ def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
     size = pivots.shape[1]
     rows = [i for i, v in enumerate(vectors) if v is not None and size and len(v) == size and np.isfinite(v).all() and np.any(v)]
     if rows:
-        out[rows] = np.arccos(np.clip(_unit([np.asarray(vectors.iloc[i], np.float64) for i in rows]) @ pivots.T, -1, 1))
+        out[rows] = np.arccos(np.clip(_unit(np.stack([np.asarray(vectors.iloc[i], np.float64) for i in rows])) @ pivots.T, -1, 1))
     return out
 
 
@@ -173,8 +202,22 @@ def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _cut(cells: list, pivots: np.ndarray, block_rows: int) -> tuple[Blocks, list[tuple[int, int, int, int, int]]]:
-    """Blocks of up to ``block_rows`` from neighbouring rings, and (slice, pivot, ring, block, parts) of each ring."""
+def _grouped(rows: list[int], most: int, merge: int) -> list[tuple[int, int, int]]:
+    """(group, first unit, units) of each run of ``rows``: neighbours of up to ``merge`` rows in all share a group, more than ``most`` are dealt."""
+    groups: list[list[int]] = []
+    out = []
+    for n in rows:
+        if groups and groups[-1][0] + n <= merge:
+            groups[-1][0] += n
+        else:
+            first = groups[-1][1] + groups[-1][2] if groups else 0
+            groups.append([n, first, max(1, math.ceil(n / most))])
+        out.append((len(groups) - 1, *groups[-1][1:]))
+    return out
+
+
+def _cut(cells: list, pivots: np.ndarray, block_rows: int, merge: int) -> tuple[Blocks, list[tuple[int, int, int, int, int]]]:
+    """Blocks of up to ``block_rows`` from neighbouring rings, and (slice, pivot, ring, first unit, units) of each ring."""
     blocks: list[list] = []
     place = []
     for c in sorted(cells, key=lambda c: (c["slice"], c["pivot"], c["ring"])):
@@ -184,13 +227,15 @@ def _cut(cells: list, pivots: np.ndarray, block_rows: int) -> tuple[Blocks, list
         else:
             blocks.append([(c["slice"], c["pivot"]), c["low"], c["high"], c["n"], c["first_at"]])
         place.append((c["slice"], c["pivot"], c["ring"], len(blocks) - 1))
-    parts = [max(1, math.ceil(b[3] / block_rows)) for b in blocks]
+    groups = _grouped([b[3] for b in blocks], max(block_rows, merge), merge)
+    starts = np.unique([g[0] for g in groups], return_index=True)[1]
+    units = np.array([groups[i][1] for i in starts] + [groups[-1][1] + groups[-1][2]])
     columns = [np.array([b[i] for b in blocks]) for i in (1, 2, 3, 4)]
-    return Blocks(pivots, np.array([b[0][1] for b in blocks]), *columns, np.array(parts)), [(*p, parts[p[3]]) for p in place]
+    return Blocks(pivots, np.array([b[0][1] for b in blocks]), *columns, starts, units), [(*p[:3], *groups[p[3]][1:]) for p in place]
 
 
 def _visits(blocks: Blocks, k: int, earlier_only: bool, probe: bool):
-    """The blocks each query is sent to: first a few likely ones with ``k`` rows, then all others that may still hold a better row."""
+    """Add the groups and units each query is sent to: first a few likely ones with ``k`` rows, then all others that may still hold a better row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, _CELLS // max(len(blocks.pivot), 1))
@@ -200,24 +245,33 @@ def _visits(blocks: Blocks, k: int, earlier_only: bool, probe: bool):
                 best = blocks.best(_angles(part["vec"], blocks.pivots))
                 if earlier_only:
                     best[blocks.first_at[None, :] >= part["at"].to_numpy()[:, None]] = -np.inf
-                order = np.argsort(-best, axis=1, kind="stable")
-                rows = np.cumsum(blocks.rows[order], axis=1)
-                likely = np.zeros(best.shape, bool)
-                np.put_along_axis(likely, order, np.concatenate([np.zeros((len(part), 1), int), rows[:, :-1]], axis=1) < 2 * k, axis=1)
-                likely &= best > -np.inf
-                if not probe:
-                    likely = ~likely & (best >= part["kth"].to_numpy()[:, None] - _SCORE_MARGIN) & (best > -np.inf)
-                row, block = np.nonzero(likely)
-                times = blocks.parts[block]
-                out = part.iloc[np.repeat(row, times)].drop(columns="kth", errors="ignore")
+                if probe:
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    rows = np.cumsum(blocks.rows[order], axis=1)
+                    likely = np.zeros(best.shape, bool)
+                    np.put_along_axis(likely, order, np.concatenate([np.zeros((len(part), 1), int), rows[:, :-1]], axis=1) < 2 * k, axis=1)
+                    go = blocks.sent(likely & (best > -np.inf))
+                else:
+                    go = blocks.sent((best >= part["kth"].to_numpy()[:, None] - _SCORE_MARGIN) & (best > -np.inf))
+                    seen = part["seen"]
+                    go[np.repeat(np.arange(len(part)), seen.map(len)), np.concatenate([*seen, np.zeros(0, np.int32)]).astype(np.int64)] = False
+                row, group = np.nonzero(go)
+                times = np.diff(blocks.units)[group]
                 start = np.cumsum(times) - times
-                yield out.assign(block=np.repeat(block, times).astype("int32"), part=(np.arange(len(out)) - np.repeat(start, times)).astype("int32"))
+                unit = np.repeat(blocks.units[group] - start, times) + np.arange(int(times.sum()))
+                ends = np.cumsum(np.bincount(row, minlength=len(part)))[:-1]
+                last = np.cumsum(np.bincount(row, times, len(part)).astype(np.int64))[:-1]
+                # The units only: a copy of a query for each of them is made row by row as they are exploded.
+                yield part.assign(seen=np.split(group.astype("int32"), ends), unit=np.split(unit.astype("int32"), last))
 
     return run
 
 
 def _pruned(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool, block_rows: int, n: int, pivots: int | None) -> DataFrame:
     """Top ``k`` by blocks around pivots: a probe gives each query its k-th best, which rules most other blocks out."""
+    # A store that would give very many blocks is sent in larger units, so that their number does not grow with it.
+    merge = min(UNIT_ROWS, n // 16) if n > BLOCK_ROWS else 0
+    block_rows = max(block_rows, merge // 16)
     slices = min(MOST_SLICES, math.ceil(n / block_rows)) if earlier_only else 1
     wanted = min(MOST_PIVOTS, pivots or math.ceil(4 * n / block_rows / slices))
     picked = store.where("size(vec) > 0").orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vec").toPandas()["vec"]
@@ -236,38 +290,43 @@ def _pruned(queries: DataFrame, store: DataFrame, k: int, earlier_only: bool, bl
         .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.min("at").alias("first_at"))
         .collect()
     )
-    blocks, place = _cut(cells, centres, block_rows)
-    where = queries.sparkSession.createDataFrame(place, "slice int, pivot int, ring int, block int, parts int")
+    blocks, place = _cut(cells, centres, block_rows, merge)
+    where = queries.sparkSession.createDataFrame(place, "slice int, pivot int, ring int, first int, parts int")
     # At most MOST_SLICES slices, MOST_PIVOTS pivots and 63 rings.
     rows = (
         rows.join(F.broadcast(where), ["slice", "pivot", "ring"])
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .select("id", "vec", "at", "block", "part")
+        .withColumn("unit", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .select("id", "vec", "at", "unit")
     )
 
     homes = _placed(queries, centres).withColumn("slice", slice_of(F.col("at")))
     asked = written(homes.drop("ring", "angle"))
-    groups = asked.groupBy("slice", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("parts")).collect()
+    groups = sorted(asked.groupBy("slice", "pivot").agg(F.count("*").alias("n")).collect(), key=lambda g: (g["slice"], g["pivot"]))
+    units = _grouped([g["n"] for g in groups], max(block_rows, merge), merge)
     numbered = queries.sparkSession.createDataFrame(
-        [(g["slice"], g["pivot"], i, g["parts"]) for i, g in enumerate(groups)], "slice int, pivot int, home int, parts long"
+        [(g["slice"], g["pivot"], *u[1:]) for g, u in zip(groups, units)], "slice int, pivot int, first int, parts int"
     )
     asked = (
         asked.join(F.broadcast(numbered), ["slice", "pivot"])
-        .withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        .select("query_id", "vec", "at", "home", "share")
+        .withColumn("share", F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        .select("query_id", "vec", "at", "share")
     )
-    keys = ["home", "share", "block", "part"]
+    keys = ["share", "unit"]
+
+    def visited(df: DataFrame, probe: bool) -> DataFrame:
+        schema = T.StructType([*[f for f in df.schema.fields if f.name != "seen"], *T.StructType.fromDDL("seen array<int>, unit array<int>").fields])
+        return written(df.mapInPandas(_visits(blocks, k, earlier_only, probe), schema))
 
-    def sent(df: DataFrame, probe: bool) -> DataFrame:
-        schema = T.StructType([*[f for f in df.schema.fields if f.name != "kth"], *T.StructType.fromDDL("block int, part int").fields])
-        q = df.mapInPandas(_visits(blocks, k, earlier_only, probe), schema)
-        pairs = written(q.select(*keys).distinct())
-        return _compared(q, rows.join(pairs, ["block", "part"]), keys, k, earlier_only)
+    def sent(df: DataFrame) -> DataFrame:
+        pairs = df.select("share", F.explode("unit").alias("unit")).distinct()
+        q = df.drop("seen").withColumn("unit", F.explode("unit"))
+        return _compared(q, rows.join(written(pairs), "unit"), keys, k, earlier_only)
 
-    first = written(latest_per_key(sent(asked, True), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k))
+    probed = visited(asked, True)
+    first = written(latest_per_key(sent(probed), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k))
     kth = first.where(F.col("_rank") == k).select("query_id", F.col("score").alias("kth"))
-    again = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
-    return first.drop("_rank").unionByName(sent(again, False))
+    again = probed.drop("unit").join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+    return first.drop("_rank").unionByName(sent(visited(again, False)))
 
 
 def nearest(
@@ -291,7 +350,9 @@ def nearest(
     nearer than the block's angles allow. Each query is sent to its likeliest
     blocks first and then only to those that may hold something better than the
     k-th best found, and that begin before it. Vectors without near ones may
-    have to visit every block. No pair of rows is emitted. Both inputs are read several times: pass stored tables.
+    have to visit every block. Neighbouring blocks of a large store travel
+    together, a sixteenth of it or ``UNIT_ROWS`` rows at a time. No pair of rows
+    is emitted. Both inputs are read several times: pass stored tables.
     """
 
     def at(df: DataFrame) -> Column:
