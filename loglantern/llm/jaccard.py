@@ -17,6 +17,10 @@ shingle's documents are still in different components after that, with all of
 its pivots, and in more rounds with others. What is apart after that is cut into
 blocks; a task compares two blocks that meet in a shingle and returns links.
 Components, not pairs, are the result, so nothing is lost.
+
+Texts travel only to pairs that their sketches leave open. A sketch has, for
+each bit, the parity of the shingles that fall on it: two sketches differ in no
+more bits than the sets differ in shingles, so no link is ruled out.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglantern.llm.tables import components, stored
 from loglantern.llm.words import byte_texts, shingle_set
@@ -121,43 +125,48 @@ def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a shingle set over a power of two of bits, as many as shingles at least."""
+    bits = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(x: bytes, size: int) -> bytes:
+    """The sketch of the same set over ``size`` bytes, not more than it has."""
+    return x if len(x) == size else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def most_apart(sizes, percent: int):
+    """In how many shingles two sets of ``sizes`` together may differ and link."""
+    return sizes - 2 * -(-sizes * percent // (100 + percent))
+
+
 def _signatures(k: int, percent: int, classes):
-    """(doc_id, n, a, b, tokens): size and two hashes of each document's shingle set, and the longest prefix that may be needed, in the global order."""
+    """(doc_id, n, a, b, sketch, tokens): size, two hashes and the sketch of each document's shingle set, and the longest prefix that may be needed, in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, tokens = [], [], [], [np.zeros(0, np.int64)]
+            n, a, b, sketches, tokens = [], [], [], [], [np.zeros(0, np.int64)]
             for text in byte_texts(batch.column("text")):
                 s = shingle_set(text, k)
                 n.append(len(s))
                 a.append(np.bitwise_xor.reduce(s) if len(s) else np.uint64(0))
                 b.append(s.sum(dtype=np.uint64))
+                sketches.append(sketch(s))
                 first = ordered(s, classes.value)[: plain_prefix(len(s), percent) + longest_extension(len(s), percent)]
                 tokens.append(first.view(np.int64).copy())
             ends = np.cumsum([len(x) for x in tokens])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens))),
+                    pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens))),
                 ],
-                names=["doc_id", "n", "a", "b", "tokens"],
+                names=["doc_id", "n", "a", "b", "sketch", "tokens"],
             )
 
     return run
 
 
-def _whole(k: int):
-    """(doc, token): all shingles of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
-                s = shingle_set(text, k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s)], names=["doc", "token"])
-
-    return run
-
-
 def _adapted(percent: int):
     """(token, doc, n, e, strong, alone) of each document's chosen prefix; alone is its share of shingles that no other has."""
 
@@ -224,9 +233,31 @@ def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(stored(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
 
 
-def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    left = _of(texts, pairs.select("a")).select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = _of(texts, pairs.select("b")).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _near(percent: int):
+    """Keep the pairs whose sketches differ no more than those of a link can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_apart(batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy(), percent)
+            keep = np.zeros(len(most), bool)
+            for i, (x, y) in enumerate(zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())):
+                size = min(len(x), len(y))
+                keep[i] = (int.from_bytes(folded(x, size)) ^ int.from_bytes(folded(y, size))).bit_count() <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "l")], names=["a", "b", "l"])
+
+    return run
+
+
+def sifted(sketches: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, l) that their ``sketches`` (doc_id, n, sketch) do not rule out."""
+    left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_near(percent), "a long, b long, l long").distinct())
+
+
+def _links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, percent: int, classes) -> DataFrame:
+    pairs = sifted(sketches, pairs, percent)
+    some = stored(_of(texts, pairs.select("a").union(pairs.select("b"))))
+    left, right = (some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "l", "text_a", "text_b")
     return stored(both.mapInArrow(_verified(k, percent, classes), "a long, b long"))
 
@@ -334,6 +365,35 @@ def _between_blocks(k: int, percent: int, classes):
     return run
 
 
+def _open_sides(percent: int):
+    """The documents of each pair of blocks that a sketch of the other block leaves open; rows arrive sorted by (block_a, block_b)."""
+    names = ["block_a", "block_b", "block", "doc", "comp", "e"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def left_open() -> pa.RecordBatch:
+            size = min(len(r[7]) for r in held)
+            block, comp, n = (np.array([r[i] for r in held], np.int64) for i in (2, 4, 6))
+            signs = np.unpackbits(np.frombuffer(b"".join(folded(r[7], size) for r in held), np.uint8)).reshape(len(held), -1).astype(np.float32) * 2 - 1
+            first, second = np.flatnonzero(block == held[0][0]), np.flatnonzero(block == held[0][1])
+            apart = (8 * size - signs[first] @ signs[second].T) / 2
+            open_ = (comp[first][:, None] != comp[second][None, :]) & (apart <= most_apart(n[first][:, None] + n[second][None, :], percent))
+            some = np.union1d(first[open_.any(1)], second[open_.any(0)])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*{held[i][:6] for i in some})] or [pa.array([], pa.int64())] * 6, names=names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in [*names, "n", "sketch"])):
+                if held and held[0][:2] != row[:2]:
+                    yield left_open()
+                    held = []
+                held.append(row)
+        if held:
+            yield left_open()
+
+    return run
+
+
 def _still_apart(postings: DataFrame, found: DataFrame) -> DataFrame:
     """``postings`` with the component of each document, for shingles that several components have."""
     placed = (
@@ -358,60 +418,56 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes_of = docs.sparkSession.sparkContext.broadcast(bucket_classes(texts, k))
-    made = stored(texts.mapInArrow(_signatures(k, percent, classes_of), "doc_id long, n long, a long, b long, tokens array<long>"))
-    signs = made.drop("tokens")
+    made = stored(texts.mapInArrow(_signatures(k, percent, classes_of), "doc_id long, n long, a long, b long, sketch binary, tokens array<long>"))
+    signs, sketches = made.drop("sketch", "tokens"), made.select("doc_id", "n", "sketch")
     classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
 
+    # Copies are left out by their ids, which are fewer than those that stay.
+    copies = signs.join(classes, ["n", "a", "b"]).where("doc_id <> rep").select("doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     tokens = (
-        _of(made.select("doc_id", "n", "tokens"), classes.select("rep"))
+        made.where("n > 0 AND doc_id IS NOT NULL").join(stored(copies.distinct()), "doc_id", "left_anti")
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token"))
     )
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     postings = stored(
-        tokens.join(shared, "token")
+        tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
         .groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("hits"))
         .mapInArrow(_adapted(percent), "token long, doc long, n long, e long, strong boolean, alone double")
     )
 
     tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False, one=True))
-    links = _links(texts, tried, k, percent, classes_of)
+    links = _links(texts, sketches, tried, k, percent, classes_of)
     found = components(links)
     placed = _still_apart(postings, found)
-    few = stored(_of(texts, placed.select("doc")))
     for turn in range(rounds):
         order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("alone")
         pairs = stored(_pivot_pairs(placed, order, percent, apart=True).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        more = _links(few, pairs, k, percent, classes_of)
+        more = _links(texts, sketches, pairs, k, percent, classes_of)
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         if not more.isEmpty():
             found = components(links)
             placed = _still_apart(placed, found)
 
     # What is still apart: documents in blocks, and pairs of blocks that meet in a shingle.
-    # Shingles that none of the documents left shares with another cannot be in common: room is what can.
     placed = placed.join(placed.groupBy("token").agg(F.max("strong").alias("any")).where("any").select("token"), "token")
-    left = _of(few, placed.select("doc"))
-    lonely = (
-        left.mapInArrow(_whole(k), "doc long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("doc"))
-        .where("docs = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lonely"))
-    )
-    placed = stored(placed.join(lonely, "doc", "left").withColumn("room", F.col("n") - F.coalesce("lonely", F.lit(0))))
+    placed = stored(placed)
     blocks = stored(_blocks(placed, percent))
-    enough = "%d * least(room_a, room_b) >= %d * (n0_a + n0_b)" % (100 + percent, percent)
     parts = placed.join(blocks, "doc").groupBy("token", "block").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("room").alias("room"), F.max("strong").alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("strong").alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
     )
-    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "n0", "n1", "room", "s", "c0", "c1")]) for x in "ab")
+    one, two = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "n0", "n1", "s", "c0", "c1")]) for x in "ab")
     meet = stored(
         one.join(two, "token").where(
-            f"block_a <= block_b AND (s_a OR s_b) AND least(c0_a, c0_b) < greatest(c1_a, c1_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a AND " + enough
+            f"block_a <= block_b AND (s_a OR s_b) AND least(c0_a, c0_b) < greatest(c1_a, c1_b) AND 100 * n1_a >= {percent} * n0_b AND 100 * n1_b >= {percent} * n0_a"
         ).select("block_a", "block_b").distinct()
     )
-    facts = placed.select("doc", "e", "comp").distinct().join(blocks, "doc").join(few.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    facts = placed.select("doc", "e", "comp").distinct().join(blocks, "doc").join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
     sides = meet.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    met = sides.join(facts, "block").repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "doc")
+    open_ = sides.join(facts, "block").repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b")
+    open_ = stored(open_.mapInArrow(_open_sides(percent), "block_a long, block_b long, block long, doc long, comp long, e long"))
+    met = open_.join(_of(texts, open_.select("doc")).withColumnRenamed("doc_id", "doc"), "doc")
+    met = met.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "doc")
     found = components(links.union(stored(met.mapInArrow(_between_blocks(k, percent, classes_of), "a long, b long"))))
 
     of_class = (
