@@ -102,23 +102,31 @@ class Tokens:
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        found = [self.young.get(p) for p in parts]
+        found = list(map(self.young.get, parts))
         if None in found:
-            known = self._looked_up({p for p, ids in zip(parts, found) if ids is None})
-            found = [known[p] if ids is None else ids for p, ids in zip(parts, found)]
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            known = self._looked_up({parts[i] for i in missing})
+            for i in missing:
+                found[i] = known[parts[i]]
         return b"".join(found)
 
     def _looked_up(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of parts that the young generation lacks; they enter it."""
-        known = {p: self.old[p] for p in parts if p in self.old}
-        # A word and the marks after it are tokenised apart.
-        pieces = {p: m.groups() for p in parts if p not in known and (m := _PLAIN.fullmatch(p))}
-        others = [p for p in parts if p not in known and p not in pieces]
+        known, pieces, others = {}, {}, []
+        for p in parts:
+            if (ids := self.old.get(p)) is not None:
+                known[p] = ids
+            # A word and the marks after it are tokenised apart.
+            elif m := _PLAIN.fullmatch(p):
+                pieces[p] = m.groups()
+            else:
+                others.append(p)
         words = {w for w, _ in pieces.values() if w not in known}
         for w in [w for w in words if w in self.young or w in self.old]:
             known[w] = self.young[w] if w in self.young else self.old[w]
         marks = {m for _, m in pieces.values() if m and m not in self.marks}
-        self.marks.update(self._each(sorted(marks)))
+        if marks:
+            self.marks.update(self._each(sorted(marks)))
         for some, encode in (([w for w in words if w not in known], self._words), (others, self._each)):
             for at in range(0, len(some), 1000):
                 known.update(encode(some[at : at + 1000]))
@@ -133,12 +141,12 @@ class Tokens:
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Words as one text, cut after each token that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
         if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):
             return self._each(words)
-        data = ids.tobytes()
-        return {w: data[4 * i : 4 * j] for w, i, j in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return {w: data[i:j] for w, i, j in zip(words, cuts, cuts[1:])}
 
     def _each(self, parts: list[str]) -> dict[str, bytes]:
         encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
