@@ -20,12 +20,15 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loglantern.llm.memory import lean
 from loglantern.llm.tables import join_counted, stored
 from loglantern.llm.words import mixed
 
 LONGEST = 3
 #: Occurrences a task counts at once, and bytes of text hashed at once.
 HELD, BLOCK = 1 << 20, 1 << 19
+#: Runs that pass the filter, counted at once.
+FOUND = 1 << 18
 #: Occurrences per hash partition, about: a task holds 12 bytes for each that its inputs kept apart, and 16 per counter.
 MASS = 1 << 20
 #: Shares of a language that are ranked apart first.
@@ -248,7 +251,7 @@ def _filter(survivors: DataFrame) -> np.ndarray:
     """The filter over the survivors: a bit table of 16 bits for each, within FILTER_BITS; never misses one."""
     wanted = max(survivors.count() * 16, 1)
     bits = min(max(1 << (wanted - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    words = survivors.mapInArrow(_marks(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = survivors.mapInArrow(lean(_marks(bits)), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
     table = np.zeros(bits // 64, np.uint64)
     for batch in words.toArrow().to_batches():
         table[batch.column("word").to_numpy()] = batch.column("mask").to_numpy().view(np.uint64)
@@ -256,7 +259,7 @@ def _filter(survivors: DataFrame) -> np.ndarray:
 
 
 def _phrases(table):
-    """(lang, words, phrase, f) of the runs that pass the filter, counted per task in blocks of HELD."""
+    """(lang, words, phrase, f) of the runs that pass the filter, counted per task in blocks of FOUND."""
 
     def passing(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
         ok = np.ones(len(hashes), bool)
@@ -307,13 +310,13 @@ def _phrases(table):
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            for block in _blocks(batch, HELD * 2):
+            for block in _blocks(batch):
                 for found in counted(block, marks):
                     held.append((*found, np.full(len(found[0]), len(texts), np.int32)))
                     n += len(found[0])
                 texts.append(block.data.tobytes())
                 names.append(block.names)
-                if n >= HELD // 2:
+                if n >= FOUND:
                     yield rows(texts, names, held)
                     texts, names, held, n = [], [], [], 0
         if n:
@@ -344,13 +347,13 @@ def frequent_phrases(rows: DataFrame, least: int, mass: int = MASS) -> DataFrame
     spark = rows.sparkSession
     grams = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * LONGEST // 6
     parts = max(1, ceil(grams / mass))
-    counts = rows.mapInArrow(_summarised(parts), "part int, hashes binary, counts binary, mass long")
+    counts = rows.mapInArrow(lean(_summarised(parts)), "part int, hashes binary, counts binary, mass long")
     # The window needs the rows of a part in one task, and leaves them there, in order, for the summary.
     # Hence one task for each part.
     whole = counts.repartitionById(parts, F.col("part")).withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "hashes", "counts", "total")
-    survivors = stored(whole.mapInArrow(_survivors(least), "hash long"))
+    survivors = stored(whole.mapInArrow(lean(_survivors(least)), "hash long"))
     table = spark.sparkContext.broadcast(_filter(survivors))
-    found = rows.mapInArrow(_phrases(table), "lang string, words int, phrase string, f long")
+    found = rows.mapInArrow(lean(_phrases(table)), "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -376,7 +379,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: in
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     ).where("text IS NOT NULL")
     known = stored(frequent_phrases(rows, least, mass))
-    sizes = stored(rows.mapInArrow(_lengths, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
+    sizes = stored(rows.mapInArrow(lean(_lengths), "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
 
     long = known.where("words > 1")
     held = known.where(F.col("words") == LONGEST)
