@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loglantern.llm.memory import lean
 from loglantern.llm.tables import components, stored
 from loglantern.llm.words import byte_texts, shingle_set
 
@@ -113,7 +114,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def bucket_classes(texts: DataFrame, k: int) -> np.ndarray:
     """The power of two that each bucket's occurrences reach, over all ``texts`` (2 MB)."""
-    rows = texts.select("text").mapInArrow(_counted(k), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, classes binary")
+    rows = texts.select("text").mapInArrow(lean(_counted(k)), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, classes binary")
     out = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint8)
     for row in rows.collect():
         out[row["piece"]] = np.frombuffer(row["classes"], np.uint8)
@@ -251,7 +252,7 @@ def _near(percent: int):
 def sifted(sketches: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b, l) that their ``sketches`` (doc_id, n, sketch) do not rule out."""
     left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_near(percent), "a long, b long, l long").distinct())
+    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(lean(_near(percent)), "a long, b long, l long").distinct())
 
 
 def _links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, percent: int, classes) -> DataFrame:
@@ -259,7 +260,7 @@ def _links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, perc
     some = stored(_of(texts, pairs.select("a").union(pairs.select("b"))))
     left, right = (some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "l", "text_a", "text_b")
-    return stored(both.mapInArrow(_verified(k, percent, classes), "a long, b long"))
+    return stored(both.mapInArrow(lean(_verified(k, percent, classes)), "a long, b long"))
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -418,7 +419,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes_of = docs.sparkSession.sparkContext.broadcast(bucket_classes(texts, k))
-    made = stored(texts.mapInArrow(_signatures(k, percent, classes_of), "doc_id long, n long, a long, b long, sketch binary, tokens array<long>"))
+    made = stored(texts.mapInArrow(lean(_signatures(k, percent, classes_of)), "doc_id long, n long, a long, b long, sketch binary, tokens array<long>"))
     signs, sketches = made.drop("sketch", "tokens"), made.select("doc_id", "n", "sketch")
     classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
 
@@ -431,7 +432,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     postings = stored(
         tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
         .groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("hits"))
-        .mapInArrow(_adapted(percent), "token long, doc long, n long, e long, strong boolean, alone double")
+        .mapInArrow(lean(_adapted(percent)), "token long, doc long, n long, e long, strong boolean, alone double")
     )
 
     tried = stored(_pivot_pairs(postings, F.col("alone"), percent, apart=False, one=True))
@@ -465,10 +466,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     facts = placed.select("doc", "e", "comp").distinct().join(blocks, "doc").join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
     sides = meet.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
     open_ = sides.join(facts, "block").repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b")
-    open_ = stored(open_.mapInArrow(_open_sides(percent), "block_a long, block_b long, block long, doc long, comp long, e long"))
+    open_ = stored(open_.mapInArrow(lean(_open_sides(percent)), "block_a long, block_b long, block long, doc long, comp long, e long"))
     met = open_.join(_of(texts, open_.select("doc")).withColumnRenamed("doc_id", "doc"), "doc")
     met = met.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "doc")
-    found = components(links.union(stored(met.mapInArrow(_between_blocks(k, percent, classes_of), "a long, b long"))))
+    found = components(links.union(stored(met.mapInArrow(lean(_between_blocks(k, percent, classes_of)), "a long, b long"))))
 
     of_class = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loglantern.llm.memory import lean
+
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
 _KEYS = np.random.default_rng(404).integers(1, 2**62, (len(SIZES), max(SIZES))).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, grams_each: int = 256, buckets: i
     # At most per_lang x max_langs ids: small enough to send to every task.
     rows = (
         known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-        .mapInArrow(_sampled(buckets, grams_each), "doc_id long, lang string, grams array<long>")
+        .mapInArrow(lean(_sampled(buckets, grams_each)), "doc_id long, lang string, grams array<long>")
         .where("size(grams) > 0").withColumn("order", F.xxhash64("doc_id"))
         .orderBy("order", "doc_id", "lang", F.xxhash64("grams")).limit(per_lang * max(1, len(langs))).collect()
     )
@@ -238,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None = None, **bounds: int) -> Data
     model = fit(rows, **bounds) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        _predicted(shared), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
+        lean(_predicted(shared)), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
     )
 
 
@@ -254,4 +256,4 @@ def recognised(docs: DataFrame, model: Model | None = None, **bounds: int) -> Da
         for batch in batches:
             yield batch.filter(pa.array([shared.value.predict(t.as_py())[2] for t in batch.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

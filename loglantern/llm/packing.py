@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from loglantern.llm.memory import lean
 from loglantern.llm.tables import stored
 
 
@@ -266,7 +267,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, shard_pi
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    pieces = stored(rows.mapInArrow(_pieces(path, end_id, size), ", ".join(f"{n} long" for n in names)))
+    pieces = stored(rows.mapInArrow(lean(_pieces(path, end_id, size)), ", ".join(f"{n} long" for n in names)))
     loose = pieces.where(F.col("length") < size)
     shards = loose.count() // shard_pieces + 1
     # Rows of one id may repeat without end, so the whole row and its place choose the shard.
